@@ -20,9 +20,9 @@ def running_totals(points: DataFrame, key: str, sums: Sequence[str], descending:
     first, and windows then run inside the ranges. The ranges only balance the work: any choice of
     bounds gives the same sums.
     """
-    steps = [i / buckets for i in range(1, buckets)]
+    steps = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     bounds = points.agg(F.array_distinct(F.percentile_approx(
-        key, F.array(*[F.lit(s) for s in steps]), 10 * buckets)).alias("_bounds"))
+        key, F.expr(f"array({steps})"), 10 * buckets)).alias("_bounds"))
     ranged = points.crossJoin(F.broadcast(bounds)).select(*points.columns, F.size(
         F.filter("_bounds", lambda b: b <= F.col(key))).alias("_range"))
     order = F.desc if descending else F.asc

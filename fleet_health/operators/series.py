@@ -54,12 +54,11 @@ def cut_points(rows: DataFrame, halo: int = 1, max_rows: int = MAX_ROWS) -> Data
     long_machines = (sizes.crossJoin(F.broadcast(limit))
                      .where(F.col("_n") > F.col("_limit")).select(CODE, "_limit"))
     thinned = (rows.select(CODE, TIME).join(F.broadcast(long_machines), CODE)
-               .where(F.pmod(F.xxhash64(CODE, TIME), F.col("_limit")) < marks)
-               .select(CODE, TIME).distinct())
-    nth = F.row_number().over(Window.partitionBy(CODE).orderBy(TIME)) - 1
+               .where(F.pmod(F.xxhash64(CODE, TIME), F.col("_limit")) < marks))
+    nth = F.dense_rank().over(Window.partitionBy(CODE).orderBy(TIME)) - 1
     cuts = (thinned.withColumn("_nth", nth)
             .where((F.col("_nth") > 0) & (F.col("_nth") % marks == 0))
-            .groupBy(CODE).agg(F.array_sort(F.collect_list(TIME)).alias("_cuts")))
+            .groupBy(CODE).agg(F.array_sort(F.collect_set(TIME)).alias("_cuts")))
     # Two levels, so that finding a segment takes about 2 * sqrt(cuts) comparisons.
     width = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
     return (cuts.withColumn("_width", width)

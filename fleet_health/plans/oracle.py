@@ -306,8 +306,8 @@ SELECT w.TERMINAL_CODE, w.window_no, w.target_time, w.fault_label, 24 AS n_steps
 FROM {_MEMBERS}""",
     "sequences_pooled": f"""
 SELECT w.TERMINAL_CODE, w.window_no, w.target_time, w.fault_label, ROUND(w.rul_days, 6) + 0.0 AS rul_days,
-       {", ".join(f"CAST(CAST(avg(f.{c}) AS FLOAT) AS DOUBLE) AS {c}" for c in DYNAMIC_FEATURES)},
-       {", ".join(f"CAST(CAST(any_value(s.{c}) AS FLOAT) AS DOUBLE) AS {c}" for c in STATIC_FEATURES)}
+       {", ".join(f"ROUND(CAST(CAST(avg(f.{c}) AS FLOAT) AS DOUBLE), 7) + 0.0 AS {c}" for c in DYNAMIC_FEATURES)},
+       {", ".join(f"ROUND(CAST(CAST(any_value(s.{c}) AS FLOAT) AS DOUBLE), 7) + 0.0 AS {c}" for c in STATIC_FEATURES)}
 FROM {_MEMBERS}
 GROUP BY w.TERMINAL_CODE, w.window_no, w.target_time, w.fault_label, w.rul_days""",
     "stratified_split": "SELECT TERMINAL_CODE, window_no, fault_label, is_test FROM v_split",

@@ -25,7 +25,7 @@ def query(function):
 
 def _round(name: str, digits: int = 6):
     """Rounded for comparison; adding 0.0 turns a negative zero into zero."""
-    return (F.round(F.col(name).cast("double"), digits) + F.lit(0.0)).alias(name)
+    return F.expr(f"round(cast({name} as double), {digits}) + 0.0D as {name}")
 
 
 def _long(name: str):
@@ -206,8 +206,7 @@ def sequences_array(spark, sf):
     return steps.select(
         CODE, "window_no", "target_time", "fault_label", "n_steps", "step",
         F.size("v").alias("n_features"),
-        *[(F.round(F.col("v")[i].cast("double"), 3) + F.lit(0.0)).alias(n)
-          for i, n in enumerate(names)])
+        *[F.expr(f"round(cast(v[{i}] as double), 3) + 0.0D as {n}") for i, n in enumerate(names)])
 
 
 def _pooled(spark, sf):
@@ -220,7 +219,7 @@ def _pooled(spark, sf):
 def sequences_pooled(spark, sf):
     return _pooled(spark, sf).select(
         CODE, "window_no", "target_time", "fault_label", _round("rul_days"),
-        *[F.col(c).cast("float").cast("double").alias(c)
+        *[F.expr(f"round(cast(cast({c} as float) as double), 7) + 0.0D as {c}")
           for c in [*DYNAMIC_FEATURES, *STATIC_FEATURES]])
 
 
