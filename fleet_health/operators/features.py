@@ -75,10 +75,10 @@ def with_ratios(rows: DataFrame) -> DataFrame:
                                                "TOTAL_TKT_ISSUED_YESTERDAY")})
 
 
-def _capacity(static: DataFrame) -> DataFrame:
+def _capacity(static: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return static.select(CODE, F.col("HOME_TOTAL_MB").alias("_home_total"),
                          F.col("HOME1_TOTAL_MB").alias("_home1_total"),
-                         F.lit(True).alias("_registered"))
+                         F.lit(True).alias("_registered"), *extra)
 
 
 def _usage(used: str, total: str) -> Column:
@@ -177,26 +177,26 @@ def with_zscores(parts: DataFrame, long_rows: DataFrame | None = None,
 def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
                    tie: Sequence[str] = (), steps: int = 1, labels: DataFrame | None = None,
                    now: DataFrame | None = None, stats: DataFrame | None = None,
-                   max_rows: int = R.MAX_ROWS) -> DataFrame:
+                   carry: Sequence[str] = (), max_rows: int = R.MAX_ROWS) -> DataFrame:
     """All telemetry features, still in segments, with what windows of `steps` rows need.
 
     One shuffle of the readings, by (machine, segment), serves the registry join, the label match
     and every window. Row-wise features are computed after it, so only raw columns travel.
     Borrowed rows are in the result; the newest `steps` - 1 of them have exact features too.
+    With `carry`, registry columns are added and readings of unregistered machines leave.
     """
     halo = max(1, window_size - 1 + steps - 1)
     cuts = R.cut_points(rows, halo, max_rows)
     parts = R.split_series(rows, halo, "NETWORK_LINK", tie, cuts=cuts)
     if labels is not None:
-        parts = R.attach_labels(parts, labels, cuts, tie)
+        parts = R.attach_labels(parts, labels, cuts)
     # Co-located with the windows below; a hash join, since a merge join would sort the rows twice.
-    registry = R.place_machines(_capacity(static), cuts).hint("shuffle_hash")
-    parts = parts.join(registry, [CODE, R.SEGMENT], "left")
+    registry = R.place_machines(_capacity(static, carry), cuts).hint("shuffle_hash")
+    parts = parts.join(registry, [CODE, R.SEGMENT], "inner" if carry else "left")
     parts = with_rolling(parts, window_size, tie)
     parts = with_differences(parts, tie)
-    parts = R.with_row_number(parts, tie)
-    parts = parts.transform(R.run_length("NETWORK_LINK", tie))
-    parts = parts.withColumnRenamed("_run", "netlink_stable_hours")
+    parts = R.with_positions(parts, "NETWORK_LINK", tie)
+    parts = parts.withColumnRenamed(R.RUN, "netlink_stable_hours")
     parts = with_zscores(parts, R.place(rows, cuts, long_only=True), stats)
     parts = parts.withColumns({n: _usage(*cols) for n, cols in _USAGE.items()})
     parts = parts.drop(*_CAPACITY_COLUMNS)
@@ -204,7 +204,8 @@ def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
     return with_uptime(parts, latest_time(rows) if now is None else now)
 
 
-_HELPERS = (R.SEGMENT, R.LAST_SEGMENT, R.BORROWED, R.TRUE_ROW, R.TRUE_RUN, R.ROW, R.LABEL)
+_HELPERS = (R.SEGMENT, R.LAST_SEGMENT, R.BORROWED, R.TRUE_ROW, R.TRUE_RUN, R.ROW, R.FAULT,
+            R.RUL)
 
 
 def own_rows(parts: DataFrame) -> DataFrame:
@@ -248,8 +249,8 @@ def link_stability(rows: DataFrame, tie: Sequence[str] = (),
                    max_rows: int = R.MAX_ROWS) -> DataFrame:
     """Add `netlink_stable_hours`: despite its name, a number of readings in a row."""
     parts = R.split_series(rows, 1, "NETWORK_LINK", tie, max_rows)
-    return own_rows(parts.transform(R.run_length("NETWORK_LINK", tie))
-                    .withColumnRenamed("_run", "netlink_stable_hours"))
+    return own_rows(R.with_positions(parts, "NETWORK_LINK", tie)
+                    .withColumnRenamed(R.RUN, "netlink_stable_hours"))
 
 
 def zscore_features(rows: DataFrame, stats: DataFrame | None = None,

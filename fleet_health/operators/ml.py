@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,55 +53,53 @@ def balanced_sample(windows: DataFrame, seed: int = 42) -> DataFrame:
 
 @dataclass
 class FleetModel:
-    """Both fitted models and the scale of the remaining life."""
+    """The fitted stages and the scale of the remaining life."""
 
-    fault: PipelineModel
-    rul: PipelineModel
+    inputs: PipelineModel
+    fault: LogisticRegressionModel
+    rul: GBTRegressionModel
     rul_max: float
 
     def score(self, pooled: DataFrame) -> DataFrame:
         """Add `probability` and `rul` (in days)."""
-        scored = self.fault.transform(pooled).withColumn(
-            "probability", vector_to_array("fault_vector")[1]).select(
-            *pooled.columns, "probability")
-        columns = scored.columns
-        return self.rul.transform(scored).select(
-            *columns, (F.col("rul_share") * F.lit(self.rul_max)).alias("rul"))
+        scored = self.rul.transform(self.fault.transform(self.inputs.transform(pooled)))
+        return scored.select(
+            *pooled.columns, vector_to_array("fault_vector")[1].alias("probability"),
+            (F.col("rul_share") * F.lit(self.rul_max)).alias("rul"))
 
     def save(self, path: str) -> None:
+        """Stages under `path`; the scale goes into the configuration beside them."""
+        self.inputs.write().overwrite().save(f"{path}/inputs")
         self.fault.write().overwrite().save(f"{path}/fault")
         self.rul.write().overwrite().save(f"{path}/rul")
 
     @staticmethod
     def load(path: str, rul_max: float) -> FleetModel:
-        return FleetModel(PipelineModel.load(f"{path}/fault"), PipelineModel.load(f"{path}/rul"),
-                          rul_max)
-
-
-def _inputs(columns: Sequence[str]) -> list:
-    """A z-score is null for a machine with one reading, a share for zero capacity."""
-    filled = [f"{c}_in" for c in columns]
-    return [Imputer(inputCols=list(columns), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="inputs")]
+        return FleetModel(
+            PipelineModel.load(f"{path}/inputs"), LogisticRegressionModel.load(f"{path}/fault"),
+            GBTRegressionModel.load(f"{path}/rul"), rul_max)
 
 
 def train(windows: DataFrame, columns: Sequence[str] = tuple(INPUTS), trees: int = 10,
           iterations: int = 50) -> FleetModel:
     """Fit both models. The classifier weighs classes by inverse frequency; the regressor sees
     faulty windows only and learns remaining life as a share of the largest one."""
-    numeric = windows.select(
-        CODE, "fault_label", "rul_days", *[F.col(c).cast("double").alias(c) for c in columns])
-    rul_max = float(rul_scale(numeric).first()["rul_max"])
-    fault = Pipeline(stages=[*_inputs(columns), LogisticRegression(
+    # A z-score is null for a machine with one reading, a share for zero capacity.
+    filled = [f"{c}_in" for c in columns]
+    numeric = windows.select("fault_label", "rul_days",
+                             *[F.col(c).cast("double").alias(c) for c in columns])
+    inputs = Pipeline(stages=[Imputer(inputCols=list(columns), outputCols=filled),
+                              VectorAssembler(inputCols=filled, outputCol="inputs")]).fit(numeric)
+    ready = inputs.transform(numeric).select("fault_label", "rul_days", "inputs")
+    scale = rul_scale(numeric)
+    fault = LogisticRegression(
         featuresCol="inputs", labelCol="fault_label", weightCol="weight", maxIter=iterations,
         regParam=0.01, probabilityCol="fault_vector", rawPredictionCol="fault_raw",
-        predictionCol="fault_class")]).fit(with_class_weight(numeric))
-    scale = numeric.sparkSession.range(1).select(F.lit(rul_max).alias("rul_max"))
-    faulty = scaled_rul(numeric.where(F.col("fault_label") == 1), scale)
-    rul = Pipeline(stages=[*_inputs(columns), GBTRegressor(
+        predictionCol="fault_class").fit(with_class_weight(ready))
+    rul = GBTRegressor(
         featuresCol="inputs", labelCol="rul_scaled", predictionCol="rul_share", maxIter=trees,
-        maxDepth=4, seed=42)]).fit(faulty)
-    return FleetModel(fault, rul, rul_max)
+        maxDepth=4, seed=42).fit(scaled_rul(ready.where(F.col("fault_label") == 1), scale))
+    return FleetModel(inputs, fault, rul, float(scale.first()["rul_max"]))
 
 
 def as_scored(scores: DataFrame) -> DataFrame:

@@ -38,10 +38,10 @@ def linear_scores(rows: DataFrame, static: DataFrame, length: int = 24, tie: Seq
     """
     slim = rows.select(CODE, TIME, *tie, "HOME_USED_MB", "NETWORK_LINK")
     parts = R.split_series(slim, max(1, length - 1), "NETWORK_LINK", tie, max_rows)
-    parts = R.with_row_number(parts, tie).transform(R.run_length("NETWORK_LINK", tie))
+    parts = R.with_positions(parts, "NETWORK_LINK", tie)
     newest = latest_parts(parts, length, tie).groupBy(CODE, R.SEGMENT).agg(
         F.max(TIME).alias(TIME), F.avg("HOME_USED_MB").alias("_used"),
-        F.max_by("_run", R.ROW).alias("_stable")).join(static.select(CODE), CODE, "left_semi")
+        F.max_by(R.RUN, R.ROW).alias("_stable")).join(static.select(CODE), CODE, "left_semi")
     used, stable, constant = weights
     scores = newest.withColumn("probability", S.logistic(
         F.col("_used") * used + F.col("_stable") * stable + constant))

@@ -19,7 +19,7 @@ STRIDE = 12
 def _index(parts: DataFrame, length: int, stride: int, tie: Sequence[str], *extra) -> DataFrame:
     """Rows that end a complete window, found with a lag instead of building the window."""
     first = F.col(R.ROW) - length
-    return (R.with_row_number(parts, tie)
+    return (R.with_positions(parts, None, tie)
             .withColumn("start_time", F.lag(TIME, length - 1).over(R.by_time(tie)))
             .where(~F.col(R.BORROWED) & (first >= 0) & (first % stride == 0))
             .select(CODE, (first / stride).cast("bigint").alias("window_no"), "start_time",
@@ -40,13 +40,12 @@ def labelled_index(rows: DataFrame, static: DataFrame, labels: DataFrame, length
     keys = rows.select(CODE, TIME, *tie)
     cuts = R.cut_points(keys, max(1, length - 1), max_rows)
     parts = R.split_series(keys, max(1, length - 1), None, tie, cuts=cuts)
-    parts = R.attach_labels(parts, labels, cuts, tie)
+    parts = R.attach_labels(parts, labels, cuts)
     registry = R.place_machines(static.select(CODE), cuts).hint("shuffle_hash")
     parts = parts.join(registry, [CODE, R.SEGMENT], "left_semi")
-    return _index(parts, length, stride, tie, R.LABEL).where(F.col(R.LABEL).isNotNull()).select(
-        CODE, "window_no", "start_time", "target_time",
-        F.col(f"{R.LABEL}.fault_label").alias("fault_label"),
-        F.col(f"{R.LABEL}.rul_days").alias("rul_days"))
+    return (_index(parts, length, stride, tie, R.FAULT, R.RUL)
+            .where(F.col(R.FAULT).isNotNull())
+            .withColumnsRenamed({R.FAULT: "fault_label", R.RUL: "rul_days"}))
 
 
 def _members(parts: DataFrame, length: int, stride: int) -> DataFrame:
@@ -63,29 +62,40 @@ def _members(parts: DataFrame, length: int, stride: int) -> DataFrame:
 _GROUP = (CODE, R.SEGMENT, "window_no")
 
 
-def _complete(groups: DataFrame, length: int) -> DataFrame:
-    """Whole windows that end in their own segment, with a label if labels were attached."""
-    done = groups.where((F.col("_rows") == length) & ~F.col("_end_borrowed"))
-    return done.where(F.col(R.LABEL).isNotNull()).select(
-        *[c for c in done.columns
-          if c not in (R.SEGMENT, "_rows", "_end_borrowed", R.LABEL)],
-        F.col(f"{R.LABEL}.fault_label").alias("fault_label"),
-        F.col(f"{R.LABEL}.rul_days").alias("rul_days"))
-
-
 def _window_facts() -> list:
     return [F.count(F.lit(1)).alias("_rows"),
             F.max_by(R.BORROWED, R.ROW).alias("_end_borrowed"),
-            F.max_by(R.LABEL, R.ROW).alias(R.LABEL),
+            F.max_by(R.FAULT, R.ROW).alias("fault_label"),
+            F.max_by(R.RUL, R.ROW).alias("rul_days"),
             F.max(TIME).alias("target_time")]
 
 
+def _complete(groups: DataFrame, length: int) -> DataFrame:
+    """Whole labelled windows that end in their own segment."""
+    return groups.where((F.col("_rows") == length) & ~F.col("_end_borrowed")
+                        & F.col("fault_label").isNotNull()
+                        ).drop(R.SEGMENT, "_rows", "_end_borrowed")
+
+
 _POOLS = {
     "avg": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp,
     "last": lambda c: F.max_by(c, R.ROW),
 }
 
 
+def _pooled(pools: Sequence[str], window_size: int) -> list:
+    """Each telemetry feature per pool; registry features are the same in all rows of a group."""
+    made = [_POOLS[p](name).alias(name if p == "avg" else f"{name}_{p}")
+            for p in pools for name in dynamic_features(window_size)]
+    return [*made, *[F.max(name).alias(name) for name in STATIC_FEATURES]]
+
+
+def _vector(window_size: int):
+    """Telemetry and registry features of a row, as floats, in model order."""
+    names = [*dynamic_features(window_size), *STATIC_FEATURES]
+    return F.expr("array(" + ", ".join(f"cast({n} as float)" for n in names) + ")")
+
+
 def pooled_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFrame,
                      length: int = LENGTH, stride: int = STRIDE, window_size: int = 12,
                      tie: Sequence[str] = (), pools: Sequence[str] = ("avg",),
@@ -96,16 +106,10 @@ def pooled_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFr
     needs no further shuffle.
     """
     parts = feature_series(rows, static_features, window_size, tie, length, labels,
-                           max_rows=max_rows, **stored)
-    pooled = [_POOLS[p](name).alias(name if p == "avg" else f"{name}_{p}")
-              for p in pools for name in dynamic_features(window_size)]
-    groups = _members(parts, length, stride).groupBy(*_GROUP).agg(*_window_facts(), *pooled)
-    windows = _complete(groups, length)
-    return windows.join(static_features.select(CODE, *STATIC_FEATURES), CODE)
-
-
-def _row_vector(names: Sequence[str]):
-    return F.array(*[F.col(n).cast("float") for n in names])
+                           carry=STATIC_FEATURES, max_rows=max_rows, **stored)
+    groups = _members(parts, length, stride).groupBy(*_GROUP).agg(
+        *_window_facts(), *_pooled(pools, window_size))
+    return _complete(groups, length)
 
 
 def array_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFrame,
@@ -113,21 +117,12 @@ def array_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFra
                     tie: Sequence[str] = (), max_rows: int = R.MAX_ROWS, **stored) -> DataFrame:
     """One row per labelled window: `x`, length x (telemetry + registry features) as floats."""
     parts = feature_series(rows, static_features, window_size, tie, length, labels,
-                           max_rows=max_rows, **stored)
-    step = F.struct(F.col(R.ROW), _row_vector(dynamic_features(window_size)).alias("v"))
-    slim = parts.select(CODE, R.SEGMENT, TIME, R.BORROWED, R.LABEL, R.ROW, step.alias("_step"))
+                           carry=STATIC_FEATURES, max_rows=max_rows, **stored)
+    slim = parts.select(CODE, R.SEGMENT, TIME, R.BORROWED, R.FAULT, R.RUL, R.ROW,
+                        _vector(window_size).alias("v"))
     groups = _members(slim, length, stride).groupBy(*_GROUP).agg(
-        *_window_facts(), F.array_sort(F.collect_list("_step")).alias("_steps"))
-    return _tile(_complete(groups, length), static_features)
-
-
-def _tile(windows: DataFrame, static_features: DataFrame) -> DataFrame:
-    """Append the registry vector to every step."""
-    registry = static_features.select(CODE, _row_vector(STATIC_FEATURES).alias("_static"))
-    joined = windows.join(registry, CODE)
-    return joined.withColumn(
-        "x", F.transform("_steps", lambda s: F.concat(s["v"], F.col("_static")))
-    ).drop("_steps", "_static")
+        *_window_facts(), F.array_sort(F.collect_list(F.struct(R.ROW, "v"))).alias("_steps"))
+    return _complete(groups, length).withColumn("x", F.col("_steps.v")).drop("_steps")
 
 
 # --- newest readings --------------------------------------------------------------------------
@@ -171,24 +166,21 @@ def latest_parts(parts: DataFrame, length: int, tie: Sequence[str] = ()) -> Data
 def latest_sequences(rows: DataFrame, static_features: DataFrame, length: int = LENGTH,
                      window_size: int = 12, tie: Sequence[str] = (),
                      max_rows: int = R.MAX_ROWS, **stored) -> DataFrame:
-    """One row per machine with enough history: `x` of its newest window."""
+    """One row per registered machine with enough history: `x` of its newest window."""
     parts = feature_series(rows, static_features, window_size, tie, length,
-                           max_rows=max_rows, **stored)
-    step = F.struct(F.col("step"), _row_vector(dynamic_features(window_size)).alias("v"))
+                           carry=STATIC_FEATURES, max_rows=max_rows, **stored)
+    step = F.struct(F.col("step"), _vector(window_size).alias("v"))
     groups = latest_parts(parts, length, tie).groupBy(CODE, R.SEGMENT).agg(
         F.max(TIME).alias(TIME), F.array_sort(F.collect_list(step)).alias("_steps"))
-    return _tile(groups.drop(R.SEGMENT), static_features)
+    return groups.select(CODE, TIME, F.col("_steps.v").alias("x"))
 
 
 def latest_pooled(rows: DataFrame, static_features: DataFrame, length: int = LENGTH,
                   window_size: int = 12, tie: Sequence[str] = (),
                   pools: Sequence[str] = ("avg",), max_rows: int = R.MAX_ROWS,
                   **stored) -> DataFrame:
-    """One row per machine with enough history: pooled features of its newest window."""
+    """One row per registered machine with enough history: pooled features of its newest window."""
     parts = feature_series(rows, static_features, window_size, tie, length,
-                           max_rows=max_rows, **stored)
-    pooled = [_POOLS[p](name).alias(name if p == "avg" else f"{name}_{p}")
-              for p in pools for name in dynamic_features(window_size)]
-    groups = latest_parts(parts, length, tie).groupBy(CODE, R.SEGMENT).agg(
-        F.max(TIME).alias(TIME), *pooled)
-    return groups.drop(R.SEGMENT).join(static_features.select(CODE, *STATIC_FEATURES), CODE)
+                           carry=STATIC_FEATURES, max_rows=max_rows, **stored)
+    return latest_parts(parts, length, tie).groupBy(CODE, R.SEGMENT).agg(
+        F.max(TIME).alias(TIME), *_pooled(pools, window_size)).drop(R.SEGMENT)

@@ -31,7 +31,9 @@ BORROWED = "_borrowed"
 TRUE_ROW = "_true_row"
 TRUE_RUN = "_true_run"
 ROW = "_row"
-LABEL = "_label"
+RUN = "_run"
+FAULT = "_fault"
+RUL = "_rul"
 
 MAX_ROWS = 1_000_000
 # At most this many segments come from long machines, whatever the table size: the row limit grows
@@ -142,45 +144,34 @@ def split_series(rows: DataFrame, halo: int, link: str | None = None, tie: Seque
     return own.unionByName(_borrowed_rows(place(rows, cuts, long_only=True), halo, link, tie))
 
 
-def attach_labels(series: DataFrame, labels: DataFrame, cuts: DataFrame,
-                  tie: Sequence[str] = ()) -> DataFrame:
-    """Give each reading the (fault_label, rul_days) with exactly its key, or null.
+def attach_labels(series: DataFrame, labels: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Give each reading the `_fault` and `_rul` of the label with exactly its key, or null.
 
     Labels are as many as readings, so they travel in the same shuffle as the readings: both are
-    stacked, partitioned by (machine, segment), and matched by a window on the exact time that
-    needs no exchange or sort of its own.
+    stacked, and a label is found among the rows of equal time. Partitioning and order are those
+    of the other windows, so this adds neither an exchange nor a sort.
     """
-    pair = F.struct(F.col("fault_label").cast("int").alias("fault_label"),
-                    F.col("rul_days").cast("double").alias("rul_days"))
-    markers = place(labels.select(CODE, TIME, pair.alias(LABEL)), cuts)
+    markers = place(labels.select(CODE, TIME, F.col("fault_label").cast("int").alias(FAULT),
+                                  F.col("rul_days").cast("double").alias(RUL)), cuts)
     stacked = series.withColumn("_marker", F.lit(False)).unionByName(
         markers.withColumn("_marker", F.lit(True)).withColumn(BORROWED, F.lit(False)),
         allowMissingColumns=True)
-    same_key = (Window.partitionBy(CODE, SEGMENT, TIME).orderBy(*tie) if tie
-                else Window.partitionBy(CODE, SEGMENT, TIME))
-    same_key = same_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (stacked.withColumn(LABEL, F.max(LABEL).over(same_key))
+    same_time = by_time().rangeBetween(Window.currentRow, Window.currentRow)
+    return (stacked.withColumns({c: F.max(c).over(same_time) for c in (FAULT, RUL)})
             .where(~F.col("_marker")).drop("_marker"))
 
 
-def with_row_number(series: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
-    """Add the position of the row in its machine's whole history, from 1."""
-    order = by_time(tie)
-    return (series.withColumn("_at", F.row_number().over(order))
-            .withColumn(ROW, F.col("_at") + F.coalesce(
-                F.max(F.col(TRUE_ROW) - F.col("_at")).over(running(tie)), F.lit(0)))
-            .drop("_at"))
-
-
-def run_length(link: str, tie: Sequence[str] = ()):
-    """Transform: add `_run`, the number of consecutive rows up to this one with link = 1."""
-    def add(series: DataFrame) -> DataFrame:
-        order = by_time(tie)
-        down = F.coalesce(F.col(link), F.lit(0)) != 1
-        anchor = (F.when(F.col(BORROWED), F.col("_at") - F.col(TRUE_RUN))
-                  .when(down, F.col("_at")))
-        return (series.withColumn("_at", F.row_number().over(order))
-                .withColumn("_run", F.col("_at") - F.coalesce(
-                    F.max(anchor).over(running(tie)), F.lit(0)))
-                .drop("_at"))
-    return add
+def with_positions(series: DataFrame, link: str | None = None,
+                   tie: Sequence[str] = ()) -> DataFrame:
+    """Add `_row`, the position in the machine's whole history from 1, and for a `link` column
+    `_run`, the number of consecutive rows up to this one in which it is 1."""
+    at = F.col("_at")
+    upto = running(tie)
+    added = {ROW: at + F.coalesce(F.max(F.col(TRUE_ROW) - at).over(upto), F.lit(0))}
+    if link:
+        # The last row that was down; borrowed rows know how far back theirs lies.
+        down = F.when(F.col(BORROWED), at - F.col(TRUE_RUN)).when(
+            F.coalesce(F.col(link), F.lit(0)) != 1, at)
+        added[RUN] = at - F.coalesce(F.max(down).over(upto), F.lit(0))
+    return (series.withColumn("_at", F.row_number().over(by_time(tie)))
+            .withColumns(added).drop("_at"))
