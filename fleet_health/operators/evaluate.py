@@ -171,13 +171,18 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.inline(F.array(*lines))).where(F.col("value").isNotNull())
 
 
+def _correlation(x, y):
+    """As `corr`, but null instead of an error where one of the two is constant."""
+    y = F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def feature_importance(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """Absolute correlation of each feature with the label; 0 for a constant feature."""
-    one = rows.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f)
-                     for f in features])
+    y = F.col(label).cast("double")
+    one = rows.agg(*[_correlation(F.col(f).cast("double"), y).alias(f) for f in features])
     pairs = [F.struct(F.lit(f).alias("feature"),
-                      F.coalesce(F.abs(F.nanvl(F.col(f), F.lit(0.0))), F.lit(0.0)).alias("score"))
-             for f in features]
+                      F.coalesce(F.abs(F.col(f)), F.lit(0.0)).alias("score")) for f in features]
     return one.select(F.inline(F.array(*pairs)))
 
 

@@ -28,17 +28,16 @@ def category_dictionary(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     with more than MAX_CATEGORIES values is no category: that is an error, and it also bounds the
     row, which gets broadcast.
     """
-    result = None
-    for name in columns:
-        values = (table.where(F.col(name).isNotNull()).select(name).distinct()
-                  .limit(MAX_CATEGORIES + 1)
-                  .agg(F.array_sort(F.collect_list(name)).alias(name)))
-        checked = values.select(F.when(
-            F.size(name) > MAX_CATEGORIES,
-            F.raise_error(F.lit(f"{name} has more than {MAX_CATEGORIES} distinct values"))
-        ).otherwise(F.col(name)).alias(name))
-        result = checked if result is None else result.crossJoin(checked)
-    return result
+    pairs = (table.select(F.inline(F.array(*[
+                F.struct(F.lit(c).alias("_name"), F.col(c).alias("_value")) for c in columns])))
+             .where(F.col("_value").isNotNull()).distinct()
+             .limit(len(columns) * MAX_CATEGORIES + 1))
+    found = pairs.agg(*[F.array_sort(F.collect_list(F.when(F.col("_name") == c, F.col("_value"))))
+                        .alias(c) for c in columns])
+    # If the limit cut anything off, at least one column is over its share of it.
+    return found.select(*[F.when(F.size(c) > MAX_CATEGORIES, F.raise_error(F.lit(
+        f"{c} has more than {MAX_CATEGORIES} distinct values"))).otherwise(F.col(c)).alias(c)
+        for c in columns])
 
 
 def encode_categories(table: DataFrame, columns: Sequence[str],
