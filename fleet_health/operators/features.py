@@ -216,13 +216,14 @@ def telemetry_features(rows: DataFrame, static: DataFrame, window_size: int = 12
                        tie: Sequence[str] = (), now: DataFrame | None = None,
                        stats: DataFrame | None = None,
                        max_rows: int = R.MAX_ROWS) -> DataFrame:
-    """The readings with all derived feature columns."""
+    """The readings with all derived feature columns, in machine and time order per partition."""
     return own_rows(feature_series(rows, static, window_size, tie, now=now, stats=stats,
                                    max_rows=max_rows))
 
 
 def feature_vector(features: DataFrame, window_size: int = 12, ordered: bool = False) -> DataFrame:
-    """Keys and features only, in model order; `ordered` sorts inside the partitions."""
+    """Keys and features only, in model order; `ordered` sorts inside the partitions, which is of
+    use only after steps that changed the order."""
     picked = features.select(CODE, TIME, *dynamic_features(window_size))
     return picked.sortWithinPartitions(CODE, TIME) if ordered else picked
 

@@ -18,22 +18,32 @@ def unregistered_machines(rows: DataFrame, static: DataFrame) -> DataFrame:
     return rows.select(CODE).distinct().join(static.select(CODE), CODE, "left_anti")
 
 
+def _machines(static: DataFrame, degradation: DataFrame) -> DataFrame:
+    """Registered machines with their degradation, or nulls.
+
+    Stacked and grouped instead of joined: Spark then knows that the result is no larger than both
+    tables together, and broadcasts it in the next join if that is below the session's threshold.
+    """
+    columns = ["failure_mode", "days_to_failure", "start_of_degradation"]
+    stacked = static.select(CODE, F.lit(True).alias("_registered")).unionByName(
+        degradation.select(CODE, *columns), allowMissingColumns=True)
+    return (stacked.groupBy(CODE).agg(F.max("_registered").alias("_registered"),
+                                      *[F.max(c).alias(c) for c in columns])
+            .where("_registered").drop("_registered"))
+
+
 def labels_from_degradation(rows: DataFrame, static: DataFrame,
                             degradation: DataFrame) -> DataFrame:
     """Label every reading of a registered machine.
 
-    Registry and degradation are joined first, both being one row per machine, so the readings are
-    joined once. From the start of degradation on, a reading is faulty and its remaining life runs
-    down to 0; before it, the label is 0 with no remaining life (-1). The failure mode is set on
-    all readings of a degrading machine.
+    From the start of degradation on, a reading is faulty and its remaining life runs down to 0;
+    before it, the label is 0 with no remaining life (-1). The failure mode is set on all readings
+    of a degrading machine. The readings are joined once.
     """
-    machines = static.select(CODE).join(
-        degradation.select(CODE, "failure_mode", "days_to_failure", "start_of_degradation"),
-        CODE, "left")
     failure = F.col("start_of_degradation") + F.make_dt_interval(F.col("days_to_failure"))
     started = F.col(TIME) >= F.col("start_of_degradation")
     remaining = S.at_least_zero(S.days_between(TIME, failure))
-    return rows.select(CODE, TIME).join(machines, CODE).select(
+    return rows.select(CODE, TIME).join(_machines(static, degradation), CODE).select(
         CODE, TIME, S.flag(started).alias("fault_label"),
         F.when(started, F.round(remaining, 4)).otherwise(F.lit(-1.0)).alias("rul_days"),
         F.coalesce("failure_mode", F.lit("none")).alias("failure_mode"))

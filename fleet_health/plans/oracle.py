@@ -13,7 +13,13 @@ def _half_up(x: str, digits: int) -> str:
     return f"CAST(ROUND(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
+# Hours come from whole microseconds by one division, so exact ties occur and must round alike.
+_TIES = {"os_uptime_hours", "db_uptime_hours", "log_exist_hours"}
+
+
 def _r(name: str, digits: int = 6) -> str:
+    if name in _TIES:
+        return f"{_half_up(name, digits)} + 0.0 AS {name}"
     return f"ROUND(CAST({name} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
@@ -289,7 +295,7 @@ SELECT {KEY}, LAST_TKT_NUMBER, CAST(NETWORK_LINK AS BIGINT) AS NETWORK_LINK, {_r
 SELECT failure_mode, count(*) AS n_faults FROM v_labels WHERE fault_label = 1
 GROUP BY failure_mode ORDER BY n_faults DESC, failure_mode""",
     "failure_mode_map": """
-SELECT count(*) OVER () AS n_modes, failure_mode AS mode, count(*) AS n_faults
+SELECT CAST(count(*) OVER () AS INTEGER) AS n_modes, failure_mode AS mode, count(*) AS n_faults
 FROM v_labels WHERE fault_label = 1 GROUP BY failure_mode""",
     "fault_rate": "SELECT ROUND(avg(fault_label) * 100, 6) + 0.0 AS fault_rate FROM v_labels",
     "latest_reading": "SELECT TERMINAL_CODE, EXECUTION_TIME, event_id, HOME_USED_MB, NETWORK_LINK FROM v_islands WHERE rn = n_rows",

@@ -93,7 +93,7 @@ def zscores(spark, sf):
 @query
 def features_all(spark, sf):
     made = features.telemetry_features(V.dynamic(spark, sf), V.static(spark, sf))
-    return features.feature_vector(made, ordered=True).select(
+    return features.feature_vector(made).select(
         *KEY, *[_round(c, 7 if "roll_mean" in c else 6) for c in DYNAMIC_FEATURES])
 
 
