@@ -150,18 +150,20 @@ def _zscore(name: str, mean: Column, std: Column) -> Column:
     return (F.col(name) - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)
 
 
-def with_zscores(parts: DataFrame, long_rows: DataFrame | None = None,
+def with_zscores(parts: DataFrame, rows: DataFrame, cuts: DataFrame,
                  stats: DataFrame | None = None) -> DataFrame:
     """Distance from the machine's own mean, in its own deviations, over its whole history.
 
     Machines in one segment take both from a window in the partitioning at hand. Long machines are
     few (bounded by the cut table), so theirs are aggregated first and broadcast. With `stats`
-    (stored `machine_moments`) all values come from there.
+    (stored `machine_moments`) all values come from there, by a join in the same partitioning.
     """
-    known = machine_moments(long_rows) if stats is None else stats
     if stats is None:
-        known = F.broadcast(known)
-    joined = parts.join(known, CODE, "left")
+        known = F.broadcast(machine_moments(R.place(rows, cuts, long_only=True)))
+        joined = parts.join(known, CODE, "left")
+    else:
+        known = R.place_machines(stats, cuts)
+        joined = parts.join(known.hint("shuffle_hash"), [CODE, R.SEGMENT], "left")
     whole = R.whole_segment()
     added = {}
     for name, prefix in ROLLING_STD.items():
@@ -170,7 +172,7 @@ def with_zscores(parts: DataFrame, long_rows: DataFrame | None = None,
             mean = F.when(F.col("_known"), mean).otherwise(F.avg(name).over(whole))
             std = F.when(F.col("_known"), std).otherwise(F.stddev_samp(name).over(whole))
         added[f"{prefix}_zscore"] = _zscore(name, mean, std)
-    return joined.withColumns(added).drop(*[c for c in known.columns if c != CODE])
+    return joined.withColumns(added).drop(*[c for c in known.columns if c not in (CODE, R.SEGMENT)])
 
 
 def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
@@ -196,7 +198,7 @@ def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
     parts = with_differences(parts, tie)
     parts = R.with_positions(parts, "NETWORK_LINK", tie)
     parts = parts.withColumnRenamed(R.RUN, "netlink_stable_hours")
-    parts = with_zscores(parts, R.place(rows, cuts, long_only=True), stats)
+    parts = with_zscores(parts, rows, cuts, stats)
     parts = parts.withColumns({n: _usage(*cols) for n, cols in _USAGE.items()})
     parts = parts.drop(*_CAPACITY_COLUMNS)
     parts = with_ratios(with_cyclic_time(with_ticket_number(parts)))
@@ -214,11 +216,17 @@ def own_rows(parts: DataFrame) -> DataFrame:
 
 def telemetry_features(rows: DataFrame, static: DataFrame, window_size: int = 12,
                        tie: Sequence[str] = (), now: DataFrame | None = None,
-                       stats: DataFrame | None = None,
+                       stats: DataFrame | None = None, labels: DataFrame | None = None,
                        max_rows: int = R.MAX_ROWS) -> DataFrame:
-    """The readings with all derived feature columns, in machine and time order per partition."""
-    return own_rows(feature_series(rows, static, window_size, tie, now=now, stats=stats,
-                                   max_rows=max_rows))
+    """The readings with all derived feature columns, in machine and time order per partition.
+
+    With `labels`, `fault_label` and `rul_days` of the same key are added, or null.
+    """
+    parts = feature_series(rows, static, window_size, tie, now=now, stats=stats, labels=labels,
+                           max_rows=max_rows)
+    if labels is not None:
+        parts = parts.withColumnsRenamed({R.FAULT: "fault_label", R.RUL: "rul_days"})
+    return own_rows(parts)
 
 
 def feature_vector(features: DataFrame, window_size: int = 12, ordered: bool = False) -> DataFrame:
@@ -256,5 +264,4 @@ def link_stability(rows: DataFrame, tie: Sequence[str] = (),
 def zscore_features(rows: DataFrame, stats: DataFrame | None = None,
                     max_rows: int = R.MAX_ROWS) -> DataFrame:
     cuts = R.cut_points(rows, 1, max_rows)
-    scored = with_zscores(R.place(rows, cuts), R.place(rows, cuts, long_only=True), stats)
-    return scored.drop(*_HELPERS)
+    return with_zscores(R.place(rows, cuts), rows, cuts, stats).drop(*_HELPERS)

@@ -225,7 +225,8 @@ def sequences_pooled(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    return ml.stratified_split(_labelled(spark, sf)).select(
+    """The split reads the windows three times, so they are written once."""
+    return ml.stratified_split(cut_lineage(_labelled(spark, sf))).select(
         CODE, "window_no", "fault_label", "is_test")
 
 
@@ -243,7 +244,7 @@ def rul_summary(spark, sf):
 @query
 def rul_scale(spark, sf):
     """Scale from the training windows, applied to all faulty windows."""
-    split = ml.stratified_split(_labelled(spark, sf))
+    split = ml.stratified_split(cut_lineage(_labelled(spark, sf)))
     scale = evaluate.rul_scale(split.where(~F.col("is_test")))
     return evaluate.scaled_rul(split.where("fault_label = 1"), scale).select(
         CODE, "window_no", _round("rul_max"), _round("rul_scaled"))
@@ -365,9 +366,10 @@ def metrics_report(spark, sf):
 @query
 def top_features(spark, sf):
     """Telemetry features by correlation with the fault label."""
-    made = features.telemetry_features(V.dynamic(spark, sf), V.static(spark, sf))
-    joined = made.join(V.labels(spark, sf).select(*KEY, "fault_label"), KEY)
-    scores = evaluate.feature_importance(joined, DYNAMIC_FEATURES, "fault_label")
+    made = features.telemetry_features(V.dynamic(spark, sf), V.static(spark, sf),
+                                       labels=V.labels(spark, sf))
+    scores = evaluate.feature_importance(made.where(F.col("fault_label").isNotNull()),
+                                         DYNAMIC_FEATURES, "fault_label")
     return evaluate.top_features(scores.select("feature", _round("score")), 20)
 
 
