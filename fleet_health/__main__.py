@@ -13,7 +13,7 @@ from __future__ import annotations
 import argparse
 
 from fleet_health.operators import scoring
-from fleet_health.plans import pipeline
+from fleet_health.plans import runs
 from fleet_health.schema import DYNAMIC_SCHEMA, LABELS_SCHEMA, PREDICTIONS_SCHEMA, STATIC_SCHEMA
 from fleet_health.session import build_session
 from fleet_health.sources import datasets, tables
@@ -34,7 +34,7 @@ def adapt(spark, args) -> None:
 
 def train(spark, args) -> None:
     static, dynamic, labels = (load(spark, args.tables, name) for name in SCHEMAS)
-    metrics = pipeline.train_fleet(static, dynamic, labels, args.model_dir, args.seq_len, args.stride,
+    metrics = runs.train_fleet(static, dynamic, labels, args.model_dir, args.seq_len, args.stride,
                                    args.subset, args.split_by)
     if metrics is None:
         print("Too few windows.")
@@ -44,7 +44,7 @@ def train(spark, args) -> None:
 
 def predict(spark, args) -> None:
     static, dynamic = (load(spark, args.tables, name) for name in ("static_data", "dynamic_data"))
-    made = pipeline.predict_fleet(static, dynamic, args.model_dir, args.seq_len)
+    made = runs.predict_fleet(static, dynamic, args.model_dir, args.seq_len)
     tables.write_csv(made, args.output)
     stored = tables.read_csv(spark, args.output, PREDICTIONS_SCHEMA)
     scoring.at_risk_summary(stored).show()
@@ -54,7 +54,7 @@ def predict(spark, args) -> None:
 def report(spark, args) -> None:
     static, dynamic, labels = (load(spark, args.tables, name) for name in SCHEMAS)
     predictions = tables.read_csv(spark, args.predictions, PREDICTIONS_SCHEMA)
-    for table in pipeline.fleet_report(spark, static, dynamic, labels, predictions).values():
+    for table in runs.fleet_report(spark, static, dynamic, labels, predictions).values():
         table.show(truncate=False)
 
 

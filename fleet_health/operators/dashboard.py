@@ -11,10 +11,6 @@ from fleet_health.functions import scalars as S
 from fleet_health.schema import CODE
 
 
-def _no_rows_is_zero(name):
-    return F.coalesce(name, F.lit(0)).alias(name)
-
-
 def fleet_overview(spark, static: DataFrame | None = None, dynamic: DataFrame | None = None,
                    labels: DataFrame | None = None, predictions: DataFrame | None = None
                    ) -> DataFrame:

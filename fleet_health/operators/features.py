@@ -187,6 +187,9 @@ def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
     With `carry`, registry columns are added and readings of unregistered machines leave.
     """
     halo = max(1, window_size - 1 + steps - 1)
+    now = latest_time(rows) if now is None else now
+    if carry:
+        rows = rows.where(F.col(CODE).isNotNull())
     cuts = R.cut_points(rows, halo, max_rows)
     parts = R.split_series(rows, halo, "NETWORK_LINK", tie, cuts=cuts)
     if labels is not None:
@@ -202,7 +205,7 @@ def feature_series(rows: DataFrame, static: DataFrame, window_size: int = 12,
     parts = parts.withColumns({n: _usage(*cols) for n, cols in _USAGE.items()})
     parts = parts.drop(*_CAPACITY_COLUMNS)
     parts = with_ratios(with_cyclic_time(with_ticket_number(parts)))
-    return with_uptime(parts, latest_time(rows) if now is None else now)
+    return with_uptime(parts, now)
 
 
 _HELPERS = (R.SEGMENT, R.LAST_SEGMENT, R.BORROWED, R.TRUE_ROW, R.TRUE_RUN, R.ROW, R.FAULT,

@@ -29,7 +29,8 @@ def _index(parts: DataFrame, length: int, stride: int, tie: Sequence[str], *extr
 def sequence_index(rows: DataFrame, length: int = LENGTH, stride: int = STRIDE,
                    tie: Sequence[str] = (), max_rows: int = R.MAX_ROWS) -> DataFrame:
     """Number, first and last time of every complete window of a machine."""
-    parts = R.split_series(rows.select(CODE, TIME, *tie), max(1, length - 1), None, tie, max_rows)
+    keys = rows.where(F.col(CODE).isNotNull()).select(CODE, TIME, *tie)
+    parts = R.split_series(keys, max(1, length - 1), None, tie, max_rows)
     return _index(parts, length, stride, tie)
 
 
@@ -37,7 +38,7 @@ def labelled_index(rows: DataFrame, static: DataFrame, labels: DataFrame, length
                    stride: int = STRIDE, tie: Sequence[str] = (),
                    max_rows: int = R.MAX_ROWS) -> DataFrame:
     """Windows of registered machines whose last reading has a label."""
-    keys = rows.select(CODE, TIME, *tie)
+    keys = rows.where(F.col(CODE).isNotNull()).select(CODE, TIME, *tie)
     cuts = R.cut_points(keys, max(1, length - 1), max_rows)
     parts = R.split_series(keys, max(1, length - 1), None, tie, cuts=cuts)
     parts = R.attach_labels(parts, labels, cuts)

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from fleet_health.operators import dashboard, labels, scoring
 from fleet_health.schema import (CODE, DEGRADATION_SCHEMA, LABELS_SCHEMA, PREDICTIONS_SCHEMA, TIME)

@@ -8,7 +8,7 @@ import pytest
 
 from fleet_health.__main__ import main
 from fleet_health.operators import labels
-from fleet_health.plans import pipeline
+from fleet_health.plans import runs
 from fleet_health.schema import (CODE, DYNAMIC_SCHEMA, LABELS_SCHEMA, PREDICTIONS_SCHEMA, STATIC_SCHEMA)
 from fleet_health.sources import tables
 
@@ -51,8 +51,8 @@ def test_guards(spark, tmp_path):
     main(["adapt", "--dataset", "ai4i2020", "--input", str(tmp_path / "raw.csv"), "--output", str(tmp_path / "t")])
     static, dynamic, label_table = (tables.read_csv(spark, str(tmp_path / "t" / n), s) for n, s in [
         ("static_data", STATIC_SCHEMA), ("dynamic_data", DYNAMIC_SCHEMA), ("labels", LABELS_SCHEMA)])
-    assert pipeline.train_fleet(static, dynamic, label_table, str(tmp_path / "m"), 12, 4) is None
+    assert runs.train_fleet(static, dynamic, label_table, str(tmp_path / "m"), 12, 4) is None
     with pytest.raises(ValueError, match="duplicate keys"):
-        pipeline.train_fleet(static.union(static), dynamic, label_table, str(tmp_path / "m"), 12, 4)
+        runs.train_fleet(static.union(static), dynamic, label_table, str(tmp_path / "m"), 12, 4)
     some = labels.machine_subset(2, dynamic, static)
     assert some[1].count() == 2
