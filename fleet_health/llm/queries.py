@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import bpe, token_files
+from fleet_health.llm import bpe, mixing, secrets, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,5 +28,23 @@ def op7_token_files(spark, sf_dir):
         F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_token_files)}
+def op9_source_mix(spark, sf_dir):
+    mixed, sources = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixed.join(sources, mixed["source"].eqNullSafe(sources["source"]))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target",
+                        F.col("mix_taken").alias("taken"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select(
+        "doc_id", *[secrets.count_of(F.col("spans"), k).cast("bigint").alias(f"n_{k}")
+                    for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(F.col("spans"), ["assign", "access", "hex"]), 256)
+        .alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op6_byte_bpe, op7_token_files, op9_source_mix, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
