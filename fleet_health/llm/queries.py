@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import bpe, mixing, secrets, token_files
+from fleet_health.llm import bpe, fingerprints, mixing, secrets, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,10 @@ def op7_token_files(spark, sf_dir):
         F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark, sf_dir):
     mixed, sources = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     mixed = mixed.join(sources, mixed["source"].eqNullSafe(sources["source"]))
@@ -46,5 +50,5 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_byte_bpe, op7_token_files, op9_source_mix, op10_secret_scan)}
+    op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
