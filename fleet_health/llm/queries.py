@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import bpe, fingerprints, mixing, secrets, token_files
+from fleet_health.llm import ann, bpe, fingerprints, mixing, secrets, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -13,6 +13,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op2_posting_lists(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20,
+                      key="vec_id", vector="embedding")
+
+
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keys=["doc_id"])
@@ -50,5 +55,5 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
+    op2_posting_lists, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
