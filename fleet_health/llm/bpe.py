@@ -211,8 +211,8 @@ def _encoder(merges, pattern, text_col, id_col, count_col):
             counts = np.diff(starts)[code]
             return np.concatenate(([0], np.cumsum(counts)))[ends], ids[spans(starts[code], counts)]
 
-        cache = UnitCache(of_units)
-        for frame in slices(frames, text_col):
+        cache = UnitCache(of_units, 200_000)
+        for frame in slices(frames, text_col, 2_000_000):
             ids, ends = cache.tokens(frame[text_col])
             packed = ids.astype("<u4").tobytes()
             out = frame.drop(columns=[text_col])
