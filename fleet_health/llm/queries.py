@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import ann, bpe, fingerprints, mixing, secrets, token_files
+from fleet_health.llm import ann, bpe, fingerprints, mixing, secrets, substrings, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,11 @@ def op2_posting_lists(spark, sf_dir):
                       key="vec_id", vector="embedding")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keys=["doc_id"])
@@ -55,5 +60,5 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_posting_lists, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
+    op2_posting_lists, op3_substring_dedup, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
