@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import ann, bpe, fingerprints, mixing, secrets, substrings, token_files
+from fleet_health.llm import ann, bpe, fingerprints, jaccard, mixing, secrets, substrings, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -13,6 +13,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op2_posting_lists(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20,
                       key="vec_id", vector="embedding")
@@ -60,5 +64,26 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_posting_lists, op3_substring_dedup, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH RECURSIVE tokens AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS gram
+  FROM tokens WHERE len(w) >= 5
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM tokens WHERE len(w) BETWEEN 1 AND 4),
+sized AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM grams x JOIN grams y
+           ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized s ON s.doc_id = a JOIN sized t ON t.doc_id = b
+          WHERE 100 * m >= 75 * (s.n + t.n - m)),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT reach.a, ends.b FROM reach JOIN ends ON ends.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sized ON sized.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_health.llm.common import parts_for, rolling, word_hashes, words
+from fleet_health.llm.packed import answer, cut, joined, ranged, runs_of
 
 #: Code points of one group of documents and of one hash range, about.
 GROUP_CHARS, RANGE_CHARS = 8e6, 12e6
@@ -44,66 +45,26 @@ class Group:
         return at, found[at]
 
 
-def _ranged(found: np.ndarray, ranges: int) -> np.ndarray:
-    """The hash range in the upper half, 32 other bits of the hash in the lower."""
-    upper = (found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    return upper << np.uint64(32) | found & np.uint64(0xFFFFFFFF)
-
-
-def _cut(keys: np.ndarray, upper: np.ndarray):
-    """(range, start, end) of each run of equal `upper`."""
-    if len(keys):
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(upper)) + 1, [len(keys)]))
-        yield from zip(upper[edges[:-1]].tolist(), edges[:-1], edges[1:])
-
-
-def _runs(sorted_keys: np.ndarray) -> np.ndarray:
-    new = np.ones(len(sorted_keys), bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    return np.flatnonzero(new)
-
-
 def _send_blocks(block, ranges):
     def send(frame):
         group = Group(frame)
         at, found = group.windows(block)
-        keys = _ranged(found, ranges)
+        keys = ranged(found, ranges)
         anchors = np.unique(keys[(at - group.starts[group.row[at]]) % block == 0])
         keys, counts = np.unique(keys, return_counts=True)
         flags = (counts > 1).astype(np.uint8) * 2
         flags[np.searchsorted(keys, anchors)] |= 1
         g, low = int(frame["g"].iloc[0]), keys.astype("<u4")
         return pd.DataFrame([(g, r, low[a:b].tobytes(), flags[a:b].tobytes())
-                             for r, a, b in _cut(keys, keys >> np.uint64(32))],
+                             for r, a, b in cut(keys, keys >> np.uint64(32))],
                             columns=["g", "r", "keys", "flags"])
 
     return send
 
 
-def _joined(column, kind):
-    return np.frombuffer(b"".join(column), kind)
-
-
-def _answer(frame, entry_bytes, hit):
-    """Rows (g, order of its entries) for the entries of runs of equal keys where `hit` says so."""
-    counts = frame["keys"].str.len().to_numpy() // entry_bytes
-    g = np.repeat(frame["g"].to_numpy(np.int64), counts)
-    keys = _joined(frame["keys"], f"<u{entry_bytes}")
-    order = np.argsort(keys, kind="stable")
-    runs = _runs(keys[order])
-    good, value = hit(order, runs)
-    lengths = np.diff(np.append(runs, len(keys)))
-    chosen = order[np.repeat(good, lengths)]
-    values = np.repeat(value, lengths)[np.repeat(good, lengths)]
-    by = np.lexsort((keys[chosen], g[chosen]))
-    chosen, values = chosen[by], values[by]
-    return [(i, keys[chosen[a:b]].tobytes(), values[a:b].tobytes())
-            for i, a, b in _cut(chosen, g[chosen])]
-
-
 def _join_blocks(frame):
     """Which blocks are an anchor somewhere and occur more than once."""
-    flags = _joined(frame["flags"], np.uint8)
+    flags = joined(frame["flags"], np.uint8)
 
     def hit(order, runs):
         own = flags[order]
@@ -111,7 +72,7 @@ def _join_blocks(frame):
         return (np.bitwise_or.reduceat(own & 1, runs) > 0) & (times > 1), np.zeros(len(runs), np.uint8)
 
     r = int(frame["r"].iloc[0])
-    return pd.DataFrame([(g, r, keys) for g, keys, _ in _answer(frame, 4, hit)],
+    return pd.DataFrame([(g, r, keys) for g, keys, _ in answer(frame, 4, hit)],
                         columns=["g", "r", "hits"])
 
 
@@ -125,7 +86,7 @@ def _send_windows(width, block, ranges):
             for r, k in zip(hits["r"], hits["hits"])]))
         group = Group(frame)
         at, found = group.windows(block)
-        keys = _ranged(found, ranges)
+        keys = ranged(found, ranges)
         place = np.minimum(np.searchsorted(sought, keys), len(sought) - 1)
         hit = at[sought[place] == keys]
         # a window that holds the block at p starts in [p + block - width, p]
@@ -138,7 +99,7 @@ def _send_windows(width, block, ranges):
         ids = group.ids[group.row[at]]
         order = np.lexsort((ids, found))
         found, ids = found[order], ids[order]
-        runs = _runs(found)
+        runs = runs_of(found)
         if not len(runs):
             return out
         last = np.append(runs[1:], len(found)) - 1
@@ -146,7 +107,7 @@ def _send_windows(width, block, ranges):
         upper = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         g = int(frame["g"].iloc[0])
         return pd.DataFrame([(g, r, keys[a:b].astype("<u8").tobytes(), least[a:b].astype("<i8").tobytes(),
-                              several[a:b].tobytes()) for r, a, b in _cut(keys, upper)],
+                              several[a:b].tobytes()) for r, a, b in cut(keys, upper)],
                             columns=out.columns)
 
     return send
@@ -154,14 +115,14 @@ def _send_windows(width, block, ranges):
 
 def _join_windows(frame):
     """The least document of each window that more than one document has."""
-    least, several = _joined(frame["least"], "<i8"), _joined(frame["several"], np.uint8)
+    least, several = joined(frame["least"], "<i8"), joined(frame["several"], np.uint8)
 
     def hit(order, runs):
         lengths = np.diff(np.append(runs, len(order)))
         more = (lengths > 1) | (np.bitwise_or.reduceat(several[order], runs) > 0)
         return more, np.minimum.reduceat(least[order], runs)
 
-    return pd.DataFrame(_answer(frame, 8, hit), columns=["g", "keys", "least"])
+    return pd.DataFrame(answer(frame, 8, hit), columns=["g", "keys", "least"])
 
 
 def _remove(width):
@@ -171,7 +132,7 @@ def _remove(width):
         group = Group(frame)
         cover = np.zeros(len(group.hashes) + 1, np.int64)
         if len(repeats):
-            keys, least = _joined(repeats["keys"], "<u8"), _joined(repeats["least"], "<i8")
+            keys, least = joined(repeats["keys"], "<u8"), joined(repeats["least"], "<i8")
             order = np.argsort(keys)
             keys, least = keys[order], least[order]
             at, found = group.windows(width)
