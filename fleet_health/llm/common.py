@@ -144,3 +144,29 @@ class UnitCache:
         ids = self.ids[spans(self.ends[at], counts)]
         per_unit = np.concatenate(([0], np.cumsum(counts)))
         return ids, per_unit[np.concatenate(([0], np.cumsum(sizes)))]
+
+
+def open_store(folder: str):
+    """A pyarrow file system and the folder's path in it; works for any store pyarrow knows."""
+    from pyarrow import fs
+
+    path = local_path(folder)
+    if path is not None:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(folder)
+
+
+def save_array(folder: str, name: str, array: np.ndarray) -> None:
+    store, path = open_store(folder)
+    with store.open_output_stream(f"{path}/{name}") as out:
+        out.write(np.ascontiguousarray(array).data)
+
+
+def load_array(folder: str, name: str, kind: str) -> np.ndarray:
+    """Memory-mapped where the folder is mounted, read whole otherwise."""
+    store, path = open_store(folder)
+    if store.get_file_info(f"{path}/{name}").size == 0:
+        return np.empty(0, kind)
+    if local_path(folder) is not None:
+        return np.memmap(f"{path}/{name}", kind, "r")
+    return np.frombuffer(store.open_input_file(f"{path}/{name}").read(), kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import ann, bpe, fingerprints, jaccard, mixing, secrets, substrings, token_files
+from fleet_health.llm import ann, bpe, fingerprints, jaccard, lm_trie, mixing, secrets, substrings, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,12 @@ def op3_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_trie_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return lm_trie.score(docs, number % 7 == 2)
+
+
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keys=["doc_id"])
@@ -64,7 +70,8 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
+    op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op5_trie_scoring,
+    op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = f"""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleet_health.llm.common import UnitCache, local_path, parts_for, slices, spans
+from fleet_health.llm.common import UnitCache, load_array, open_store, parts_for, slices, spans
 from fleet_health.session import cut_lineage, scratch_path
 
 MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width int"
@@ -27,16 +27,6 @@ MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width in
 BATCH = 500
 
 
-def _open(folder: str):
-    """A pyarrow file system and the folder's path in it; works for any store pyarrow knows."""
-    from pyarrow import fs
-
-    path = local_path(folder)
-    if path is not None:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(folder)
-
-
 def _tokenizer(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -91,7 +81,7 @@ def _writer(folder, tokenizer_path, end_id, kind):
             for frame in slices(frames):
                 if cache is None:
                     cache = UnitCache(library_encoder(tokenizer_path), 600_000)
-                    store, path = _open(folder)
+                    store, path = open_store(folder)
                     for suffix in ("tokens", "offsets", "docs"):
                         files[suffix] = stack.enter_context(
                             store.open_output_stream(f"{path}/{name}.{suffix}"))
@@ -121,7 +111,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    store, path = _open(folder)
+    store, path = open_store(folder)
     store.create_dir(path, recursive=True)
     top = max([end_id, _tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1])
     kind = "<u2" if top < 2**16 else "<u4"
@@ -138,15 +128,8 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
 
 def open_shard(folder: str, shard: str, width: int):
     """Ids, offsets and document ids of one shard; memory-mapped where the folder is mounted."""
-    store, path = _open(folder)
-    arrays = []
-    for suffix, kind in (("tokens", f"<u{width}"), ("offsets", "<i8"), ("docs", "<i8")):
-        name = f"{path}/{shard}.{suffix}"
-        if local_path(folder) is not None:
-            arrays.append(np.memmap(name, kind, "r") if os.path.getsize(name) else np.empty(0, kind))
-        else:
-            arrays.append(np.frombuffer(store.open_input_file(name).read(), kind))
-    return arrays
+    return [load_array(folder, f"{shard}.{suffix}", kind)
+            for suffix, kind in (("tokens", f"<u{width}"), ("offsets", "<i8"), ("docs", "<i8"))]
 
 
 def _reader(frames):
