@@ -1,13 +1,66 @@
-"""The corpus pipeline: every stage takes the documents its predecessor kept."""
+"""The corpus pipeline: quality, near duplicates, secrets, source mix, tokens.
+
+Each stage takes the documents (doc_id, text, lang, source, n_chars) that its predecessor kept. Rows
+without a doc_id cannot be followed and go in the first stage. The mix repeats a document's row as
+often as it takes it. The last stage returns token ids.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleet_health.llm import bpe, jaccard, mixing, quality, secrets
+from fleet_health.session import cut_lineage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    good = quality.judge(docs.where("doc_id IS NOT NULL"), trusted).where("keep")
+    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+
+
+def keep_different(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates, once."""
+    first = jaccard.link(docs).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    found = secrets.scan(docs, secrets.train(docs))
+    clean = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed, _ = mixing.mix(docs)
+    times = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
+    return mixed.select(*COLUMNS, times.alias("_copy")).drop("_copy")
+
+
+def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed), their number, and a digest of the ids and of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keys=["doc_id", "lang", "source"])
+    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("token_ids", F.col("ids"))
+    back = bpe.decode(ids, ranks)
+    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", keep_different),
+          ("secret scans", mask_secrets), ("mixing sources", mix_sources), ("byte-level BPE", tokenize)]
+#: No SQL: the classifier, the seeded mix and the encoder are not expressible.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import ann, bpe, fingerprints, jaccard, lm_trie, mixing, secrets, substrings, token_files
+from fleet_health.llm import ann, bpe, fingerprints, jaccard, lm_trie, mixing, quality, secrets, substrings, token_files
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,11 @@ def op3_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_quality(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_trie_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -70,7 +75,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op5_trie_scoring,
+    op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op4_quality, op5_trie_scoring,
     op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
