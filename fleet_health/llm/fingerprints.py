@@ -8,9 +8,10 @@ weight w and draws r, c ~ Gamma(2, 1), b ~ Uniform(0, 1) that depend on k alone:
 The term with the least a, together with its t, is the sample. Two sets have the same sample with a
 probability equal to their generalised Jaccard similarity, sum of min over sum of max of the weights.
 
-Terms are first dealt to SLOTS by hash, and each slot takes one sample among its own terms. So a term
-needs one evaluation rather than one per sample, while each slot still collides at the similarity of
-its part of the sets; likeness is the share of agreeing slots among those that either set fills.
+Terms are first dealt to SLOTS by hash, and each slot takes SAMPLES samples among its own terms. So a
+term needs SAMPLES evaluations rather than one per value of the fingerprint, while each slot still
+collides at the similarity of its part of the sets; likeness is the share of agreeing values among
+those that either set fills.
 
 A Gamma(2, 1) draw is -ln(u v) for two uniforms. Draws come from 64-bit hashes of the word.
 """
@@ -22,24 +23,24 @@ from pyspark.sql import functions as F
 
 from fleet_health.llm.common import lower_ascii
 
-SLOTS = 64
+SLOTS, SAMPLES = 8, 8
 #: Bits of a sample that are its identity; the upper 32 order it.
 ID_BITS = 32
 #: Code points of text in one ordered segment, about.
 SEGMENT_CHARS = 8_000_000
 
 
-def _uniform(term: Column, salt: int) -> Column:
+def _uniform(term: Column, sample: Column, salt: int) -> Column:
     """In (0, 1), from 52 bits."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), term), 12)
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), sample, term), 12)
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def _packed_sample(term: Column, weight: Column) -> Column:
+def _packed_sample(term: Column, sample: Column, weight: Column) -> Column:
     """A number whose order is that of ln a, with the identity of (term, t) in its lower bits."""
-    r = -F.log(_uniform(term, 1) * _uniform(term, 2))
-    c = -F.log(_uniform(term, 3) * _uniform(term, 4))
-    b = _uniform(term, 5)
+    r = -F.log(_uniform(term, sample, 1) * _uniform(term, sample, 2))
+    c = -F.log(_uniform(term, sample, 3) * _uniform(term, sample, 4))
+    b = _uniform(term, sample, 5)
     t = F.floor(F.log(weight.cast("double")) / r + b)
     ln_a = F.log(c) - r * (t - b) - r
     scaled = F.greatest(F.least(F.round((ln_a + 512.0) * float(2**21)), F.lit(float(2**31 - 1))),
@@ -49,7 +50,7 @@ def _packed_sample(term: Column, weight: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
-    """`key` and one string per text column: SLOTS hex numbers, comma-joined, '' for an empty slot.
+    """`key` and one string per text column: hex numbers, comma-joined, '' for those of empty slots.
 
     `df` must already be dealt out by (some of) the key columns, which must identify its rows;
     then nothing here shuffles. Null and empty texts, and such of white space only, fill no slot.
@@ -61,11 +62,13 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
              .select(*key, F.when(F.col("_word") != "", F.xxhash64("_word")).alias("_term"), "_which"))
     counted = terms.groupBy(*key, "_term").agg(
         *[F.sum((F.col("_which") == i).cast("bigint")).alias(f"_n{i}") for i in range(len(texts))])
-    slot = F.shiftrightunsigned(F.col("_term"), 64 - (SLOTS - 1).bit_length()).cast("int")
     term = F.col("_term")
-    sampled = counted.select(*key, slot.alias("_slot"), *[
-        F.when(term.isNotNull() & (F.col(f"_n{i}") > 0), _packed_sample(term, F.col(f"_n{i}")))
-        .alias(f"_s{i}") for i in range(len(texts))])
+    slot = F.shiftrightunsigned(term, 64 - (SLOTS - 1).bit_length()).cast("int")
+    each = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("_sample"))
+    sampled = each.select(*key, (slot * SAMPLES + F.col("_sample")).alias("_slot"), *[
+        F.when(term.isNotNull() & (F.col(f"_n{i}") > 0),
+               _packed_sample(term, F.col("_sample"), F.col(f"_n{i}"))).alias(f"_s{i}")
+        for i in range(len(texts))])
     best = sampled.groupBy(*key, "_slot").agg(*[F.min(f"_s{i}").alias(f"_s{i}")
                                                 for i in range(len(texts))])
     made = best.groupBy(*key).agg(*[
@@ -73,7 +76,7 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
             F.col("_slot").isNotNull() & F.col(f"_s{i}").isNotNull(),
             F.struct("_slot", F.lower(F.substring(F.lpad(F.hex(f"_s{i}"), 16, "0"), 9, 8)))))
         ).alias(f"_m{i}") for i in range(len(texts))])
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    slots = F.sequence(F.lit(0), F.lit(SLOTS * SAMPLES - 1))
 
     def filled(column):
         return F.array_join(F.transform(slots, lambda s: F.coalesce(
