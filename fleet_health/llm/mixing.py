@@ -170,13 +170,14 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     its own, an empty array or null takes no part (0 copies). `weigh` maps the names to weights.
     Null and empty texts have no words; they are repeated like their pattern's whole repetitions.
     Rows with equal ids are separate documents. Ties in the seeded order are broken by id and size;
-    what is still equal is interchangeable. Sources and targets of an empty table are empty. More
+    what is still equal is interchangeable. Columns of `df` with the added names are replaced. Sources and targets of an empty table are empty. More
     than `max_patterns` patterns raise an error, since the flow is solved on the driver.
     """
     spark = df.sparkSession
     members = F.array("source") if sources is None else F.array_sort(F.array_distinct(sources))
+    keep = [c for c in df.columns if c not in ("mix_size", "mix_copies", "mix_taken")]
     sized = df.select(
-        "*", F.coalesce(F.to_json(members), F.lit("[]")).alias("_pattern"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(id).alias("_id"), F.coalesce(F.to_json(members), F.lit("[]")).alias("_pattern"),
         word_count(F.col(text)).alias("mix_size"),
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 1).alias("_hash")
     ).withColumn("_cls", F.length(F.bin("mix_size")))
@@ -201,7 +202,7 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     placed = ranged.join(cut, group, "left")
     outside = placed.where("_cut IS NULL OR _range <> _cut").select(
         "*", (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))).alias("_in"))
-    order = Window.partitionBy(*group).orderBy("_hash", id, "mix_size")
+    order = Window.partitionBy(*group).orderBy("_hash", "_id", "mix_size")
     inside = placed.where("_range = _cut").select(
         "*", F.row_number().over(order).alias("_place"),
         (F.col("_before") + F.sum("mix_size").over(
@@ -222,11 +223,12 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
                .groupBy("pattern").applyInPandas(_fill, "pattern string, cls int, place int")
                .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "true AS _fill"))
     inside = inside.join(fillers, [*group, "_place"], "left")
-    keep = [F.col(f"`{c}`") for c in df.columns]
     copies = lambda more: (
         F.when(F.col("_pattern") == "[]", F.lit(0))
         .otherwise(F.col("_full") + more.cast("int"))).cast("bigint").alias("mix_copies")
-    out = outside.select(*keep, "mix_size", copies(F.col("_in") & (F.col("_rest") > 0))).unionByName(
-        inside.select(*keep, "mix_size", copies((F.col("_fits") | F.coalesce("_fill", F.lit(False)))
+    out = outside.select("_row", "mix_size", copies(F.col("_in") & (F.col("_rest") > 0))).unionByName(
+        inside.select("_row", "mix_size", copies((F.col("_fits") | F.coalesce("_fill", F.lit(False)))
                                                 & (F.col("_rest") > 0))))
-    return out.withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies")), source_frame
+    out = out.select(*[F.col(f"_row.`{c}`") for c in keep], "mix_size", "mix_copies",
+                     (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken"))
+    return out, source_frame

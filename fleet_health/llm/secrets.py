@@ -120,10 +120,10 @@ def scan(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Adds `spans`: array of (start, end, kind), by start, then kind as in KINDS.
 
     Positions are code points, the end is exclusive. Null and empty texts have no spans. Texts of
-    any length are read whole; rows, ties and other columns stay as they are (names starting with
-    an underscore excepted). A run that the models add never overlaps a rule's span.
+    any length are read whole; rows, ties and other columns stay as they are, but for a column
+    `spans`, which is replaced. A run that the models add never overlaps a rule's span.
     """
-    found = with_rules(df, text)
+    found = with_rules(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
 
     def numbered(column, i):
         return F.transform(column, lambda s: F.struct(
@@ -137,7 +137,7 @@ def scan(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     spans = F.transform(F.array_sort(F.concat(*kinds)), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
         F.get(names, s["order"]).alias("kind")))
-    return found.select(*[F.col(f"`{c}`") for c in df.columns], spans.alias("spans"))
+    return found.select(*[F.col(f"_row.`{c}`") for c in df.columns if c != "spans"], spans.alias("spans"))
 
 
 def count_of(spans: Column, kind: str) -> Column:
