@@ -146,19 +146,32 @@ def plan(rows, weigh, most: int):
     return [(s, sizes[s], goal[s]) for s in names], quotas
 
 
-def _fill(frame: pd.DataFrame) -> pd.DataFrame:
-    """Largest first, what still fits; then the smallest one left, if that comes nearer."""
-    left, chosen = int(frame["open"].iloc[0]), []
-    order = frame.sort_values(["size", "cls", "place"], ascending=[False, True, True])
-    for i, size in zip(order.index, order["size"]):
-        if 0 < size <= left:
-            chosen.append(i)
-            left -= size
-    rest = order.drop(index=chosen)
-    rest = rest[rest["size"] > 0]
-    if len(rest) and rest["size"].iloc[-1] < 2 * left:
-        chosen.append(rest.index[-1])
-    return frame.loc[chosen, ["pattern", "cls", "place"]]
+def _filler(most):
+    """Closes what the prefixes leave open: documents, then whole classes once more, if need be.
+
+    Rows of place 0 are classes (`size`: their words), the others are documents not yet taken.
+    """
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        left, times = int(frame["open"].iloc[0]), {}
+        docs = frame[(frame["place"] > 0) & (frame["size"] > 0)].sort_values(
+            ["size", "cls", "place"], ascending=[False, True, True])
+        for i, size in zip(docs.index, docs["size"]):
+            if size <= left:
+                times[i] = 1
+                left -= size
+        classes = frame[(frame["place"] == 0) & (frame["size"] > 0)].sort_values("size", ascending=False)
+        for i, size, full in zip(classes.index, classes["size"], classes["full"]):
+            n = min(left // size, most - full - 1)  # one more may be in the prefix
+            if n > 0:
+                times[i] = n
+                left -= n * size
+        rest = docs.drop(index=[i for i in times if i in docs.index])
+        if len(rest) and rest["size"].iloc[-1] < 2 * left:  # nearer with it than without
+            times[rest.index[-1]] = 1
+        out = frame.loc[list(times), ["pattern", "cls", "place"]]
+        return out.assign(times=list(times.values()))
+
+    return fill
 
 
 def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Column | None = None,
@@ -193,7 +206,7 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
         "_range", F.expr("shiftrightunsigned(_hash, 63 - _bits)"))
     group = ["_pattern", "_cls"]
     upto = Window.partitionBy(*group).orderBy("_range")
-    sums = (ranged.groupBy(*group, "_range", "_quota", "_rest")
+    sums = (ranged.groupBy(*group, "_range", "_quota", "_rest", "_full")
             .agg(F.sum("mix_size").alias("_sum"))
             .withColumn("_upto", F.sum("_sum").over(upto)))
     cut = (sums.where("_upto > _quota")
@@ -211,23 +224,29 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     reached = (small.groupBy(*group).agg(
         (F.max("_before") + F.coalesce(F.sum(F.when(F.col("_fits"), F.col("mix_size"))), F.lit(0)))
         .alias("_got")))
-    whole = sums.groupBy(*group, "_rest").agg(F.sum("_sum").alias("_all"))
+    whole = sums.groupBy(*group, "_rest", "_full").agg(F.sum("_sum").alias("_all"))
     open_ = (whole.join(reached, group, "left").groupBy("_pattern", "_rest")
              .agg(F.sum(F.coalesce("_got", "_all")).alias("_got"))
              .select("_pattern", (F.col("_rest") - F.col("_got")).alias("open")))
     after = Window.partitionBy(*group).orderBy("_place")
-    fillers = (small.where(~F.col("_fits")).withColumn("_n", F.row_number().over(after))
-               .where(F.col("_n") <= FILLERS).join(open_, "_pattern").where("open > 0")
-               .selectExpr("_pattern AS pattern", "_cls AS cls", "_place AS place",
-                           "mix_size AS size", "open")
-               .groupBy("pattern").applyInPandas(_fill, "pattern string, cls int, place int")
-               .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "true AS _fill"))
-    inside = inside.join(fillers, [*group, "_place"], "left")
+    candidates = (small.where(~F.col("_fits")).withColumn("_n", F.row_number().over(after))
+                  .where(F.col("_n") <= FILLERS)
+                  .selectExpr("_pattern", "_cls", "_place", "mix_size AS _size", "0L AS _full")
+                  .unionByName(whole.selectExpr("_pattern", "_cls", "0 AS _place", "_all AS _size", "_full")))
+    chosen = (candidates.join(open_, "_pattern").where("open > 0")
+              .selectExpr("_pattern AS pattern", "_cls AS cls", "_place AS place", "_size AS size",
+                          "_full AS full", "open")
+              .groupBy("pattern").applyInPandas(
+                  _filler(most), "pattern string, cls int, place int, times bigint")
+              .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "times AS _times"))
+    inside = inside.join(chosen.where("_place > 0").withColumnRenamed("_times", "_fill"), [*group, "_place"], "left")
+    again = chosen.where("_place = 0").drop("_place")
+    inside, outside = inside.join(again, group, "left"), outside.join(again, group, "left")
     copies = lambda more: (
         F.when(F.col("_pattern") == "[]", F.lit(0))
-        .otherwise(F.col("_full") + more.cast("int"))).cast("bigint").alias("mix_copies")
+        .otherwise(F.col("_full") + more.cast("int") + F.coalesce("_times", F.lit(0)))).cast("bigint").alias("mix_copies")
     out = outside.select("_row", "mix_size", copies(F.col("_in") & (F.col("_rest") > 0))).unionByName(
-        inside.select("_row", "mix_size", copies((F.col("_fits") | F.coalesce("_fill", F.lit(False)))
+        inside.select("_row", "mix_size", copies((F.col("_fits") | (F.coalesce("_fill", F.lit(0)) > 0))
                                                 & (F.col("_rest") > 0))))
     out = out.select(*[F.col(f"_row.`{c}`") for c in keep], "mix_size", "mix_copies",
                      (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken"))
