@@ -4,8 +4,9 @@ Everything is a DataFrame expression. A rule's matches and the pieces between th
 `regexp_extract_all` and `split` with one pattern; the running sum of their lengths gives the
 positions, in code points.
 
-The rules label the training samples: long enough values that a rule finds are random strings, long
-runs of the same characters elsewhere are ordinary identifiers. Both models are first-order, over
+The rules label the training samples: long enough values that a rule finds are random strings; long
+runs elsewhere that keep to letters of one case (but a word's first) or to digits are ordinary
+identifiers. Other runs are only judged. Both models are first-order, over
 the alphabet below with a start state, smoothed by `SMOOTH` per next character. A run is reported
 when its log2 likelihood ratio exceeds the log2 odds of ordinary to random among the samples by
 `MARGIN_BITS`.
@@ -30,6 +31,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST_SAMPLE = 16
+ORDINARY = r"^([A-Z]?[a-z]+([_/=+-][A-Z]?[a-z]*)*|[A-Z_/=+-]+|[0-9_/=+-]+)$"
 SMOOTH = 0.5
 MARGIN_BITS = 13.0
 SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -84,7 +86,7 @@ def train(df: DataFrame, text: str = "text") -> dict:
     spans = F.concat(
         F.transform(F.concat("_assign", "_access", "_hex"),
                     lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("value"))),
-        F.transform("_runs", lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))))
+        F.transform(F.filter("_runs", lambda s: s["value"].rlike(ORDINARY)), lambda s: F.struct(F.lit(0).alias("random"), s["value"].alias("value"))))
     samples = (ruled.select(F.explode(spans).alias("s")).select("s.*")
                .where(F.length("value") >= LEAST_SAMPLE)
                .select("random", _states(F.col("value")).alias("to")))
