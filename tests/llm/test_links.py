@@ -79,22 +79,25 @@ def test_links_equal_all_pairs(spark, rows, monkeypatch):
 
 
 def test_signatures_are_shared_by_all_similar_sets():
+    """The first ones needed, in the order of the signatures themselves."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for size in (3, 4, 7, 15, 40, 200, 1000):
-        for _ in range(60):
-            pool = rng.integers(0, 2**64, 3 * size, np.uint64)
-            a = np.unique(pool[:size])
-            both = -(-3 * size // 4)
-            b = np.unique(np.concatenate([a[:both], pool[size : size + rng.integers(0, size // 3 + 1)]]))
-            if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
-                continue
-            first = [set(np.sort(s)[:need].tolist()) for x in (a, b) for s, need in [
-                (np.concatenate([m for m, _ in jaccard.signatures(x, 75, 100)] or [x[:0]]),
-                 max([n for _, n in jaccard.signatures(x, 75, 100)], default=0))]]
-            per = [[set(np.sort(m)[:need].tolist()) for m, need in jaccard.signatures(x, 75, 100)] for x in (a, b)]
-            assert len(np.setxor1d(a, b)) == 0 or any(s & t for s in per[0] for t in per[1]), (size, first)
+    tested = 0
+    for size in (3, 4, 7, 15, 40, 200, 1000) * 60:
+        a = [f"w{i}" for i in rng.integers(0, 10**9, size)]
+        b = a[rng.integers(0, size // 8 + 1) :] + [f"w{i}" for i in rng.integers(0, 10**9, rng.integers(0, size // 8 + 1))]
+        x, y = set(a), set(b)
+        if x == y or 100 * len(x & y) < 75 * len(x | y):
+            continue
+        sets = jaccard.Sets([" ".join(a), " ".join(b)], 1)
+        found = [set(), set()]
+        for doc, made, needed in sets.signatures(75, 100, np.ones(2, bool)):
+            for i in (0, 1):
+                found[i].update(np.sort(made[doc == i])[: needed[i]].tolist())
+        assert found[0] & found[1], size
+        tested += 1
+    assert tested > 150
 
 
 def test_null_ids_and_empty_table(spark):
