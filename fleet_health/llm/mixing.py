@@ -147,29 +147,38 @@ def plan(rows, weigh, most: int):
 
 
 def _filler(most):
-    """Closes what the prefixes leave open: documents, then whole classes once more, if need be.
+    """Closes what the prefixes leave open: documents once more, whole classes, documents again.
 
-    Rows of place 0 are classes (`size`: their words), the others are documents not yet taken.
+    Rows of place 0 are classes (`size`: their words), the others are documents; `had` is how often
+    one is taken already (a class's documents: at most).
     """
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        left, times = int(frame["open"].iloc[0]), {}
-        docs = frame[(frame["place"] > 0) & (frame["size"] > 0)].sort_values(
-            ["size", "cls", "place"], ascending=[False, True, True])
-        for i, size in zip(docs.index, docs["size"]):
-            if size <= left:
-                times[i] = 1
-                left -= size
-        classes = frame[(frame["place"] == 0) & (frame["size"] > 0)].sort_values("size", ascending=False)
-        for i, size, full in zip(classes.index, classes["size"], classes["full"]):
-            n = min(left // size, most - full - 1)  # one more may be in the prefix
-            if n > 0:
-                times[i] = n
-                left -= n * size
-        rest = docs.drop(index=[i for i in times if i in docs.index])
-        if len(rest) and rest["size"].iloc[-1] < 2 * left:  # nearer with it than without
-            times[rest.index[-1]] = 1
-        out = frame.loc[list(times), ["pattern", "cls", "place"]]
-        return out.assign(times=list(times.values()))
+        left, times = int(frame["open"].iloc[0]), dict.fromkeys(frame.index, 0)
+        frame = frame[frame["size"] > 0].sort_values(["size", "cls", "place"], ascending=[False, True, True])
+        docs, classes = frame[frame["place"] > 0], frame[frame["place"] == 0]
+        extra: dict[int, int] = {}
+
+        def add(row, once=False):
+            nonlocal left
+            free = most - row.had - times[row.Index] - (extra.get(row.cls, 0) if row.place else 0)
+            n = max(0, min(left // row.size, free, 1 if once else free))
+            times[row.Index] += n
+            left -= n * row.size
+            return n
+
+        for row in docs[docs["had"] == docs["least"]].itertuples():
+            add(row, once=True)
+        again = {c: max([times[i] + h for i, h in zip(own.index, own["had"])], default=0)
+                 for c, own in docs.groupby("cls")}
+        for row in classes.itertuples():
+            extra[row.cls] = add(row._replace(had=max(row.had, again.get(row.cls, 0))))
+        for row in docs.itertuples():
+            add(row)
+        rest = [r for r in docs.itertuples() if r.had + times[r.Index] + extra.get(r.cls, 0) < most]
+        if rest and rest[-1].size < 2 * left:  # nearer with the smallest than without
+            times[rest[-1].Index] += 1
+        out = frame.loc[[i for i in frame.index if times[i]], ["pattern", "cls", "place"]]
+        return out.assign(times=[times[i] for i in out.index])
 
     return fill
 
@@ -228,26 +237,27 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     open_ = (whole.join(reached, group, "left").groupBy("_pattern", "_rest")
              .agg(F.sum(F.coalesce("_got", "_all")).alias("_got"))
              .select("_pattern", (F.col("_rest") - F.col("_got")).alias("open")))
-    after = Window.partitionBy(*group).orderBy("_place")
-    candidates = (small.where(~F.col("_fits")).withColumn("_n", F.row_number().over(after))
-                  .where(F.col("_n") <= FILLERS)
-                  .selectExpr("_pattern", "_cls", "_place", "mix_size AS _size", "0L AS _full")
-                  .unionByName(whole.selectExpr("_pattern", "_cls", "0 AS _place", "_all AS _size", "_full")))
+    after = Window.partitionBy(*group, "_fits").orderBy("_place")
+    candidates = (small.withColumn("_n", F.row_number().over(after)).where(F.col("_n") <= FILLERS)
+                  .join(whole.select(*group, "_full"), group)
+                  .selectExpr("_pattern", "_cls", "_place", "mix_size AS _size", "_full AS _least",
+                              "_full + int(_fits) AS _had")
+                  .unionByName(whole.selectExpr("_pattern", "_cls", "0 AS _place", "_all AS _size",
+                                                "_full AS _least", "_full + 1 AS _had")))
     chosen = (candidates.join(open_, "_pattern").where("open > 0")
               .selectExpr("_pattern AS pattern", "_cls AS cls", "_place AS place", "_size AS size",
-                          "_full AS full", "open")
+                          "_least AS least", "_had AS had", "open")
               .groupBy("pattern").applyInPandas(
                   _filler(most), "pattern string, cls int, place int, times bigint")
               .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "times AS _times"))
     inside = inside.join(chosen.where("_place > 0").withColumnRenamed("_times", "_fill"), [*group, "_place"], "left")
     again = chosen.where("_place = 0").drop("_place")
     inside, outside = inside.join(again, group, "left"), outside.join(again, group, "left")
-    copies = lambda more: (
+    copies = lambda more, fill=F.lit(0): (
         F.when(F.col("_pattern") == "[]", F.lit(0))
-        .otherwise(F.col("_full") + more.cast("int") + F.coalesce("_times", F.lit(0)))).cast("bigint").alias("mix_copies")
+        .otherwise(F.col("_full") + more.cast("int") + F.coalesce("_times", F.lit(0)) + fill)).cast("bigint").alias("mix_copies")
     out = outside.select("_row", "mix_size", copies(F.col("_in") & (F.col("_rest") > 0))).unionByName(
-        inside.select("_row", "mix_size", copies((F.col("_fits") | (F.coalesce("_fill", F.lit(0)) > 0))
-                                                & (F.col("_rest") > 0))))
+        inside.select("_row", "mix_size", copies(F.col("_fits") & (F.col("_rest") > 0), F.coalesce("_fill", F.lit(0)))))
     out = out.select(*[F.col(f"_row.`{c}`") for c in keep], "mix_size", "mix_copies",
                      (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken"))
     return out, source_frame
