@@ -98,4 +98,31 @@ FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sized ON sized.doc_i
 GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL}
+#: Exact search. The posting lists find all of it where a table has so few lists that all are read.
+OP2_SQL = """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda x, y: x + y) AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP3_SQL = r"""
+WITH tokens AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM tokens WHERE len(w) >= 50)),
+first AS (SELECT x, min(doc_id) AS least FROM windows GROUP BY x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN first USING (x) WHERE least < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM tokens),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(t.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM tokens t LEFT JOIN removed r ON r.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_posting_lists": OP2_SQL,
+                              "op3_substring_dedup": OP3_SQL}

@@ -31,7 +31,7 @@ def held(row_id):
 
 
 def test_trie_scores_equal_a_dictionary_model(spark, monkeypatch):
-    monkeypatch.setattr(lm_trie, "GROUP_CHARS", 2500)
+    monkeypatch.setattr(lm_trie, "SLICE_CHARS", 2500)
     monkeypatch.setattr(lm_trie, "BIGRAM_CHARS", 1e9)  # one discount for all bigrams: 8 shards share it
     monkeypatch.setattr(lm_trie, "parts_for", lambda df, text, size, **_: 1 if size > 1e8 else 7)
     rows = corpus()
