@@ -26,6 +26,8 @@ from fleet_health.llm.common import WORD
 RANGE_DOCS = 2000
 #: Documents of each class that may fill what the prefixes leave open.
 FILLERS = 4
+#: Classes of all patterns up to which tables with a few rows for each are broadcast.
+BROADCAST_CLASSES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -211,7 +213,9 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     source_frame = spark.createDataFrame(names, "source string, source_size bigint, target double")
     quota_frame = spark.createDataFrame(
         quotas, "_pattern string, _cls int, _full bigint, _rest bigint, _quota bigint, _bits int")
-    ranged = sized.join(quota_frame, ["_pattern", "_cls"], "left").withColumn(
+    # all of these have a few rows for each (pattern, class); beyond the bound Spark decides
+    small_side = F.broadcast if len(quotas) <= BROADCAST_CLASSES else (lambda frame: frame)
+    ranged = sized.join(small_side(quota_frame), ["_pattern", "_cls"], "left").withColumn(
         "_range", F.expr("shiftrightunsigned(_hash, 63 - _bits)"))
     group = ["_pattern", "_cls"]
     upto = Window.partitionBy(*group).orderBy("_range")
@@ -221,7 +225,7 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     cut = (sums.where("_upto > _quota")
            .groupBy(*group).agg(F.min("_range").alias("_cut"),
                                 F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
-    placed = ranged.join(cut, group, "left")
+    placed = ranged.join(small_side(cut), group, "left")
     outside = placed.where("_cut IS NULL OR _range <> _cut").select(
         "*", (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))).alias("_in"))
     order = Window.partitionBy(*group).orderBy("_hash", "_id", "mix_size")
@@ -250,8 +254,9 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
               .groupBy("pattern").applyInPandas(
                   _filler(most), "pattern string, cls int, place int, times bigint")
               .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "times AS _times"))
-    inside = inside.join(chosen.where("_place > 0").withColumnRenamed("_times", "_fill"), [*group, "_place"], "left")
-    again = chosen.where("_place = 0").drop("_place")
+    fills = chosen.where("_place > 0").withColumnRenamed("_times", "_fill")
+    inside = inside.join(small_side(fills), [*group, "_place"], "left")
+    again = small_side(chosen.where("_place = 0").drop("_place"))
     inside, outside = inside.join(again, group, "left"), outside.join(again, group, "left")
     copies = lambda more, fill=F.lit(0): (
         F.when(F.col("_pattern") == "[]", F.lit(0))
