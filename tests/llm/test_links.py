@@ -141,3 +141,10 @@ def test_removed_words_equal_brute_force(spark, rows, width, monkeypatch):
                 gone.update(range(j, j + width))
         want.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
     assert sorted(map(tuple, substrings.remove_repeats(frame(spark, rows), width).collect())) == sorted(want)
+
+
+def test_large_families_are_compared_in_blocks(spark, rows, monkeypatch):
+    want = sorted(map(tuple, jaccard.link(frame(spark, rows)).collect()))
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, jaccard.link(frame(spark, rows)).collect())) == want
