@@ -29,10 +29,10 @@ LIST = 128
 #: Lists that a vector goes to at most, and the distance ratio for that.
 REPLICAS, CLOSURE = 8, 1.3
 #: Lists that a query reads at most, and the distance ratio for that.
-PROBES, PRUNE = 48, 1.3
-BRANCH, DEGREE, BEAM = 8, 16, 64
+PROBES, PRUNE = 64, 1.3
+BRANCH, DEGREE, BEAM = 8, 16, 96
 #: Beam of the search for the lists that keep a vector.
-KEEP_BEAM = 16
+KEEP_BEAM = 24
 BLOCK = 4096
 
 
