@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleet_health.llm.common import (load_array, mix, open_store, parts_for, save_array, word_hashes,
-                                     words)
+from fleet_health.llm.common import (load_array, mix, open_store, parts_for, save_array, slices,
+                                     word_hashes, words)
 from fleet_health.llm.elias_fano import EliasFano
 from fleet_health.llm.packed import cut, joined, runs_of
 from fleet_health.session import cut_lineage, scratch_path
 
-#: Code points of one group of documents, of a range of words and a range of bigrams, about.
-GROUP_CHARS, WORD_CHARS, BIGRAM_CHARS = 8e6, 32e6, 12e6
+#: Code points of one slice of documents, of a range of words and a range of bigrams, about.
+SLICE_CHARS, WORD_CHARS, BIGRAM_CHARS = 6_000_000, 32e6, 12e6
 MIN_COUNT = 2
 #: Steps of the quantised log10 probability per unit; the last code stands for none.
 QUANTUM, NONE = 4096, 2**16 - 1
@@ -57,7 +57,7 @@ def _discount(ones: int, twos: int) -> float:
 
 
 class Words:
-    """A group's tokens as hashes, each text followed by the end token; and which texts train."""
+    """A slice's tokens as hashes, each text followed by the end token; and which texts train."""
 
     def __init__(self, frame: pd.DataFrame):
         hashes = [np.append(word_hashes(words(t, lower=True)), END) for t in frame["text"]]
@@ -75,13 +75,13 @@ class Words:
 
 
 def _send_words(ranges):
-    def send(frame):
-        own = Words(frame)
-        keys, counts = np.unique(own.hashes[own.trains], return_counts=True)
-        g = int(frame["g"].iloc[0])
-        return pd.DataFrame([(g, r, keys[a:b].astype("<u8").tobytes(), counts[a:b].astype("<i8").tobytes())
-                             for r, a, b in cut(keys, _upper(keys, ranges))],
-                            columns=["g", "r", "keys", "counts"])
+    def send(frames):
+        for frame in slices(frames, limit=SLICE_CHARS):
+            own = Words(frame)
+            keys, counts = np.unique(own.hashes[own.trains], return_counts=True)
+            yield pd.DataFrame([(r, keys[a:b].astype("<u8").tobytes(), counts[a:b].astype("<i8").tobytes())
+                                for r, a, b in cut(keys, _upper(keys, ranges))],
+                               columns=["r", "keys", "counts"])
 
     return send
 
@@ -170,18 +170,18 @@ def _bigrams(own, ids, end_id):
 
 
 def _send_bigrams(level1, ranges):
-    def send(frame):
-        own = Words(frame)
-        _, ids, end_id = level1.value.tokens_of(own)
-        pairs = _bigrams(own, ids, end_id)
-        keys, counts = np.unique(pairs[own.trains & (pairs >= 0)].astype(np.uint64), return_counts=True)
-        upper = _upper(mix(keys), ranges)
-        order = np.argsort(upper, kind="stable")
-        keys, counts, upper = keys[order], counts[order], upper[order]
-        left, right = (keys >> np.uint64(32)).astype("<u4"), keys.astype("<u4")
-        counts, g = counts.astype("<u4"), int(frame["g"].iloc[0])
-        return pd.DataFrame([(g, r, left[a:b].tobytes(), right[a:b].tobytes(), counts[a:b].tobytes())
-                             for r, a, b in cut(keys, upper)], columns=["g", "r", "left", "right", "counts"])
+    def send(frames):
+        for frame in slices(frames, limit=SLICE_CHARS):
+            own = Words(frame)
+            _, ids, end_id = level1.value.tokens_of(own)
+            pairs = _bigrams(own, ids, end_id)
+            keys, counts = np.unique(pairs[own.trains & (pairs >= 0)].astype(np.uint64), return_counts=True)
+            upper = _upper(mix(keys), ranges)
+            order = np.argsort(upper, kind="stable")
+            keys, counts, upper = keys[order], counts[order].astype("<u4"), upper[order]
+            left, right = (keys >> np.uint64(32)).astype("<u4"), keys.astype("<u4")
+            yield pd.DataFrame([(r, left[a:b].tobytes(), right[a:b].tobytes(), counts[a:b].tobytes())
+                                for r, a, b in cut(keys, upper)], columns=["r", "left", "right", "counts"])
 
     return send
 
@@ -307,12 +307,10 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
     folder = scratch_path(spark, "trie")
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
-    groups, word_ranges = parts_for(df, text, GROUP_CHARS), parts_for(df, text, WORD_CHARS)
-    ranges = parts_for(df, text, BIGRAM_CHARS)
-    docs = df.select(F.pmod(F.coalesce(F.xxhash64(F.col(key)), F.lit(0)), F.lit(groups)).alias("g"),
-                     F.col(key).alias("doc_id"), F.col(text).alias("text"),
+    word_ranges, ranges = parts_for(df, text, WORD_CHARS), parts_for(df, text, BIGRAM_CHARS)
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"),
                      F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    sent = docs.groupBy("g").applyInPandas(_send_words(word_ranges), "g bigint, r bigint, keys binary, counts binary")
+    sent = docs.mapInPandas(_send_words(word_ranges), "r bigint, keys binary, counts binary")
     stored = sent.groupBy("r").applyInPandas(
         _store_words(folder), "r bigint, name string, n_words bigint, n_kept bigint, n_tokens bigint, "
         "ones bigint, twos bigint")
@@ -321,8 +319,8 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
     if level1.n_kept >= 2**32:
         raise ValueError("more than 2^32 words occur often enough to have ids")
     shared = spark.sparkContext.broadcast(level1)  # names and sizes of the ranges' files
-    sent = docs.groupBy("g").applyInPandas(
-        _send_bigrams(shared, ranges), "g bigint, r bigint, left binary, right binary, counts binary")
+    sent = docs.mapInPandas(
+        _send_bigrams(shared, ranges), "r bigint, left binary, right binary, counts binary")
     stored = cut_lineage(sent.groupBy("r").applyInPandas(
         _store_bigrams(shared, folder), "r bigint, name string, shard bigint, ids binary, sums binary"))
     names = {r["r"]: r["name"] for r in stored.where("shard = -1").select("r", "name").collect()}
@@ -330,7 +328,7 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
         _store_weights(shared, folder), "r bigint, name string"))
     weights = {r["r"]: r["name"] for r in weights.collect()}
     trie = spark.sparkContext.broadcast(Trie(level1, names, ranges, weights))
-    return docs.groupBy("g").applyInPandas(
-        lambda frame: trie.value.score(frame),
+    return docs.mapInPandas(
+        lambda frames: map(trie.value.score, slices(frames, limit=SLICE_CHARS)),
         f"doc_id {dict(df.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, "
         "train_tokens bigint, base_score double, score double")
