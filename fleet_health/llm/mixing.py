@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleet_health.llm.common import WORD
+from fleet_health.session import cut_lineage
 
 #: Documents in one hash range, about.
 RANGE_DOCS = 2000
@@ -200,12 +201,14 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     spark = df.sparkSession
     members = F.array("source") if sources is None else F.array_sort(F.array_distinct(sources))
     keep = [c for c in df.columns if c not in ("mix_size", "mix_copies", "mix_taken")]
-    sized = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(id).alias("_id"), F.coalesce(F.to_json(members), F.lit("[]")).alias("_pattern"),
-        word_count(F.col(text)).alias("mix_size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 1).alias("_hash")
-    ).withColumn("_cls", F.length(F.bin("mix_size")))
-    totals = sized.groupBy("_pattern", "_cls").agg(F.sum("mix_size"), F.count(F.lit(1)))
+    measures = [
+        F.coalesce(F.to_json(members), F.lit("[]")).alias("_pattern"),
+        word_count(F.col(text)).alias("mix_size"), F.col(id).alias("_id"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 1).alias("_hash")]
+    cls = F.length(F.bin("mix_size"))
+    # what the plan needs is read from the texts once
+    narrow = cut_lineage(df.select(*measures).withColumn("_cls", cls))
+    totals = narrow.groupBy("_pattern", "_cls").agg(F.sum("mix_size"), F.count(F.lit(1)))
     rows = [tuple(r) for r in totals.limit(64 * max_patterns).collect()]
     if len({r[0] for r in rows}) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -215,25 +218,29 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
         quotas, "_pattern string, _cls int, _full bigint, _rest bigint, _quota bigint, _bits int")
     # all of these have a few rows for each (pattern, class); beyond the bound Spark decides
     small_side = F.broadcast if len(quotas) <= BROADCAST_CLASSES else (lambda frame: frame)
-    ranged = sized.join(small_side(quota_frame), ["_pattern", "_cls"], "left").withColumn(
-        "_range", F.expr("shiftrightunsigned(_hash, 63 - _bits)"))
     group = ["_pattern", "_cls"]
+
+    def ranged(sized):
+        return sized.join(small_side(quota_frame), group, "left").withColumn(
+            "_range", F.expr("shiftrightunsigned(_hash, 63 - _bits)"))
+
     upto = Window.partitionBy(*group).orderBy("_range")
-    sums = (ranged.groupBy(*group, "_range", "_quota", "_rest", "_full")
+    sums = (ranged(narrow).groupBy(*group, "_range", "_quota", "_rest", "_full")
             .agg(F.sum("mix_size").alias("_sum"))
             .withColumn("_upto", F.sum("_sum").over(upto)))
-    cut = (sums.where("_upto > _quota")
-           .groupBy(*group).agg(F.min("_range").alias("_cut"),
-                                F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
-    placed = ranged.join(small_side(cut), group, "left")
-    outside = placed.where("_cut IS NULL OR _range <> _cut").select(
-        "*", (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))).alias("_in"))
+    cut = cut_lineage(sums.where("_upto > _quota")
+                      .groupBy(*group).agg(F.min("_range").alias("_cut"),
+                                           F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
     order = Window.partitionBy(*group).orderBy("_hash", "_id", "mix_size")
-    inside = placed.where("_range = _cut").select(
-        "*", F.row_number().over(order).alias("_place"),
-        (F.col("_before") + F.sum("mix_size").over(
-            order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_quota")).alias("_fits"))
-    small = inside.select("_pattern", "_cls", "_place", "mix_size", "_fits", "_before")
+
+    def inside_of(placed):
+        return placed.where("_range = _cut").select(
+            "*", F.row_number().over(order).alias("_place"),
+            (F.col("_before") + F.sum("mix_size").over(
+                order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_quota")).alias("_fits"))
+
+    small = inside_of(ranged(narrow).join(small_side(cut), group, "left")).select(
+        "_pattern", "_cls", "_place", "mix_size", "_fits", "_before")
     reached = (small.groupBy(*group).agg(
         (F.max("_before") + F.coalesce(F.sum(F.when(F.col("_fits"), F.col("mix_size"))), F.lit(0)))
         .alias("_got")))
@@ -248,13 +255,18 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
                               "_full + int(_fits) AS _had")
                   .unionByName(whole.selectExpr("_pattern", "_cls", "0 AS _place", "_all AS _size",
                                                 "_full AS _least", "_full + 1 AS _had")))
-    chosen = (candidates.join(open_, "_pattern").where("open > 0")
+    chosen = cut_lineage(candidates.join(open_, "_pattern").where("open > 0")
               .selectExpr("_pattern AS pattern", "_cls AS cls", "_place AS place", "_size AS size",
                           "_least AS least", "_had AS had", "open")
               .groupBy("pattern").applyInPandas(
                   _filler(most), "pattern string, cls int, place int, times bigint")
               .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "times AS _times"))
     fills = chosen.where("_place > 0").withColumnRenamed("_times", "_fill")
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *measures).withColumn("_cls", cls)
+    placed = ranged(wide).join(small_side(cut), group, "left")
+    outside = placed.where("_cut IS NULL OR _range <> _cut").select(
+        "*", (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))).alias("_in"))
+    inside = inside_of(placed)
     inside = inside.join(small_side(fills), [*group, "_place"], "left")
     again = small_side(chosen.where("_place = 0").drop("_place"))
     inside, outside = inside.join(again, group, "left"), outside.join(again, group, "left")
