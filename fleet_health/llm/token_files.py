@@ -80,7 +80,7 @@ def _writer(folder, tokenizer_path, end_id, kind):
             files = {}
             for frame in slices(frames):
                 if cache is None:
-                    cache = UnitCache(library_encoder(tokenizer_path), 600_000)
+                    cache = UnitCache(library_encoder(tokenizer_path), 900_000)
                     store, path = open_store(folder)
                     for suffix in ("tokens", "offsets", "docs"):
                         files[suffix] = stack.enter_context(
@@ -118,7 +118,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     docs = df.select(
         F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a document has no doc_id")).cast("bigint"))
         .otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"), F.col("text").cast("string"))
-    sorted_docs = (docs.repartitionByRange(parts_for(df, "text", 32e6), "doc_id")
+    sorted_docs = (docs.repartitionByRange(parts_for(df, "text", 40e6), "doc_id")
                    .sortWithinPartitions("doc_id"))
     shards = cut_lineage(sorted_docs.mapInPandas(_writer(folder, tokenizer_path, end_id, kind), MANIFEST))
     before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
