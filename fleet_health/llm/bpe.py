@@ -23,7 +23,9 @@ NONE = np.int32(2**31 - 1)
 #: Pretokens of more bytes are merged one by one with a heap, in n log n steps.
 LONG = 192
 #: Cells of one matrix at most.
-CELLS = 4_000_000
+CELLS = 2_000_000
+#: Rows that are decoded before they are handed on.
+DECODED_ROWS = 1000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -211,8 +213,8 @@ def _encoder(merges, pattern, text_col, id_col, count_col):
             counts = np.diff(starts)[code]
             return np.concatenate(([0], np.cumsum(counts)))[ends], ids[spans(starts[code], counts)]
 
-        cache = UnitCache(of_units, 200_000)
-        for frame in slices(frames, text_col, 2_000_000):
+        cache = UnitCache(of_units, 150_000)
+        for frame in slices(frames, text_col, 1_500_000):
             ids, ends = cache.tokens(frame[text_col])
             packed = ids.astype("<u4").tobytes()
             out = frame.drop(columns=[text_col])
@@ -227,10 +229,12 @@ def _decoder(merges, id_col, out_col):
     def decode(frames):
         own = merges.value
         for frame in frames:
-            out = frame.drop(columns=[id_col])
-            out[out_col] = [None if x is None else own.decode(np.frombuffer(x, "<u4").astype(np.int64))
-                            for x in frame[id_col]]
-            yield out
+            for a in range(0, len(frame), DECODED_ROWS):
+                part = frame.iloc[a : a + DECODED_ROWS]
+                out = part.drop(columns=[id_col])
+                out[out_col] = [None if x is None else own.decode(np.frombuffer(x, "<u4").astype(np.int64))
+                                for x in part[id_col]]
+                yield out
 
     return decode
 
