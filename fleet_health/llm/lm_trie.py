@@ -4,14 +4,14 @@ Level one has a shard per range of word hashes: the hashes (Elias-Fano), counts,
 that occur at least `MIN_COUNT` times. Level two has a shard per range of bigram hashes: its contexts'
 ids and the starts of their children (monotone pointers), the children (context rank times number
 of ids plus word id, so that they are monotone; searched relative to the context) and each bigram's
-discounted probability, quantised. A third file per level-one shard has each context's back-off
-weight, quantised. All are flat files that tasks map into memory.
+count, in a byte; counts from 255 on are listed apart. A third file per level-one shard has each
+context's back-off weight, quantised. All are flat files that tasks map into memory.
 
     p(w | v) = max(c(v w) - D2, 0) / c(v) + g(v) p(w)        p(w) = (c(w) - D1) / N
 
 g(v) is what the kept bigrams of v leave, and all unseen words are one class with what D1 leaves, so
 the probabilities add up to one, but for the quantisation. D = n1 / (n1 + 2 n2) of the counts of one
-and two. Bigrams that occur less than `MIN_COUNT` times are counted, but not kept. A text starts in
+and two in all shards of the level. Bigrams that occur less than `MIN_COUNT` times are counted, but not kept. A text starts in
 the context of the end token.
 """
 
@@ -35,6 +35,8 @@ SLICE_CHARS, WORD_CHARS, BIGRAM_CHARS = 6_000_000, 32e6, 12e6
 MIN_COUNT = 2
 #: Steps of the quantised log10 probability per unit; the last code stands for none.
 QUANTUM, NONE = 4096, 2**16 - 1
+#: Counts of bigrams from here on are listed apart.
+LARGE = 255
 END = np.uint64(0x2545F4914F6CDD1D)  # the end token's hash
 
 
@@ -187,7 +189,7 @@ def _send_bigrams(level1, ranges):
 
 
 def _store_bigrams(level1, folder):
-    columns = ["r", "name", "shard", "ids", "sums"]
+    columns = ["r", "name", "ones", "twos", "shard", "ids", "kids", "sums"]
 
     def store(frame):
         left, right = joined(frame["left"], "<u4"), joined(frame["right"], "<u4")
@@ -195,39 +197,38 @@ def _store_bigrams(level1, folder):
         order = np.argsort(keys, kind="stable")
         runs = runs_of(keys[order])
         keys, counts = keys[order][runs], np.add.reduceat(counts[order].astype(np.int64), runs)
-        cut_off = _discount(int((counts == 1).sum()), int((counts == 2).sum()))
+        r, name = int(frame["r"].iloc[0]), uuid.uuid4().hex
+        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
         kept = counts >= MIN_COUNT
         keys, counts = keys[kept], counts[kept]
-        if not len(keys):
-            return pd.DataFrame(columns=columns)
+        if not len(keys):  # its counts matter, its name does not
+            return pd.DataFrame([(r, None, ones, twos, -1, None, None, None)], columns=columns)
         left, right = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
         starts = runs_of(left)
         contexts, lengths = left[starts], np.diff(np.append(starts, len(left)))
-        whole = level1.value.by_id(contexts, "kept", "<i8").astype(np.float64)
-        less = counts - cut_off
         rank = np.repeat(np.arange(len(starts), dtype=np.uint64), lengths)
-        name = uuid.uuid4().hex
+        large = np.flatnonzero(counts >= LARGE)
         save_array(folder, f"{name}.contexts", EliasFano.build(contexts))
         save_array(folder, f"{name}.starts", EliasFano.build(np.append(starts, len(left))))
         save_array(folder, f"{name}.children",
                    EliasFano.build(rank * np.uint64(level1.value.n_kept) + right))
-        save_array(folder, f"{name}.codes", _quantised(less / np.repeat(whole, lengths)))
-        sums = np.add.reduceat(less, starts).astype("<f8")
-        ids = contexts.astype("<i8")
+        save_array(folder, f"{name}.counts", np.minimum(counts, LARGE).astype("<u1"))
+        save_array(folder, f"{name}.large", np.concatenate((large, counts[large])).astype("<i8"))
+        sums, ids, kids = np.add.reduceat(counts, starts).astype("<i8"), contexts.astype("<u4"), lengths.astype("<u4")
         upper = np.searchsorted(level1.value.bases, contexts, "right") - 1
-        r = int(frame["r"].iloc[0])
-        rows = [(r, name, -1, None, None)]
-        rows += [(r, name, int(level1.value.rs[i]), ids[a:b].tobytes(), sums[a:b].tobytes())
+        rows = [(r, name, ones, twos, -1, None, None, None)]
+        rows += [(r, name, 0, 0, int(level1.value.rs[i]), ids[a:b].tobytes(), kids[a:b].tobytes(), sums[a:b].tobytes())
                  for i, a, b in cut(contexts, upper)]
         return pd.DataFrame(rows, columns=columns)
 
     return store
 
 
-def _store_weights(level1, folder):
+def _store_weights(level1, folder, discount):
     def store(frame):
         r = int(frame["shard"].iloc[0])
-        ids, sums = joined(frame["ids"], "<i8"), joined(frame["sums"], "<f8")
+        ids, kids = joined(frame["ids"], "<u4").astype(np.int64), joined(frame["kids"], "<u4")
+        sums = joined(frame["sums"], "<i8") - discount * kids
         base = level1.value.bases[np.searchsorted(level1.value.rs, r)]
         whole = np.asarray(level1.value.map(r, "kept", "<i8"), np.float64)
         taken = np.bincount(ids - base, weights=sums, minlength=len(whole))
@@ -241,18 +242,19 @@ def _store_weights(level1, folder):
 class Trie:
     """Both levels, for scoring."""
 
-    def __init__(self, level1, shards, ranges, weights):
+    def __init__(self, level1, shards, ranges, weights, discount):
         self.level1, self.shards, self.ranges, self.weights, self.mapped = level1, shards, ranges, weights, {}
+        self.discount = discount
 
     def map(self, r, part, kind="<u8"):
         if (r, part) not in self.mapped:
             found = load_array(self.level1.folder, f"{self.shards[r]}.{part}", kind)
-            self.mapped[r, part] = found if part == "codes" else EliasFano(found)
+            self.mapped[r, part] = EliasFano(found) if kind == "<u8" else found
         return self.mapped[r, part]
 
     def bigram(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted probabilities of different bigrams; 0 where one is not kept."""
-        out, upper = np.zeros(len(keys)), _upper(mix(keys), self.ranges)
+        """The discounted probabilities of different bigrams, ascending; 0 where one is not kept."""
+        out, upper = np.zeros(len(keys), np.int64), _upper(mix(keys), self.ranges)
         order = np.argsort(upper, kind="stable")
         for r, a, b in cut(order, upper[order]):
             if r not in self.shards:
@@ -268,8 +270,14 @@ class Trie:
             there = at >= 0
             # a child lies between its context's pointers
             there &= (at.astype(np.uint64) >= starts.access(rank)) & (at.astype(np.uint64) < starts.access(rank + 1))
-            out[own[there]] = _restored(self.map(r, "codes", "<u2")[at[there]])
-        return out
+            counts, at = self.map(r, "counts", "<u1")[at[there]].astype(np.int64), at[there]
+            large = np.flatnonzero(counts == LARGE)
+            if len(large):
+                places, values = self.map(r, "large", "<i8").reshape(2, -1)
+                counts[large] = values[np.searchsorted(places, at[large])]
+            out[own[there]] = counts
+        whole = self.level1.by_id((keys >> np.uint64(32)).astype(np.int64), "kept", "<i8")
+        return np.where(out > 0, out - self.discount, 0.0) / whole
 
     def score(self, frame):
         own, level1 = Words(frame), self.level1
@@ -322,12 +330,15 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
     sent = docs.mapInPandas(
         _send_bigrams(shared, ranges), "r bigint, left binary, right binary, counts binary")
     stored = cut_lineage(sent.groupBy("r").applyInPandas(
-        _store_bigrams(shared, folder), "r bigint, name string, shard bigint, ids binary, sums binary"))
-    names = {r["r"]: r["name"] for r in stored.where("shard = -1").select("r", "name").collect()}
+        _store_bigrams(shared, folder), "r bigint, name string, ones bigint, twos bigint, shard bigint, "
+        "ids binary, kids binary, sums binary"))
+    found = stored.where("shard = -1").select("r", "name", "ones", "twos").collect()
+    names = {r["r"]: r["name"] for r in found if r["name"]}
+    discount = _discount(sum(r["ones"] for r in found), sum(r["twos"] for r in found))
     weights = cut_lineage(stored.where("shard >= 0").groupBy("shard").applyInPandas(
-        _store_weights(shared, folder), "r bigint, name string"))
+        _store_weights(shared, folder, discount), "r bigint, name string"))
     weights = {r["r"]: r["name"] for r in weights.collect()}
-    trie = spark.sparkContext.broadcast(Trie(level1, names, ranges, weights))
+    trie = spark.sparkContext.broadcast(Trie(level1, names, ranges, weights, discount))
     return docs.mapInPandas(
         lambda frames: map(trie.value.score, slices(frames, limit=SLICE_CHARS)),
         f"doc_id {dict(df.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, "

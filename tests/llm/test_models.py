@@ -65,6 +65,17 @@ def test_trie_scores_equal_a_dictionary_model(spark, monkeypatch):
     assert Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6] / r[2], 2)) for r in got) == want
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_one_bigram_discount_for_all_shards(spark, monkeypatch, parts):
+    """Scores do not depend on the number of shards."""
+    monkeypatch.setattr(lm_trie, "parts_for", lambda *_, **__: parts)
+    got = lm_trie.score(frame(spark, corpus()), F.col("doc_id") % 4 == 1).collect()
+    monkeypatch.setattr(lm_trie, "parts_for", lambda *_, **__: 4)
+    want = lm_trie.score(frame(spark, corpus()), F.col("doc_id") % 4 == 1).collect()
+    table = lambda x: Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in x)
+    assert table(got) == table(want)
+
+
 def test_trie_with_shards_of_bigrams_is_close(spark):
     rows = corpus()
     got = lm_trie.score(frame(spark, rows), F.col("doc_id") % 4 == 1).where("held_out")
