@@ -1,7 +1,7 @@
 """Scoring texts by an interpolated bigram model in a sharded Elias-Fano trie.
 
 Level one has a shard per range of word hashes: the hashes (Elias-Fano), counts, and ids of the words
-that occur at least `MIN_COUNT` times. Level two has a shard per range of bigram hashes: its contexts'
+that occur at least `least` times. Level two has a shard per range of bigram hashes: its contexts'
 ids and the starts of their children (monotone pointers), the children (context rank times number
 of ids plus word id, so that they are monotone; searched relative to the context) and each bigram's
 count, in a byte; counts from 255 on are listed apart. A third file per level-one shard has each
@@ -11,8 +11,8 @@ context's back-off weight, quantised. All are flat files that tasks map into mem
 
 g(v) is what the kept bigrams of v leave, and all unseen words are one class with what D1 leaves, so
 the probabilities add up to one, but for the quantisation. D = n1 / (n1 + 2 n2) of the counts of one
-and two in all shards of the level. Bigrams that occur less than `MIN_COUNT` times are counted, but not kept. A text starts in
-the context of the end token.
+and two in all shards of the level. Bigrams that occur less than `least` times are counted, but not kept; with a `least`
+of 1 nothing is left out. A text starts in the context of the end token.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from fleet_health.session import cut_lineage, scratch_path
 
 #: Code points of one slice of documents, of a range of words and a range of bigrams, about.
 SLICE_CHARS, WORD_CHARS, BIGRAM_CHARS = 6_000_000, 32e6, 12e6
+#: The least count of words that have ids and of bigrams that are kept, where the caller names none.
 MIN_COUNT = 2
 #: Steps of the quantised log10 probability per unit; the last code stands for none.
 QUANTUM, NONE = 4096, 2**16 - 1
@@ -88,18 +89,19 @@ def _send_words(ranges):
     return send
 
 
-def _store_words(folder):
+def _store_words(folder, least):
     def store(frame):
         keys, counts = joined(frame["keys"], "<u8"), joined(frame["counts"], "<i8")
         order = np.argsort(keys, kind="stable")
         runs = runs_of(keys[order])
         keys, counts = keys[order][runs], np.add.reduceat(counts[order], runs)
         name = uuid.uuid4().hex
-        kept = counts >= MIN_COUNT
+        kept = counts >= least
         save_array(folder, f"{name}.words", EliasFano.build(keys))
         save_array(folder, f"{name}.counts", counts.astype("<i8"))
-        save_array(folder, f"{name}.ranks", np.concatenate(([0], np.cumsum(kept))).astype("<u4"))
-        save_array(folder, f"{name}.kept", counts[kept].astype("<i8"))
+        if least > 1:  # else a word's place is its rank
+            save_array(folder, f"{name}.ranks", np.concatenate(([0], np.cumsum(kept))).astype("<u4"))
+            save_array(folder, f"{name}.kept", counts[kept].astype("<i8"))
         return pd.DataFrame([(int(frame["r"].iloc[0]), name, len(keys), int(kept.sum()), int(counts.sum()),
                               int((counts == 1).sum()), int((counts == 2).sum()))],
                             columns=["r", "name", "n_words", "n_kept", "n_tokens", "ones", "twos"])
@@ -110,8 +112,8 @@ def _store_words(folder):
 class Level1:
     """The word level, mapped from its files as they are needed."""
 
-    def __init__(self, folder, shards, ranges):
-        self.folder, self.ranges = folder, ranges
+    def __init__(self, folder, shards, ranges, least):
+        self.folder, self.ranges, self.least = folder, ranges, least
         self.shards = {s["r"]: s for s in shards}
         order = sorted(self.shards)
         self.rs = np.array(order, np.int64)
@@ -123,6 +125,7 @@ class Level1:
         self.mapped = {}
 
     def map(self, r, part, kind):
+        part = "counts" if part == "kept" and self.least <= 1 else part
         if (r, part) not in self.mapped:
             found = load_array(self.folder, f"{self.shards[r]['name']}.{part}", kind)
             self.mapped[r, part] = EliasFano(found) if part == "words" else found
@@ -137,9 +140,9 @@ class Level1:
                 here = np.flatnonzero(at >= 0)
                 place = at[here]
                 counts[a + here] = self.map(r, "counts", "<i8")[place]
-                kept = here[counts[a + here] >= MIN_COUNT]
+                kept = here[counts[a + here] >= self.least]
                 base = self.bases[np.searchsorted(self.rs, r)]
-                ids[a + kept] = base + self.map(r, "ranks", "<u4")[at[kept]]
+                ids[a + kept] = base + (self.map(r, "ranks", "<u4")[at[kept]] if self.least > 1 else at[kept])
         return counts, ids
 
     def by_id(self, ids: np.ndarray, part: str, kind: str, names=None) -> np.ndarray:
@@ -188,7 +191,7 @@ def _send_bigrams(level1, ranges):
     return send
 
 
-def _store_bigrams(level1, folder):
+def _store_bigrams(level1, folder, least):
     columns = ["r", "name", "ones", "twos", "shard", "ids", "kids", "sums"]
 
     def store(frame):
@@ -199,7 +202,7 @@ def _store_bigrams(level1, folder):
         keys, counts = keys[order][runs], np.add.reduceat(counts[order].astype(np.int64), runs)
         r, name = int(frame["r"].iloc[0]), uuid.uuid4().hex
         ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-        kept = counts >= MIN_COUNT
+        kept = counts >= least
         keys, counts = keys[kept], counts[kept]
         if not len(keys):  # its counts matter, its name does not
             return pd.DataFrame([(r, None, ones, twos, -1, None, None, None)], columns=columns)
@@ -214,7 +217,9 @@ def _store_bigrams(level1, folder):
                    EliasFano.build(rank * np.uint64(level1.value.n_kept) + right))
         save_array(folder, f"{name}.counts", np.minimum(counts, LARGE).astype("<u1"))
         save_array(folder, f"{name}.large", np.concatenate((large, counts[large])).astype("<i8"))
-        sums, ids, kids = np.add.reduceat(counts, starts).astype("<i8"), contexts.astype("<u4"), lengths.astype("<u4")
+        ids, kids = contexts.astype("<u4"), lengths.astype("<u4")
+        # where all is kept, a context's counts add up to its own
+        sums = np.add.reduceat(counts, starts).astype("<i8") if least > 1 else np.empty(0, "<i8")
         upper = np.searchsorted(level1.value.bases, contexts, "right") - 1
         rows = [(r, name, ones, twos, -1, None, None, None)]
         rows += [(r, name, 0, 0, int(level1.value.rs[i]), ids[a:b].tobytes(), kids[a:b].tobytes(), sums[a:b].tobytes())
@@ -224,14 +229,14 @@ def _store_bigrams(level1, folder):
     return store
 
 
-def _store_weights(level1, folder, discount):
+def _store_weights(level1, folder, discount, least):
     def store(frame):
         r = int(frame["shard"].iloc[0])
         ids, kids = joined(frame["ids"], "<u4").astype(np.int64), joined(frame["kids"], "<u4")
-        sums = joined(frame["sums"], "<i8") - discount * kids
         base = level1.value.bases[np.searchsorted(level1.value.rs, r)]
         whole = np.asarray(level1.value.map(r, "kept", "<i8"), np.float64)
-        taken = np.bincount(ids - base, weights=sums, minlength=len(whole))
+        own = np.bincount(ids - base, weights=joined(frame["sums"], "<i8"), minlength=len(whole)) if least > 1 else whole
+        taken = own - discount * np.bincount(ids - base, weights=kids, minlength=len(whole))
         name = uuid.uuid4().hex
         save_array(folder, f"{name}.weights", _quantised(np.maximum(1 - taken / whole, 0)))
         return pd.DataFrame([(r, name)], columns=["r", "name"])
@@ -303,12 +308,14 @@ class Trie:
             "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts)})
 
 
-def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text",
+          least: int = MIN_COUNT) -> DataFrame:
     """Train on the rows that are not `held_out` (null: they train) and score all rows.
 
     `doc_id`, `held_out`, `n_tokens` (words and the end), `n_known` (of those seen in training),
     `train_tokens`, `base_score` (add-one unigrams) and `score`, both log10 of the text's probability.
-    A null or empty text is the end alone. Without training rows all unseen tokens have probability
+    Words and bigrams that occur less than `least` times in training are left to the lower level; 1
+    keeps all. A null or empty text is the end alone. Without training rows all unseen tokens have probability
     one, the class of all unseen words being all there is. Other columns are not read.
     """
     spark = df.sparkSession
@@ -320,23 +327,23 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
                      F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sent = docs.mapInPandas(_send_words(word_ranges), "r bigint, keys binary, counts binary")
     stored = sent.groupBy("r").applyInPandas(
-        _store_words(folder), "r bigint, name string, n_words bigint, n_kept bigint, n_tokens bigint, "
+        _store_words(folder, least), "r bigint, name string, n_words bigint, n_kept bigint, n_tokens bigint, "
         "ones bigint, twos bigint")
     shards = [r.asDict() for r in cut_lineage(stored).collect()]  # one small row per range
-    level1 = Level1(folder, shards, word_ranges)
-    if level1.n_kept >= 2**32:
-        raise ValueError("more than 2^32 words occur often enough to have ids")
+    level1 = Level1(folder, shards, word_ranges, least)
+    if level1.n_kept >= 2**31:  # two ids are packed into a signed number
+        raise ValueError("more than 2^31 words occur often enough to have ids")
     shared = spark.sparkContext.broadcast(level1)  # names and sizes of the ranges' files
     sent = docs.mapInPandas(
         _send_bigrams(shared, ranges), "r bigint, left binary, right binary, counts binary")
     stored = cut_lineage(sent.groupBy("r").applyInPandas(
-        _store_bigrams(shared, folder), "r bigint, name string, ones bigint, twos bigint, shard bigint, "
+        _store_bigrams(shared, folder, least), "r bigint, name string, ones bigint, twos bigint, shard bigint, "
         "ids binary, kids binary, sums binary"))
     found = stored.where("shard = -1").select("r", "name", "ones", "twos").collect()
     names = {r["r"]: r["name"] for r in found if r["name"]}
     discount = _discount(sum(r["ones"] for r in found), sum(r["twos"] for r in found))
     weights = cut_lineage(stored.where("shard >= 0").groupBy("shard").applyInPandas(
-        _store_weights(shared, folder, discount), "r bigint, name string"))
+        _store_weights(shared, folder, discount, least), "r bigint, name string"))
     weights = {r["r"]: r["name"] for r in weights.collect()}
     trie = spark.sparkContext.broadcast(Trie(level1, names, ranges, weights, discount))
     return docs.mapInPandas(

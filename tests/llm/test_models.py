@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fleet_health.llm import lm_trie, quality
+from fleet_health.llm import lm_trie, quality, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, held_out string, g int, score double"
 
@@ -76,6 +76,41 @@ def test_one_bigram_discount_for_all_shards(spark, monkeypatch, parts):
     assert table(got) == table(want)
 
 
+def test_trie_of_all_bigrams_equals_a_dictionary_model(spark, monkeypatch):
+    monkeypatch.setattr(lm_trie, "parts_for", lambda *_, **__: 7)
+    rows = [*corpus(), (500, "once only " + "ab c " * 400, "en"), (501, "once only again", "en")]
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t, _ in rows]
+    uni, bi = Counter(), Counter()
+    for (i, _, _), w in zip(rows, tokens):
+        if not held(i):
+            uni.update(w)
+            bi.update(zip([None, *w], w))
+    n, v = sum(uni.values()), len(uni)
+    d1, d2 = (lm_trie._discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())) for c in (uni, bi))
+    kids = Counter(a for a, _ in bi)
+
+    def p(a, w):
+        single = (uni[w] - d1 if uni[w] else d1 * v) / n
+        return single if not uni[a] else d2 * kids[a] / uni[a] * single + max(bi[a, w] - d2, 0) / uni[a]
+
+    assert max(bi.values()) >= lm_trie.LARGE and min(bi.values()) == 1
+    assert all(abs(sum(p(a, w) for w in [*uni, b"never seen"]) - 1) < 1e-9 for a in (b"once", b"a", None))
+    want = defaultdict(set)
+    for (i, _, _), w in zip(rows, tokens):
+        want[i].add((len(w), sum(math.log10(p(a, x)) for a, x in zip([None, *w], w))))
+    got = lm_trie.score(frame(spark, rows), F.col("doc_id") % 4 == 1, least=1).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert any(r["n_tokens"] == m and r["score"] == pytest.approx(x, abs=2e-4 * m) for m, x in want[r["doc_id"]])
+
+
+def test_op5_keeps_bigrams_seen_once(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries.lm_trie, "score", lambda *_, **more: asked.update(more))
+    queries.op5_trie_scoring(spark, "/root/testdata/sf0.001")
+    assert asked["least"] == 1
+
+
 def test_trie_with_shards_of_bigrams_is_close(spark):
     rows = corpus()
     got = lm_trie.score(frame(spark, rows), F.col("doc_id") % 4 == 1).where("held_out")
