@@ -194,3 +194,28 @@ def test_quality_without_trusted_or_rows(spark):
     got = quality.judge(frame(spark, corpus()), none).collect()
     assert all(r["keep"] == bool(r["perplexity"] is None and r["doc_id"] not in (0, 1)) for r in got)
     assert quality.judge(frame(spark, []).where("false"), none).count() == 0
+
+
+def test_all_trusted_documents_beyond_the_training_set_the_thresholds(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_TRUSTED", 60)
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abc" if i % 3 else "uvwxyz") for _ in range(4)) for _ in range(12)),
+             "en" if i % 3 else "de") for i in range(600)]
+    df, trusted = frame(spark, rows), spark.range(600).withColumnRenamed("id", "doc_id")
+    keys = quality.training_keys(df.selectExpr("doc_id AS key", "lang"), trusted.withColumnRenamed("doc_id", "key"))
+    trains = {r[0] for r in keys.collect()}
+    by = Counter(rows[i][2] for i in trains)
+    assert by["en"] < 60 and by["de"] < 60 and min(by.values()) > 10
+    got = quality.judge(df, trusted).collect()
+    limits = {}
+    for lang in ("en", "de"):
+        rest = sorted(r["perplexity"] for r in got if r["lang"] == lang and r["doc_id"] not in trains)
+        assert len(rest) > 100
+        limits[lang] = quality.SLACK * rest[math.ceil(quality.QUANTILE * len(rest)) - 1]
+        assert all(r["threshold"] == pytest.approx(limits[lang]) for r in got if r["lang"] == lang)
+    assert limits["en"] != limits["de"]
+
+
+@pytest.mark.parametrize("sizes,most,level", [([], 5, 0), ([1, 2], 5, 2), ([1, 9, 9], 11, 5), ([7], 3, 3), ([0, 4], 4, 4)])
+def test_languages_share_the_training(sizes, most, level):
+    assert quality._level(sizes, most) == level
