@@ -8,10 +8,7 @@ weight w and draws r, c ~ Gamma(2, 1), b ~ Uniform(0, 1) that depend on k alone:
 The term with the least a, together with its t, is the sample. Two sets have the same sample with a
 probability equal to their generalised Jaccard similarity, sum of min over sum of max of the weights.
 
-Terms are first dealt to SLOTS by hash, and each slot takes SAMPLES samples among its own terms. So a
-term needs SAMPLES evaluations rather than one per value of the fingerprint, while each slot still
-collides at the similarity of its part of the sets; likeness is the share of agreeing values among
-those that either set fills.
+A fingerprint has SAMPLES samples, each among all terms of its text. Likeness is the share of equal ones.
 
 A Gamma(2, 1) draw is -ln(u v) for two uniforms. Draws come from 64-bit hashes of the word.
 """
@@ -23,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleet_health.llm.common import lower_ascii
 
-SLOTS, SAMPLES = 8, 8
+SAMPLES = 16
 #: Bits of a sample that are its identity; the upper 32 order it.
 ID_BITS = 32
 #: Code points of text in one ordered segment, about.
@@ -50,10 +47,10 @@ def _packed_sample(term: Column, sample: Column, weight: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
-    """`key` and one string per text column: hex numbers, comma-joined, '' for those of empty slots.
+    """`key` and one string per text column: hex numbers, comma-joined, '' where there is no term.
 
     `df` must already be dealt out by (some of) the key columns, which must identify its rows;
-    then nothing here shuffles. Null and empty texts, and such of white space only, fill no slot.
+    then nothing here shuffles. Null and empty texts, and such of white space only, have no term.
     """
     word_lists = F.array(*[F.split(lower_ascii(F.coalesce(F.col(t), F.lit(""))), r"[\x20\x09-\x0D]+")
                            for t in texts])
@@ -63,9 +60,8 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
     counted = terms.groupBy(*key, "_term").agg(
         *[F.sum((F.col("_which") == i).cast("bigint")).alias(f"_n{i}") for i in range(len(texts))])
     term = F.col("_term")
-    slot = F.shiftrightunsigned(term, 64 - (SLOTS - 1).bit_length()).cast("int")
     each = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("_sample"))
-    sampled = each.select(*key, (slot * SAMPLES + F.col("_sample")).alias("_slot"), *[
+    sampled = each.select(*key, F.col("_sample").alias("_slot"), *[
         F.when(term.isNotNull() & (F.col(f"_n{i}") > 0),
                _packed_sample(term, F.col("_sample"), F.col(f"_n{i}"))).alias(f"_s{i}")
         for i in range(len(texts))])
@@ -76,7 +72,7 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
             F.col("_slot").isNotNull() & F.col(f"_s{i}").isNotNull(),
             F.struct("_slot", F.lower(F.substring(F.lpad(F.hex(f"_s{i}"), 16, "0"), 9, 8)))))
         ).alias(f"_m{i}") for i in range(len(texts))])
-    slots = F.sequence(F.lit(0), F.lit(SLOTS * SAMPLES - 1))
+    slots = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
 
     def filled(column):
         return F.array_join(F.transform(slots, lambda s: F.coalesce(
@@ -86,7 +82,7 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Agreeing slots among those that either fills; 1 for two sets without words."""
+    """Agreeing samples among those that either has; 1 for two sets without words."""
     pairs = F.zip_with(F.split(a, ",", -1), F.split(b, ",", -1), lambda x, y: F.when((x == "") & (y == ""), 0).when(x == y, 2).otherwise(1))
     used = F.size(F.filter(pairs, lambda p: p > 0))
     same = F.size(F.filter(pairs, lambda p: p == 2))

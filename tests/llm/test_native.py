@@ -63,6 +63,18 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs(sum(got) - sum(want)) / 200 < 0.02
 
 
+def test_collision_rate_of_single_pairs_with_a_heavy_word(spark):
+    """Each pair, not their mean: one word has nearly all the weight and the others differ."""
+    texts = lambda i, x: " ".join([*[f"the{i}"] * 1000, *(f"{x}{i}w{j}" for j in range(100))])
+    pairs = [(i, texts(i, "a"), texts(i, "b")) for i in range(60)]
+    df = spark.createDataFrame(pairs, "i int, a string, b string").repartition(4, "i")
+    made = fingerprints.fingerprints(df, ["i"], ["a", "b"])
+    got = [r[0] for r in made.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    j = 1000 / 1200
+    assert len(got) == 60 and abs(sum(got) / 60 - j) < 0.05
+    assert all(abs(x - j) < 5 * (j * (1 - j) / fingerprints.SAMPLES) ** 0.5 for x in got)
+
+
 def test_fingerprints_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert fingerprints.compare_with_edits(df).count() == 0
