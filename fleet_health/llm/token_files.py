@@ -31,18 +31,23 @@ def _tokenizer(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
+
+
+def _added(own) -> list[str]:
+    """What the tokenizer's added tokens look like in a text."""
+    return [t.content for t in own.get_added_tokens_decoder().values() if t.content]
 
 
 def library_encoder(path: str):
     """Unit encoder by the tokenizers library: many units go as one string.
 
     Byte-level ids have known byte lengths, which tell where a unit's ids end. Units that do not
-    start with a space go alone, since a cut before them would not be seen.
+    start with a space go alone, since a cut before them would not be seen. Special tokens in a unit
+    are spelled out.
     """
     own = _tokenizer(path)
+    own.encode_special_tokens = True
     size = own.get_vocab_size(with_added_tokens=True)
     width = np.zeros(size, np.int64)
     for token, i in own.get_vocab(with_added_tokens=True).items():
@@ -70,24 +75,44 @@ def library_encoder(path: str):
     return encode
 
 
-def _writer(folder, tokenizer_path, end_id, kind):
+def _whole(own, texts, holds, ids, ends):
+    """`ids` and `ends` with the ids of the texts that `holds` names, which have none there yet."""
+    got = [np.array(e.ids, np.int64) for e in own.encode_batch_fast([texts[i] for i in holds], add_special_tokens=False)]
+    sizes = np.fromiter(map(len, got), np.int64, len(got))
+    more = np.zeros(len(ends), np.int64)
+    more[np.array(holds) + 1] = sizes
+    return np.insert(ids, np.repeat(ends[holds], sizes), np.concatenate(got)), ends + np.cumsum(more)
+
+
+def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
     def write(frames):
         from contextlib import ExitStack
 
-        cache, store, base = None, None, 0
+        cache, store, base, own, added = None, None, 0, None, []
         least, n_docs, n_tokens, name = None, 0, 0, uuid.uuid4().hex
         with ExitStack() as stack:
             files = {}
             for frame in slices(frames):
                 if cache is None:
                     cache = UnitCache(library_encoder(tokenizer_path), 900_000)
+                    if added_tokens:
+                        own = _tokenizer(tokenizer_path)
+                        added = _added(own)
                     store, path = open_store(folder)
                     for suffix in ("tokens", "offsets", "docs"):
                         files[suffix] = stack.enter_context(
                             store.open_output_stream(f"{path}/{name}.{suffix}"))
                     least = int(frame["doc_id"].iloc[0])
                     files["offsets"].write(np.zeros(1, "<i8").tobytes())
-                ids, ends = cache.tokens(frame["text"])
+                texts = list(frame["text"])
+                holds = [i for i, t in enumerate(texts) if isinstance(t, str) and any(a in t for a in added)]
+                if holds:  # an added token may stand across a cut
+                    apart = list(texts)
+                    for i in holds:
+                        apart[i] = None
+                    ids, ends = _whole(own, texts, holds, *cache.tokens(apart))
+                else:
+                    ids, ends = cache.tokens(texts)
                 out = np.insert(ids, ends[1:], end_id).astype(kind)
                 ends = ends[1:] + np.arange(1, len(ends))
                 files["tokens"].write(out.tobytes())
@@ -102,9 +127,12 @@ def _writer(folder, tokenizer_path, end_id, kind):
     return write
 
 
-def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, *,
+          added_tokens: bool = False) -> DataFrame:
     """Write all documents (`doc_id`, `text`) and return the manifest, with each shard's base.
 
+    `added_tokens`: the tokenizer's added tokens that stand in a text become their own ids, as the
+    library does unless told otherwise; else special ones are spelled out.
     Null or empty texts have the end id alone. Rows with a null doc_id cannot be addressed by id and
     are refused. Repeated doc_ids are all written, next to each other. Offsets in the files count
     from the shard's start; the manifest's `base` makes them global.
@@ -120,7 +148,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
         .otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"), F.col("text").cast("string"))
     sorted_docs = (docs.repartitionByRange(parts_for(df, "text", 40e6), "doc_id")
                    .sortWithinPartitions("doc_id"))
-    shards = cut_lineage(sorted_docs.mapInPandas(_writer(folder, tokenizer_path, end_id, kind), MANIFEST))
+    shards = cut_lineage(sorted_docs.mapInPandas(_writer(folder, tokenizer_path, end_id, kind, added_tokens), MANIFEST))
     before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return shards.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"),
                          F.lit(folder).alias("folder"))

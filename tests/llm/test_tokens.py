@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleet_health.llm import bpe, token_files
+from fleet_health.llm import bpe, queries, token_files
 from fleet_health.llm.elias_fano import EliasFano
 
 RANKS, LIBRARY = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -79,6 +79,25 @@ def test_files_hold_all_documents_in_order(spark):
         at += len(want)
 
 
+def documents(spark, rows, tmp_path):
+    """The rows as a table for the registered query."""
+    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_added_tokens_are_those_of_the_unchanged_library(spark, tmp_path):
+    own, mark = Tokenizer.from_file(LIBRARY), "<|endoftext|>"
+    odd = [f"a {mark} b", f"{mark}{mark}", f"x{mark[:5]} {mark}  ", mark, f"tie{mark}tie\n"]
+    rows = [*enumerate([*texts(), *odd, "after"])]
+    assert own.encode(odd[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = queries.op7_token_files(spark, documents(spark, rows, tmp_path)).orderBy("doc_id").collect()
+    at = 0
+    for (i, text), r in zip(rows, got, strict=True):
+        want = np.array([*own.encode(text or "", add_special_tokens=False).ids, queries.END_ID], "<u4")
+        assert tuple(r) == (i, at, len(want), zlib.crc32(want.tobytes()))
+        at += len(want)
+
+
 def test_a_document_without_id_is_refused(spark):
     with pytest.raises(Exception, match="no doc_id"):
         token_files.write(frame(spark, [(None, "a")]), LIBRARY, 2).collect()
