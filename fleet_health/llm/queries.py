@@ -47,7 +47,8 @@ def op6_byte_bpe(spark, sf_dir):
 
 
 def op7_token_files(spark, sf_dir):
-    manifest = token_files.write(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, added_tokens=True)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), TOKENIZER, END_ID,
+                                 added_tokens=True, null_ids=True)
     return token_files.read(spark, manifest).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"))

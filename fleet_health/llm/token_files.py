@@ -3,7 +3,7 @@
 A shard is three files, all little-endian: `<name>.tokens` (unsigned 16- or 32-bit ids, the
 narrowest that holds the vocabulary), `<name>.offsets` (signed 64-bit, one more than documents:
 where each document starts among ALL ids, so that the first is the shard's base) and `<name>.docs`
-(signed 64-bit document ids). The bases are prefix sums over the shards' sizes.
+(signed 64-bit document ids; the last `n_null` of the manifest row stand for null and are 0). The bases are prefix sums over the shards' sizes.
 
 Shards are ranges of document ids. A task writes under a name of its own and returns a manifest row;
 only files that the manifest names count, so that a task that is run twice does no harm.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fleet_health.llm.common import UnitCache, load_array, open_store, parts_for, slices, spans
 from fleet_health.session import cut_lineage, scratch_path
 
-MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width int"
+MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width int, n_null bigint, tie bigint"
 #: Units that go into one call of the tokenizers library.
 BATCH = 500
 
@@ -89,7 +89,7 @@ def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
         from contextlib import ExitStack
 
         cache, store, base, own, added = None, None, 0, None, []
-        least, n_docs, n_tokens, name = None, 0, 0, uuid.uuid4().hex
+        least, tie, n_docs, n_null, name = None, None, 0, 0, uuid.uuid4().hex
         with ExitStack() as stack:
             files = {}
             for frame in slices(frames):
@@ -102,7 +102,10 @@ def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
                     for suffix in ("tokens", "offsets", "docs"):
                         files[suffix] = stack.enter_context(
                             store.open_output_stream(f"{path}/{name}.{suffix}"))
-                    least = int(frame["doc_id"].iloc[0])
+                    if frame["no_id"].iloc[0]:
+                        tie = int(frame["tie"].iloc[0])
+                    else:
+                        least = int(frame["doc_id"].iloc[0])
                     files["offsets"].write(np.zeros(1, "<i8").tobytes())
                 texts = list(frame["text"])
                 holds = [i for i, t in enumerate(texts) if isinstance(t, str) and any(a in t for a in added)]
@@ -120,21 +123,23 @@ def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
                 files["docs"].write(frame["doc_id"].to_numpy("<i8").tobytes())
                 base += len(out)
                 n_docs += len(frame)
+                n_null += int(frame["no_id"].sum())
         if n_docs:
-            yield pd.DataFrame([(name, least, n_docs, base, np.dtype(kind).itemsize)],
-                               columns=["shard", "least", "n_docs", "n_tokens", "width"])
+            out = pd.DataFrame([(name, least, n_docs, base, np.dtype(kind).itemsize, n_null, tie)],
+                               columns=["shard", "least", "n_docs", "n_tokens", "width", "n_null", "tie"])
+            yield out.astype({"least": "Int64", "tie": "Int64"})
 
     return write
 
 
 def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, *,
-          added_tokens: bool = False) -> DataFrame:
+          added_tokens: bool = False, null_ids: bool = False) -> DataFrame:
     """Write all documents (`doc_id`, `text`) and return the manifest, with each shard's base.
 
     `added_tokens`: the tokenizer's added tokens that stand in a text become their own ids, as the
     library does unless told otherwise; else special ones are spelled out.
-    Null or empty texts have the end id alone. Rows with a null doc_id cannot be addressed by id and
-    are refused. Repeated doc_ids are all written, next to each other. Offsets in the files count
+    Null or empty texts have the end id alone. Rows with a null doc_id cannot be addressed by id: with
+    `null_ids` they come last, by a hash of their text, else they are refused. Repeated doc_ids are all written, next to each other. Offsets in the files count
     from the shard's start; the manifest's `base` makes them global.
     """
     spark = df.sparkSession
@@ -143,14 +148,18 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     store.create_dir(path, recursive=True)
     top = max([end_id, _tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1])
     kind = "<u2" if top < 2**16 else "<u4"
+    none = F.col("doc_id").isNull()
+    instead = F.lit(0).cast("bigint") if null_ids else F.raise_error(F.lit("a document has no doc_id")).cast("bigint")
     docs = df.select(
-        F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a document has no doc_id")).cast("bigint"))
-        .otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"), F.col("text").cast("string"))
-    sorted_docs = (docs.repartitionByRange(parts_for(df, "text", 40e6), "doc_id")
-                   .sortWithinPartitions("doc_id"))
+        F.when(none, instead).otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"),
+        F.col("text").cast("string"), none.alias("no_id"),
+        # many rows without id are no single range
+        F.when(none, F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0)).alias("tie"))
+    order = ["no_id", "doc_id", "tie"]
+    sorted_docs = docs.repartitionByRange(parts_for(df, "text", 40e6), *order).sortWithinPartitions(*order)
     shards = cut_lineage(sorted_docs.mapInPandas(_writer(folder, tokenizer_path, end_id, kind, added_tokens), MANIFEST))
-    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    return shards.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"),
+    before = Window.orderBy(F.col("least").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    return shards.select(*[c for c in shards.columns if c != "tie"], F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"),
                          F.lit(folder).alias("folder"))
 
 
@@ -168,7 +177,9 @@ def _reader(frames):
                 b = min(a + 2000, len(docs))
                 cuts = np.asarray(offsets[a : b + 1])
                 yield pd.DataFrame({
-                    "doc_id": np.asarray(docs[a:b]), "start": row.base + cuts[:-1],
+                    "doc_id": pd.arrays.IntegerArray(np.array(docs[a:b], np.int64),
+                                                     np.arange(a, b) >= len(docs) - row.n_null),
+                    "start": row.base + cuts[:-1],
                     "ids": [np.asarray(ids[i:j]).astype("<u4").tobytes()
                             for i, j in zip(cuts, cuts[1:])]})
 

@@ -98,6 +98,17 @@ def test_added_tokens_are_those_of_the_unchanged_library(spark, tmp_path):
         at += len(want)
 
 
+def test_documents_without_id_come_last(spark, tmp_path):
+    own, big = Tokenizer.from_file(LIBRARY), 2**62 + 1
+    rows = [(None, "no id"), (big, "large"), (-4, "a b"), (None, None), (0, "zero"), (None, "no id"), (big + 1, "")]
+    rows += [(None, f"none {i}") for i in range(40)]
+    got = queries.op7_token_files(spark, documents(spark, rows, tmp_path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [-4, 0, big, big + 1, *[None] * 43]
+    crc = lambda t: zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, queries.END_ID], "<u4"))
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sorted((i or 0, crc(t)) for i, t in rows)
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+
+
 def test_a_document_without_id_is_refused(spark):
     with pytest.raises(Exception, match="no doc_id"):
         token_files.write(frame(spark, [(None, "a")]), LIBRARY, 2).collect()
