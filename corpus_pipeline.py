@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near duplicates, secrets, source mix, tokens.
 
-Each stage takes the documents (doc_id, text, lang, source, n_chars) that its predecessor kept. Rows
-without a doc_id cannot be followed and go in the first stage. The mix repeats a document's row as
+Each stage takes the documents (doc_id, text, lang, source, n_chars) that its predecessor kept. Ids may
+be null or repeated: stages follow rows by a hash of all their columns. The mix repeats a document's row as
 often as it takes it. The last stage returns token ids.
 """
 
@@ -17,17 +17,28 @@ from fleet_health.session import cut_lineage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """`docs` with `_row`, which only rows that are equal in all columns share."""
+    return docs.withColumn("_row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]))
+
+
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    good = quality.judge(docs.where("doc_id IS NOT NULL"), trusted).where("keep")
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    docs = with_key(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    trusted = cut_lineage(docs.select("doc_id", "_row").join(labels, "doc_id", "left_semi").select("_row"))
+    good = quality.judge(docs, trusted, key="_row").where("keep").select(F.col("doc_id").alias("_row"))
+    return docs.join(good.distinct(), "_row", "left_semi").select(COLUMNS)
 
 
 def keep_different(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates, once."""
-    first = jaccard.link(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """The document of least id (null: last) of each group of near duplicates, once."""
+    docs = with_key(docs)
+    linked = jaccard.link(docs, key="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    first = docs.select("doc_id", "_row").join(linked, "_row").groupBy("component_id").agg(least)
+    return (docs.join(first.select("least._row"), "_row", "left_semi").dropDuplicates(["_row"])
+            .select(COLUMNS))
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
