@@ -10,7 +10,7 @@ probability equal to their generalised Jaccard similarity, sum of min over sum o
 
 A fingerprint has SAMPLES samples, each among all terms of its text. Likeness is the share of equal ones.
 
-A Gamma(2, 1) draw is -ln(u v) for two uniforms. Draws come from 64-bit hashes of the word.
+A Gamma(2, 1) draw is -ln(u v) for two uniforms of 32 bits. Draws come from 64-bit hashes of the word.
 """
 
 from __future__ import annotations
@@ -23,27 +23,40 @@ from fleet_health.llm.common import lower_ascii
 SAMPLES = 16
 #: Bits of a sample that are its identity; the upper 32 order it.
 ID_BITS = 32
-#: Code points of text in one ordered segment, about.
-SEGMENT_CHARS = 8_000_000
+#: Code points of text in one ordered segment, about, and segments in a partition.
+SEGMENT_CHARS = 500_000
+SEGMENTS_EACH = 16
+#: Segments at most, about; beyond that many their size grows.
+MAX_CUTS = 1_000_000
 
 
-def _uniform(term: Column, sample: Column, salt: int) -> Column:
-    """In (0, 1), from 52 bits."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), sample, term), 12)
-    return (bits + F.lit(0.5)) / F.lit(float(2**52))
+def _uniforms(bits: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1), from the halves of 64 bits."""
+    halves = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(2**32 - 1))
+    return tuple((half + F.lit(0.5)) / F.lit(float(2**32)) for half in halves)
 
 
-def _packed_sample(term: Column, sample: Column, weight: Column) -> Column:
-    """A number whose order is that of ln a, with the identity of (term, t) in its lower bits."""
-    r = -F.log(_uniform(term, sample, 1) * _uniform(term, sample, 2))
-    c = -F.log(_uniform(term, sample, 3) * _uniform(term, sample, 4))
-    b = _uniform(term, sample, 5)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    ln_a = F.log(c) - r * (t - b) - r
-    scaled = F.greatest(F.least(F.round((ln_a + 512.0) * float(2**21)), F.lit(float(2**31 - 1))),
-                        F.lit(0.0)).cast("bigint")
-    identity = F.shiftrightunsigned(F.xxhash64(F.lit(6), term, t), 64 - ID_BITS)
-    return F.shiftleft(scaled, ID_BITS).bitwiseOR(identity)
+def _sampled(each: DataFrame, keep: list[Column], weights: list[str], names: list[str]) -> DataFrame:
+    """A number per text whose order is that of ln a, with the identity of (term, t) in its lower bits.
+
+    Draws are columns of selects of their own, so that all texts share them.
+    """
+    term = F.col("_term")
+    bits = [F.xxhash64(F.lit(i), "_sample", term).alias(f"_h{i}") for i in (1, 2, 3)]
+    drawn = each.select("*", *bits)
+    (r1, r2), (c1, c2), (b, _) = (_uniforms(F.col(f"_h{i}")) for i in (1, 2, 3))
+    drawn = drawn.select(*each.columns, (-F.log(r1 * r2)).alias("_r"), F.log(-F.log(c1 * c2)).alias("_lnc"), b.alias("_b"))
+    drawn = drawn.select("*", *[F.floor(F.col(w) / F.col("_r") + F.col("_b")).alias(f"_t{i}")
+                                for i, w in enumerate(weights)])
+
+    def packed(i):
+        t = F.col(f"_t{i}")
+        ln_a = F.col("_lnc") - F.col("_r") * (t - F.col("_b")) - F.col("_r")
+        scaled = F.greatest(F.least(F.floor((ln_a + 512.0) * float(2**21) + 0.5), F.lit(2**31 - 1)), F.lit(0))
+        identity = F.shiftrightunsigned(F.xxhash64(F.lit(6), term, t), 64 - ID_BITS)
+        return F.when(t.isNotNull(), F.shiftleft(scaled.cast("bigint"), ID_BITS).bitwiseOR(identity))
+
+    return drawn.select(*keep, *[packed(i).alias(n) for i, n in enumerate(names)])
 
 
 def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
@@ -59,12 +72,13 @@ def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
              .select(*key, F.when(F.col("_word") != "", F.xxhash64("_word")).alias("_term"), "_which"))
     counted = terms.groupBy(*key, "_term").agg(
         *[F.sum((F.col("_which") == i).cast("bigint")).alias(f"_n{i}") for i in range(len(texts))])
-    term = F.col("_term")
+    # ln of the weight; null where a text lacks the term.
+    counted = counted.select(*key, "_term", *[
+        F.when(F.col("_term").isNotNull() & (F.col(f"_n{i}") > 0), F.log(F.col(f"_n{i}").cast("double")))
+        .alias(f"_w{i}") for i in range(len(texts))])
     each = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("_sample"))
-    sampled = each.select(*key, F.col("_sample").alias("_slot"), *[
-        F.when(term.isNotNull() & (F.col(f"_n{i}") > 0),
-               _packed_sample(term, F.col("_sample"), F.col(f"_n{i}"))).alias(f"_s{i}")
-        for i in range(len(texts))])
+    sampled = _sampled(each, [*[F.col(k) for k in key], F.col("_sample").alias("_slot")],
+                       [f"_w{i}" for i in range(len(texts))], [f"_s{i}" for i in range(len(texts))])
     best = sampled.groupBy(*key, "_slot").agg(*[F.min(f"_s{i}").alias(f"_s{i}")
                                                 for i in range(len(texts))])
     made = best.groupBy(*key).agg(*[
@@ -89,36 +103,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
 
 
+def _place(at: Column) -> Column:
+    """How many cuts are at or below `at`, by two levels of comparisons."""
+    group = F.size(F.filter("_heads", lambda head: head <= at))
+    inside = F.size(F.filter(F.get("_groups", group - 1), lambda cut: cut <= at))
+    return F.when(group > 0, (group - 1) * F.col("_width") + inside).otherwise(F.lit(0))
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`_seg`, `_pos`, `_copy`, key, text and the next row's text, `_next`, in ascending key order.
 
     After the last comes the first. Rows with a null key come last; rows with equal keys follow each
-    other by text, nulls first. The rows are cut into segments at keys that exist, and each segment
-    also gets the row after its last (`_copy`), so that no window spans the whole table.
+    other by a hash of the text, then by text, nulls first. The rows are cut into segments at places
+    (key and hash) that exist, and each segment also gets the rows at the start of the next
+    (`_copy`), so that no window spans the whole table, null keys included. The cuts are rows that a
+    hash picks, at most about MAX_CUTS, so the table of them, which is broadcast, has a bound.
     """
     docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    stats = docs.agg(F.sum(F.length("_text")), F.count("_key"), F.min("_key")).first()
-    n = max(1, min(10_000, -(-(stats[0] or 0) // SEGMENT_CHARS), stats[1]))
-    cuts: list[int] = []
-    if n > 1:
-        marks = docs.agg(F.percentile_approx(
-            "_key", [i / n for i in range(1, n)], 20 * n)).first()[0]
-        cuts = sorted(set(marks) - {stats[2]})
-    firsts = [*([stats[2]] if stats[1] else [None]), *cuts]  # least key of each segment
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    seg = F.when(F.col("_key").isNull(), F.lit(len(cuts))).otherwise(
-        F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
-    placed = docs.withColumn("_seg", seg)
-    starts = placed.where(F.col("_key").eqNullSafe(F.lit(firsts[0])) | F.col("_key").isin(cuts)
-                          if cuts else F.col("_key").eqNullSafe(F.lit(firsts[0])))
-    order = ["_copy", F.col("_key").asc_nulls_last(), F.col("_text").asc_nulls_first()]
-    after = starts.withColumn(
-        "_seg", F.when(F.col("_seg") == 0, F.lit(len(cuts))).otherwise(F.col("_seg") - 1))
-    both = placed.withColumn("_copy", F.lit(False)).unionByName(
-        after.withColumn("_copy", F.lit(True)))
-    window = Window.partitionBy("_seg").orderBy(*order)
-    return both.repartition(len(cuts) + 1, "_seg").select(
-        "*", F.row_number().over(window).alias("_pos"), F.lead("_text").over(window).alias("_next"))
+    docs = docs.withColumn("_at", F.struct(F.col("_key").isNull(), F.col("_key"), F.xxhash64("_text")))
+    total, rows, least = docs.agg(F.sum(F.length("_text")), F.count(F.lit(1)), F.min("_at")).first()
+    each = max(1, -(-SEGMENT_CHARS * rows // max(1, total or 0)), -(-rows // MAX_CUTS))
+    kinds = [f.dataType for f in docs.schema["_at"].dataType.fields]
+    first = F.struct(*[F.lit(x).cast(kind) for x, kind in zip(least or [None] * 3, kinds)])
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(7), "_at"), F.lit(each)) == 0).where(F.col("_at") > first)
+    cuts = picked.agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    cuts = cuts.withColumn("_width", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_cuts")))).cast("int"))
+    starts_at = F.when(F.size("_cuts") > 0, F.sequence(F.lit(1), F.size("_cuts"), F.col("_width"))).otherwise(
+        F.array().cast("array<int>"))
+    cuts = cuts.withColumn("_groups", F.transform(starts_at, lambda i: F.slice("_cuts", i, F.col("_width"))))
+    cuts = cuts.withColumn("_heads", F.transform("_groups", lambda g: F.element_at(g, 1)))
+    placed = docs.crossJoin(F.broadcast(cuts)).withColumn("_seg", _place(F.col("_at")))
+    opens = F.get(F.get("_groups", F.floor((F.col("_seg") - 1) / F.col("_width")).cast("int")),
+                  (F.col("_seg") - 1) % F.col("_width"))
+    placed = placed.select("_key", "_text", "_at", "_seg", F.size("_cuts").alias("_last"), F.when(
+        F.col("_seg") > 0, F.col("_at").eqNullSafe(opens)).otherwise(F.col("_at").eqNullSafe(first)).alias("_opens"))
+    after = placed.where("_opens").withColumn(
+        "_seg", F.when(F.col("_seg") == 0, F.col("_last")).otherwise(F.col("_seg") - 1))
+    both = placed.withColumn("_copy", F.lit(False)).unionByName(after.withColumn("_copy", F.lit(True)))
+    window = Window.partitionBy("_seg").orderBy("_copy", "_at", F.col("_text").asc_nulls_first())
+    # Several segments a partition, so that their different sizes even out.
+    parts = max(1, rows // (each * SEGMENTS_EACH) + 1)
+    return both.repartition(parts, "_seg").select(
+        "_seg", "_copy", "_key", "_text", F.row_number().over(window).alias("_pos"),
+        F.lead("_text").over(window).alias("_next"))
 
 
 def shifted(text: Column, following: Column) -> Column:
@@ -131,8 +158,7 @@ def shifted(text: Column, following: Column) -> Column:
 def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: its and its edited text's fingerprint, and their and the next row's likeness.
 
-    Only the first of rows with equal keys at a segment's start is followed across the border, which
-    is what the order by text asks for. An empty table gives no rows.
+    The order is that of `with_next`. An empty table gives no rows.
     """
     rows = with_next(df, key, text).select(
         "_seg", "_pos", "_copy", "_key", "_text", shifted(F.col("_text"), F.col("_next")).alias("_edited"))

@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fleet_health.llm import fingerprints, mixing, secrets
@@ -19,33 +22,63 @@ def rows_of_text():
     texts += [" ".join(word() for _ in range(rng.choice([5, 60, 300]))) for _ in range(60)]
     texts += [texts[-1], texts[-2]]
     rows = [(i * 2, t) for i, t in enumerate(texts)]
-    return [*rows, rows[9], (None, "null id")]
+    return [*rows, rows[9], *((None, t) for t in texts[20:60]), (None, "null id"), (None, None), (12, texts[30])]
+
+
+def signed(x):
+    return (x + 2**63) % 2**64 - 2**63
+
+
+def hashed(seed, *values):
+    """64-bit hashes chained over 32-bit numbers, 64-bit numbers (given as (x,)) and texts."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", *v) if isinstance(v, tuple) else struct.pack("<i", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def plain_fingerprint(text):
+    """The samples, term by term."""
+    counts = Counter(signed(hashed(42, w.decode())) for w in text.encode().lower().split())
+    out = []
+    for sample in range(fingerprints.SAMPLES):
+        best = None
+        for term, n in counts.items():
+            bits = [hashed(42, i, sample, (term,)) for i in (1, 2, 3)]
+            (r1, r2), (c1, c2), (b, _) = [(((x >> 32) + 0.5) / 2**32, ((x & 0xFFFFFFFF) + 0.5) / 2**32) for x in bits]
+            r, lnc = -math.log(r1 * r2), math.log(-math.log(c1 * c2))
+            t = math.floor(math.log(n) / r + b)
+            ln_a = lnc - r * (t - b) - r
+            order = max(min(math.floor((ln_a + 512.0) * 2**21 + 0.5), 2**31 - 1), 0)
+            best = min(best or (2**40, 0), (order, hashed(42, 6, (term,), (t,)) >> 32))
+        out.append(f"{best[1]:08x}" if best else "")
+    return out
+
+
+def agree(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
 
 
 @pytest.mark.parametrize("segment", [8_000_000, 4000])
 def test_fingerprints(spark, segment, monkeypatch):
+    """Every column of every row, recomputed; null and repeated ids, hundreds of segments or one."""
     monkeypatch.setattr(fingerprints, "SEGMENT_CHARS", segment)
     rows = rows_of_text()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, _seg int, _text string")
     got = fingerprints.compare_with_edits(df.repartition(3)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, prints, likely = Counter(), {}, []
-    for (i, t), (_, f) in zip(order, [*order[1:], order[0]]):
-        t, f = t or "", f or ""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, 42 if r[1] is None else signed(hashed(42, r[1]))))
+    prints = [plain_fingerprint(t or "") for _, t in order]
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        t, f = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(t) // 4
         edited = t[: len(t) - n] + f[:n]
-        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
-        a, b = (Counter(x.encode().lower().split()) for x in (t, edited))
-        likely.append(((i, len(t)), sum((a & b).values()) / max(1, sum((a | b).values()))))
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    texts = {(i, len(t or "")): t for i, t in rows}
-    for r in got:
-        text = texts[r["doc_id"], r["n_chars"]] or ""
-        assert prints.setdefault(text.strip(), r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    likely = dict(likely)
-    apart = [r["near_edited"] - likely[r["doc_id"], r["n_chars"]] for r in got if r["n_chars"] > 1000]
-    assert abs(sum(apart) / len(apart)) < 0.05
+        own, other, following = prints[k], plain_fingerprint(edited), prints[(k + 1) % len(order)]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), ",".join(own), ",".join(other),
+             round(agree(own, other), 9), round(agree(own, following), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"],
+                    round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
 
 
 def test_collision_rate_is_generalised_jaccard(spark):
