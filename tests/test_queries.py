@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fleet_health.plans.queries import REGISTRY
 from tools.check import TABLES, compare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -29,7 +30,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_only_fitted_models_have_no_sql():
-    assert {n for n in queries() if n not in SQL} == {
+    assert {n for n in REGISTRY if n not in SQL} == {
         "ml_fault_scores", "ml_rul_scores", "ml_eval", "ml_fleet_risk"}
 
 
