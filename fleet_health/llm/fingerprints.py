@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from fleet_health.llm.common import lower_ascii
 
-SAMPLES = 16
+SAMPLES = 32
 #: Bits of a sample that are its identity; the upper 32 order it.
 ID_BITS = 32
 #: Code points of text in one ordered segment, about, and segments in a partition.
 SEGMENT_CHARS = 500_000
 SEGMENTS_EACH = 16
-#: Segments at most, about; beyond that many their size grows.
-MAX_CUTS = 1_000_000
+#: Segments at most, about; beyond that many their size grows. A hash picks EVERY rows a segment, and
+#: every EVERY-th of these in order is a cut, so that segments are of similar size.
+MAX_CUTS = 100_000
+EVERY = 8
 
 
 def _uniforms(bits: Column) -> tuple[Column, Column]:
@@ -119,14 +121,16 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     (`_copy`), so that no window spans the whole table, null keys included. The cuts are rows that a
     hash picks, at most about MAX_CUTS, so the table of them, which is broadcast, has a bound.
     """
-    docs = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    docs = docs.withColumn("_at", F.struct(F.col("_key").isNull(), F.col("_key"), F.xxhash64("_text")))
+    docs = df.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"),
+                              F.xxhash64(text).alias("hash")).alias("_at"), F.col(text).alias("_text"))
     total, rows, least = docs.agg(F.sum(F.length("_text")), F.count(F.lit(1)), F.min("_at")).first()
     each = max(1, -(-SEGMENT_CHARS * rows // max(1, total or 0)), -(-rows // MAX_CUTS))
+    thin = max(1, each // EVERY)
     kinds = [f.dataType for f in docs.schema["_at"].dataType.fields]
     first = F.struct(*[F.lit(x).cast(kind) for x, kind in zip(least or [None] * 3, kinds)])
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(7), "_at"), F.lit(each)) == 0).where(F.col("_at") > first)
-    cuts = picked.agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(7), "_at"), F.lit(thin)) == 0).where(F.col("_at") > first)
+    nth = each // thin
+    cuts = picked.agg(F.filter(F.array_sort(F.collect_set("_at")), lambda _, i: i % nth == nth - 1).alias("_cuts"))
     cuts = cuts.withColumn("_width", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_cuts")))).cast("int"))
     starts_at = F.when(F.size("_cuts") > 0, F.sequence(F.lit(1), F.size("_cuts"), F.col("_width"))).otherwise(
         F.array().cast("array<int>"))
@@ -135,7 +139,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = docs.crossJoin(F.broadcast(cuts)).withColumn("_seg", _place(F.col("_at")))
     opens = F.get(F.get("_groups", F.floor((F.col("_seg") - 1) / F.col("_width")).cast("int")),
                   (F.col("_seg") - 1) % F.col("_width"))
-    placed = placed.select("_key", "_text", "_at", "_seg", F.size("_cuts").alias("_last"), F.when(
+    placed = placed.select("_text", "_at", "_seg", F.size("_cuts").alias("_last"), F.when(
         F.col("_seg") > 0, F.col("_at").eqNullSafe(opens)).otherwise(F.col("_at").eqNullSafe(first)).alias("_opens"))
     after = placed.where("_opens").withColumn(
         "_seg", F.when(F.col("_seg") == 0, F.col("_last")).otherwise(F.col("_seg") - 1))
@@ -144,7 +148,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # Several segments a partition, so that their different sizes even out.
     parts = max(1, rows // (each * SEGMENTS_EACH) + 1)
     return both.repartition(parts, "_seg").select(
-        "_seg", "_copy", "_key", "_text", F.row_number().over(window).alias("_pos"),
+        "_seg", "_copy", F.col("_at.key").alias("_key"), "_text", F.row_number().over(window).alias("_pos"),
         F.lead("_text").over(window).alias("_next"))
 
 
