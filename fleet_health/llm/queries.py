@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleet_health.llm import ann, bpe, fingerprints, jaccard, lm_trie, mixing, quality, secrets, substrings, token_files
+from fleet_health.llm import (
+    ann, bpe, fingerprints, jaccard, line_dedup, lm_trie, merkle, mixing, quality, runs, secrets, substrings, token_files)
 from fleet_health.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,9 +76,36 @@ def op10_secret_scan(spark, sf_dir):
         .alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.find_runs(docs.select("doc_id", runs.repeat_tail(F.col("text"), number).alias("text")))
+    best = found.withColumn("best", runs.highest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    kept = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.leaf_digest(fields)
+    changed = merkle.leaf_digest([*fields[:3], fields[3] + 1, fields[4]])
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    return merkle.verify(docs, leaf, F.when(tampered, changed).otherwise(leaf))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_posting_lists, op3_substring_dedup, op4_quality, op5_trie_scoring,
-    op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan)}
+    op6_byte_bpe, op7_token_files, op8_fingerprints, op9_source_mix, op10_secret_scan,
+    op11_periodic_runs, op12_line_dedup, op13_merkle_manifest)}
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = f"""
@@ -125,5 +153,100 @@ SELECT t.doc_id, len(t.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coal
 FROM tokens t LEFT JOIN removed r ON r.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
 
+#: Unsigned CRC-32 of the decimal doc_id, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))))"""
+
+#: Matches of five words at every distance, joined to stretches.
+OP11_SQL = rf"""
+WITH given AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {CRC_SQL} AS h FROM documents),
+sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM given),
+cut AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+tokens AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) AS w FROM cut),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS x
+          FROM (SELECT *, unnest(range(0, n - 4)) AS i FROM tokens WHERE n >= 5)),
+pairs AS (SELECT l.doc_id, l.i, r.i - l.i AS d FROM grams l JOIN grams r
+          ON l.doc_id = r.doc_id AND l.x = r.x AND l.i < r.i AND 4 * (r.i - l.i) <= l.n),
+placed AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS stretch FROM pairs),
+matches AS (SELECT doc_id, d, min(i) AS s, count(*) + 4 AS m FROM placed GROUP BY doc_id, d, stretch),
+runs AS (SELECT doc_id, s AS start, m + d AS length, min(d) AS period FROM matches WHERE m >= 3 * d GROUP BY ALL),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS x
+           FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM tokens),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS x FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(l.x, '')) AS runs_sha256, sha256(coalesce(k.x, '')) AS collapsed_sha256
+FROM tokens t LEFT JOIN listed l ON l.doc_id = t.doc_id LEFT JOIN best b ON b.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+OP12_SQL = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS i FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+first AS (SELECT k, min(doc_id) AS least FROM keyed WHERE length(k) >= 10 GROUP BY k),
+told AS (SELECT doc_id, i, line, coalesce(doc_id > least, false) AS gone FROM keyed LEFT JOIN first USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
+
+def _field_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(x) for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: `side` 0 are the trees of the languages, 1 is the tree over them.
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+         CASE WHEN {CRC_SQL} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS shown FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS rank,
+                  count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, rank AS pos, leaf AS digest, n FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place,
+                    count(*) OVER () AS k FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place AS pos, subroot AS digest, k AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+path AS (
+  SELECT r.doc_id, r.leaf, 0 AS side, n.level, n.pos, n.digest FROM ranked r JOIN nodes n
+    ON n.lang IS NOT DISTINCT FROM r.lang AND n.n > 1 AND n.pos = xor(r.rank >> n.level, 1)
+  UNION ALL
+  SELECT r.doc_id, r.leaf, 1, t.level, t.pos, t.digest FROM ranked r
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang JOIN tops t ON t.n > 1 AND t.pos = xor(s.place >> t.level, 1)),
+proofs AS (SELECT doc_id, leaf, sha256(string_agg(digest, '' ORDER BY side, level)) AS proof FROM path GROUP BY ALL),
+folds AS (
+  SELECT r.doc_id, r.leaf, r.lang, 0 AS side, 0 AS level, r.rank AS pos, r.n, s.place, s.k, r.shown AS digest
+  FROM ranked r JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.lang, CASE WHEN f.n = 1 THEN f.side + 1 ELSE f.side END, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END,
+         CASE WHEN f.n = 1 THEN f.place ELSE f.pos // 2 END, CASE WHEN f.n = 1 THEN f.k ELSE (f.n + 1) // 2 END, f.place, f.k,
+         CASE WHEN f.n = 1 THEN f.digest WHEN p.digest IS NULL THEN sha256(f.digest)
+              WHEN f.pos % 2 = 0 THEN sha256(f.digest || p.digest) ELSE sha256(p.digest || f.digest) END
+  FROM folds f LEFT JOIN path p ON p.doc_id = f.doc_id AND p.leaf = f.leaf AND p.side = f.side AND p.level = f.level AND f.n > 1
+  WHERE f.side < 2 AND NOT (f.side = 1 AND f.n = 1))
+SELECT r.doc_id, r.leaf, s.subroot, t.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = t.digest AS verified
+FROM ranked r JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang JOIN tops t ON t.n = 1
+LEFT JOIN proofs p ON p.doc_id = r.doc_id AND p.leaf = r.leaf
+JOIN folds f ON f.doc_id = r.doc_id AND f.leaf = r.leaf AND f.side = 1 AND f.n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_posting_lists": OP2_SQL,
-                              "op3_substring_dedup": OP3_SQL}
+                              "op3_substring_dedup": OP3_SQL, "op11_periodic_runs": OP11_SQL,
+                              "op12_line_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
