@@ -31,7 +31,7 @@ from fleet_health.llm.common import lower_ascii
 SPACES = " \t\n\x0b\x0c\r"
 #: Code points of text in one partition, about, and hash ranges in a partition.
 CHARS_EACH = 48_000_000
-RANGES_EACH = 8
+RANGES_EACH = 64
 #: One document in so many estimates the hot keys.
 PICKED = 64
 #: A key is hot above this share of the lines, or above so many lines.

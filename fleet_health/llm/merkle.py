@@ -141,9 +141,8 @@ def _siblings(children: list[bytes], height: int):
     return of
 
 
-def _step(kinds: str):
+def _step(names: list[str], carried: list[str]):
     """Cogrouped: the record at a node with the path so far, and the rows that descend through it."""
-    names = [k.split()[0] for k in kinds.split(", ")]
 
     def step(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(wanted):
@@ -156,34 +155,38 @@ def _step(kinds: str):
         out = wanted.copy()
         out["digest"] = [children[d] for d in digits]
         out["path"] = [paths[d] for d in digits]
+        for c in carried:
+            out[c] = [at[c]] * len(out)
         return out[names]
 
     return step
 
 
-def descend(levels: list[DataFrame], starts: DataFrame, requests: DataFrame, payload: list[str]) -> DataFrame:
+def descend(levels: list[DataFrame], starts: DataFrame, requests: DataFrame, payload: list[str],
+            carried: tuple[str, ...] = ()) -> DataFrame:
     """`requests` (tree, rank and `payload`) with their leaf's `digest` and `path`.
 
-    `starts` has tree, digest and level of each root, and the `path` above it. The path is the
-    siblings from the leaf up, packed. Requests for ranks that do not exist are not asked for.
+    `starts` has tree, digest and level of each root, the `path` above it, and columns that all
+    requests below get (`carried`). The path is the siblings from the leaf up, packed. Requests for
+    ranks that do not exist are not asked for.
     """
-    types = dict(requests.dtypes)
+    types = {**dict(starts.dtypes), **dict(requests.dtypes)}
     frontier = None
     for k in range(len(levels) - 1, -1, -1):
-        here = starts.where(F.col("level") == k).select("tree", F.lit(0).cast("bigint").alias("node"), "digest", "path")
+        here = starts.where(F.col("level") == k).select("tree", F.lit(0).cast("bigint").alias("node"), "digest", "path", *carried)
         if frontier is not None:
-            here = here.unionByName(frontier.select("tree", F.col("rank").alias("node"), "digest", "path"))
+            here = here.unionByName(frontier.select("tree", F.col("rank").alias("node"), "digest", "path", *carried))
         # Equal content has one record, whatever number of places refer to it.
         records = levels[k].groupBy("digest").agg(F.first(F.struct("size", "children")).alias("_r"))
-        found = here.join(records, "digest").select("tree", "node", "path", "_r.size", "_r.children")
+        found = here.join(records, "digest").select("tree", "node", "path", "_r.size", "_r.children", *carried)
         extra = payload if k == 0 else []
         wanted = requests.select("tree", F.shiftright("rank", DIGIT * k).alias("rank"), *extra)
         if k:
             wanted = wanted.distinct()
         wanted = wanted.withColumn("node", F.shiftright("rank", DIGIT))
-        kinds = ", ".join(["tree string", "rank bigint", *[f"{c} {types[c]}" for c in extra], "digest binary", "path binary"])
+        kinds = {"tree": "string", "rank": "bigint", **{c: types[c] for c in (*extra, *carried)}, "digest": "binary", "path": "binary"}
         frontier = (found.groupBy("tree", "node").cogroup(wanted.groupBy("tree", "node"))
-                    .applyInPandas(_step(kinds), kinds))
+                    .applyInPandas(_step(list(kinds), list(carried)), ", ".join(f"{c} {t}" for c, t in kinds.items())))
         if k:
             frontier = cut_lineage(frontier)
     return frontier
@@ -231,18 +234,17 @@ class Manifest:
     def proofs(self) -> DataFrame:
         """Every leaf with its `path` to the root, `subroot` and its place in both trees.
 
-        Columns: key, digest, payload, path, subroot, rank, size, tree_rank, trees.
+        Columns: key (as text, since pandas has no integers with nulls), digest, payload, path, subroot,
+        rank, size, tree_rank, trees.
         """
         top = roots(self.forest).withColumn("path", F.unhex(F.lit("")))
         trees = descend(self.forest, top, self.trees.select("tree", "rank", "name", "level"), ["name", "level"])
-        starts = cut_lineage(trees.select(F.col("name").alias("tree"), "digest", "level", "path", F.col("rank").alias("tree_rank")))
-        # As text, since pandas has no integers with nulls.
+        starts = trees.select(F.col("name").alias("tree"), "digest", "level", "path", F.col("digest").alias("subroot"),
+                              F.col("rank").alias("tree_rank"))
         requests = self.leaves.select("tree", "rank", F.col("_key").cast("string").alias("_key"), "size", *self.payload)
-        below = descend(self.levels, starts, requests, ["_key", "size", *self.payload])
-        number = self.trees.agg(F.max("size").alias("trees"))  # one row
-        # One row per group; Spark broadcasts it where it is small.
-        side = starts.select("tree", F.col("digest").alias("subroot"), "tree_rank").crossJoin(F.broadcast(number))
-        return below.join(side, "tree")
+        # The subroot rides down with the path: a join by tree would put a large tree into one task.
+        below = descend(self.levels, cut_lineage(starts), requests, ["_key", "size", *self.payload], ("subroot", "tree_rank"))
+        return below.withColumn("trees", F.lit(self.trees.agg(F.max("size")).first()[0]))
 
 
 def _verified(rows):
