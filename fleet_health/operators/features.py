@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from fleet_health.functions import scalars as S
 from fleet_health.operators import series as R
+from fleet_health.operators.ordering import with_place
 from fleet_health.schema import CODE, STATIC_FEATURES, TIME, dynamic_features
 
-MAX_CATEGORIES = 10_000
-
 # Telemetry column -> prefix of its rolling features.
 ROLLING_MEAN = {"HOME_USED_MB": "home_used", "DB_FREE_PAGES": "db_free",
                 "DB_MRR_LOG_DIR_SIZE_MB": "mrr_log", "DB_CRASH_LOG_DIR_SIZE_MB": "crash_log"}
@@ -22,32 +21,37 @@ ROLLING_STD = {"HOME_USED_MB": "home_used", "DB_FREE_PAGES": "db_free"}
 # --- categories -------------------------------------------------------------------------------
 
 def category_dictionary(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row holding, per column, the sorted array of its distinct values.
+    """(name, value, code): the 0-based place of each value among the sorted ones of its column.
 
-    Store it at training time and pass it back when scoring, so that codes stay the same. A column
-    with more than MAX_CATEGORIES values is no category: that is an error, and it also bounds the
-    row, which gets broadcast.
+    Store it at training time and pass it back when scoring, so that codes stay the same. There may
+    be any number of values: they are sorted over ranges, and each range adds how many the column
+    has in the ranges before it.
     """
-    pairs = (table.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("_name"), F.col(c).alias("_value")) for c in columns])))
-             .where(F.col("_value").isNotNull()).distinct()
-             .limit(len(columns) * MAX_CATEGORIES + 1))
-    found = pairs.agg(*[F.array_sort(F.collect_list(F.when(F.col("_name") == c, F.col("_value"))))
-                        .alias(c) for c in columns])
-    # If the limit cut anything off, at least one column is over its share of it.
-    return found.select(*[F.when(F.size(c) > MAX_CATEGORIES, F.raise_error(F.lit(
-        f"{c} has more than {MAX_CATEGORIES} distinct values"))).otherwise(F.col(c)).alias(c)
-        for c in columns])
+    pairs = (table.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
+                                             for c in columns])))
+             .where(F.col("value").isNotNull()).distinct())
+    return with_place(pairs, "name", [F.col("value")]).select(
+        "name", "value", F.col("place").cast("int").alias("code"))
 
 
 def encode_categories(table: DataFrame, columns: Sequence[str],
                       codes: DataFrame | None = None) -> DataFrame:
-    """Add `<column>_enc`: 0-based place among the sorted values; null or unknown is -1."""
+    """Add `<column>_enc`: 0-based place among the sorted values; null or unknown is -1.
+
+    The codes are joined without a hint: Spark broadcasts them where they are small, and splits hot
+    values of a shuffled join otherwise. Null values get keys that no code has, by a hash of their
+    row, so that they do not meet in one task.
+    """
     codes = category_dictionary(table, columns) if codes is None else codes
-    renamed = codes.select(*[F.col(c).alias(f"_codes_{c}") for c in columns])
-    place = [F.coalesce(F.array_position(f"_codes_{c}", F.col(c)) - 1, F.lit(-1))
-             .cast("int").alias(f"{c}_enc") for c in columns]
-    return table.crossJoin(F.broadcast(renamed)).select(*table.columns, *place)
+    row = F.xxhash64(*[c for c, kind in table.dtypes if "map<" not in kind]).cast("string")
+    out = table
+    for c in columns:
+        own = codes.where(F.col("name") == c).select(
+            F.concat(F.lit("="), "value").alias("_key"), F.col("code").alias("_code"))
+        keyed = out.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), row))
+        out = (keyed.join(own, "_key", "left")
+               .withColumn(f"{c}_enc", F.coalesce("_code", F.lit(-1))).drop("_key", "_code"))
+    return out
 
 
 def registry_features(static: DataFrame, codes: DataFrame | None = None) -> DataFrame:

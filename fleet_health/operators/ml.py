@@ -10,12 +10,13 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleet_health.operators import models
 from fleet_health.operators.evaluate import (classification_metrics, rul_metrics, rul_scale,
                                              scaled_rul, with_class_weight)
-from fleet_health.operators.ordering import with_test_flag
+from fleet_health.operators.ordering import with_place, with_test_flag
 from fleet_health.schema import CODE, DYNAMIC_FEATURES, STATIC_FEATURES
 
 INPUTS = [*DYNAMIC_FEATURES, *STATIC_FEATURES]
@@ -51,6 +52,33 @@ def balanced_sample(windows: DataFrame, seed: int = 42) -> DataFrame:
     return windows.sampleBy("fault_label", fractions, seed)
 
 
+def balanced_draws(windows: DataFrame, key: Sequence[str], label: str = "fault_label", seed: int = 42) -> DataFrame:
+    """As many draws with replacement as there are windows, the same number from every class.
+
+    Each drawn window once, with `copies`, how often it was drawn. Draw i of a class takes the window
+    at the place that a hash of class, i and seed names, so reruns draw alike, and the class totals are
+    exact (the first classes take the remainder). Classes must be few: they are counted first.
+    """
+    counts = sorted((r[0], r[1]) for r in windows.where(F.col(label).isNotNull()).groupBy(label)
+                    .agg(F.count(F.lit(1))).collect())
+    if not counts:
+        return windows.withColumn("copies", F.lit(0).cast("bigint")).where("false")
+    total, classes = sum(n for _, n in counts), len(counts)
+    number, which = F.floor(F.col("id") / classes), F.col("id") % classes
+    pick = F.lit(None)
+    size = F.lit(None).cast("bigint")
+    for i, (value, n) in enumerate(counts):
+        pick = F.when(which == i, F.lit(value)).otherwise(pick)
+        size = F.when(which == i, F.lit(n)).otherwise(size)
+    named = F.md5(F.concat_ws("|", pick.cast("string"), number.cast("string"), F.lit(str(seed))))
+    place = F.conv(F.substring(named, 1, 13), 16, 10).cast("bigint") % size
+    draws = (windows.sparkSession.range(total).select(pick.alias("_class"), place.alias("place"))
+             .groupBy("_class", "place").agg(F.count(F.lit(1)).alias("copies")))
+    placed = with_place(windows.where(F.col(label).isNotNull()), label, [F.col(k) for k in key])
+    return placed.join(draws, (F.col(label) == F.col("_class")) & (placed["place"] == draws["place"])).select(
+        *[placed[c] for c in windows.columns], "copies")
+
+
 @dataclass
 class FleetModel:
     """The fitted stages and the scale of the remaining life."""
@@ -67,6 +95,21 @@ class FleetModel:
             *pooled.columns, vector_to_array("fault_vector")[1].alias("probability"),
             (F.col("rul_share") * F.lit(self.rul_max)).alias("rul"))
 
+    def _columns(self) -> list[str]:
+        return [c.removesuffix("_in") for c in self.inputs.stages[1].getInputCols()]
+
+    def _fills(self) -> dict[str, float]:
+        return self.inputs.stages[0].surrogateDF.first().asDict()
+
+    def fault_table(self) -> DataFrame:
+        """The classifier as one row per feature, for `models.linear_probability`."""
+        return models.linear_table(SparkSession.getActiveSession(), self._columns(), self._fills(),
+                                   self.fault.coefficients.toArray().tolist(), self.fault.intercept)
+
+    def rul_table(self) -> DataFrame:
+        """The regressor's nodes, for `models.tree_value`; values are shares of `rul_max`."""
+        return models.tree_table(self.rul, self._columns(), self._fills(), SparkSession.getActiveSession())
+
     def save(self, path: str) -> None:
         """Stages under `path`; the scale goes into the configuration beside them."""
         self.inputs.write().overwrite().save(f"{path}/inputs")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleet_health.session import cut_lineage
+
 BUCKETS = 1024
-SKETCH = 100_000
+SKETCH = 10_000
+#: Distinct values that one task may rank.
+IN_ONE_TASK = 100_000
 
 
 def running_totals(points: DataFrame, key: str, sums: Sequence[str], descending: bool = True,
@@ -42,45 +47,71 @@ def running_totals(points: DataFrame, key: str, sums: Sequence[str], descending:
         *[f"total_{s}" for s in sums])
 
 
+def _bracket(x: DataFrame, first: int, second: int, below: int, rows: int, sketch: int) -> tuple:
+    """Two values of `x` around the places `first` and `second`, `below` being the rows before x."""
+    near = [max(0.0, (first - below) / rows - 2 / sketch), min(1.0, (second + 1 - below) / rows + 2 / sketch)]
+    return x.agg(F.percentile_approx("_x", F.array(*[F.lit(s) for s in near]), sketch)).first()[0]
+
+
 def exact_percentile(rows: DataFrame, value: str, share: float, name: str = "percentile",
-                     sketch: int = SKETCH) -> DataFrame:
-    """One row: the exact percentile with linear interpolation.
+                     sketch: int = SKETCH, most: int = IN_ONE_TASK) -> DataFrame:
+    """One row: the exact percentile with linear interpolation; null where there is no value.
 
-    The built-in exact aggregate keeps every distinct value in one place. Here a sketch brackets
-    the wanted rank, one count tells how many values lie below the bracket, and only the values
-    inside are ranked. If the bracket ever misses, it widens to the minimum or maximum.
+    The built-in exact aggregate keeps every distinct value in one place. Here the rank is bracketed
+    again and again: a sketch proposes two values around it, one count tells how many rows lie below
+    and inside, and the next round looks only inside. At most `most` distinct values are ranked in
+    the end, whatever the table's size; each round keeps about 4 / sketch of the rows. A sketch that
+    misses is noticed by the counts, and its side stays as wide as it was. The rounds are small jobs.
     """
     x = rows.select(F.col(value).alias("_x")).where(F.col("_x").isNotNull())
-    near = [max(0.0, share - 2 / sketch), min(1.0, share + 2 / sketch)]
-    bracket = x.agg(F.percentile_approx(
-        "_x", F.array(*[F.lit(s) for s in near]), sketch).alias("_b"))
-    rank = F.lit(share) * (F.count(F.lit(1)) - 1)
-    low, high = F.min("_low"), F.max("_high")
-    facts = (x.crossJoin(F.broadcast(bracket))
-             .select("_x", F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
-             .agg(rank.alias("_rank"), low.alias("_low"), high.alias("_high"),
-                  F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-                  F.count_if(F.col("_x") < F.col("_low")).alias("_below"),
-                  F.count_if(F.col("_x") <= F.col("_high")).alias("_upto")))
-    first, second = F.floor("_rank"), F.ceil("_rank")
-    held = F.col("_below") <= first
-    facts = facts.select(
-        "_rank", F.when(held, F.col("_low")).otherwise(F.col("_min")).alias("_low"),
-        F.when(held, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-        F.when(F.col("_upto") > second, F.col("_high")).otherwise(F.col("_max")).alias("_high"))
-    inside = (x.crossJoin(F.broadcast(facts))
-              .where(F.col("_x").between(F.col("_low"), F.col("_high")))
-              .groupBy("_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"),
-                                 F.first("_below").alias("_below")))
-    # About 4 / sketch of the rows are left, and equal values are already counted together.
-    upto = F.col("_below") + F.sum("_n").over(
+    total, low, high = x.agg(F.count(F.lit(1)), F.min("_x"), F.max("_x")).first()
+    kind = x.schema["_x"].dataType
+    if not total:
+        return x.agg(F.max("_x").cast("double").alias(name))
+    rank = share * (total - 1)
+    first, second = math.floor(rank), math.ceil(rank)
+    below, inside = 0, total
+    while True:
+        held = x.where(F.col("_x").between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
+        if inside <= most or low == high:
+            break
+        a, b = _bracket(held, first, second, below, inside, sketch)
+        cut = [F.lit(v).cast(kind) for v in (a, b)]
+        less, upto = held.agg(F.count_if(F.col("_x") < cut[0]), F.count_if(F.col("_x") <= cut[1])).first()
+        before = below, inside, low, high
+        if below + upto > second:
+            inside, high = upto, b
+        if below + less <= first:
+            below, inside, low = below + less, inside - less, a
+        if (below, inside, low, high) == before:
+            # Equal values keep it wide, or the sketch is too coarse.
+            if held.select("_x").distinct().limit(most + 1).count() <= most:
+                break
+            sketch *= 10
+    near = held.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    # At most `most` rows meet in this window.
+    upto = F.lit(below) + F.sum("_n").over(
         Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = inside.withColumn("_end", upto).agg(
-        F.first("_rank").alias("_rank"),
+    ends = near.withColumn("_end", upto).agg(
         F.min(F.when(F.col("_end") > first, F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_end") > second, F.col("_x"))).alias("_b"))
-    return ends.select((F.col("_a") + (F.col("_b") - F.col("_a"))
-                        * (F.col("_rank") - first)).alias(name))
+    return ends.select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.lit(rank - first)).alias(name))
+
+
+def with_place(rows: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    """Add `place`, the 0-based position of each row in its group, without a group in one task.
+
+    Rows are sorted over ranges that cut groups where they like; what a group has in earlier ranges is
+    one small row each. `order` must tell all rows of a group apart, or equal rows be alike.
+    """
+    # Written, so that row numbers stay the same whenever a task runs again.
+    placed = cut_lineage(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    pieces = placed.groupBy(group, "_part").agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return placed.join(pieces, [group, "_part"]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("place"))
 
 
 def with_test_flag(rows: DataFrame, key: Column, stratum: str, seed: int = 42) -> DataFrame:

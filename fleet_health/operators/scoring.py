@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleet_health.functions import scalars as S
 from fleet_health.operators import series as R
 from fleet_health.operators.labels import unregistered_machines
+from fleet_health.operators.models import PREDICTED
 from fleet_health.operators.sequences import latest_parts
 from fleet_health.schema import CODE, TIME
 
@@ -48,27 +50,28 @@ def linear_scores(rows: DataFrame, static: DataFrame, length: int = 24, tie: Seq
     return as_predictions(scores.withColumn("rul", (F.lit(1.0) - F.col("probability")) * 30))
 
 
-def score_windows(windows: DataFrame, predict: Callable, columns: Sequence[str] = (CODE, TIME)
-                  ) -> DataFrame:
-    """Apply a user's own model to windows with an array column `x`, batch by batch.
+def score_windows(windows: DataFrame, make_predict: Callable, length: int, features: int,
+                  batch: int = 256) -> DataFrame:
+    """Apply a user's own model to windows with an array column `x`; adds `probability` and `rul`.
 
-    `predict` takes a NumPy array (windows, length, features) and returns (probability, rul).
+    `make_predict` is called once per Python worker, where it may load a model. It returns a function
+    from a NumPy array of float32 (windows, length, features) to (probability, rul). Arrays travel as
+    one flat tensor column in Arrow batches; all other columns stay in the JVM.
     """
-    keys = list(columns)
-    kept = windows.select(*keys, "x")
-
-    def run(batches: Iterator) -> Iterator:
+    def made():
         import numpy as np
 
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.stack(list(w)) for w in pdf["x"]])
-                probability, rul = predict(x)
-                yield pdf[keys].assign(probability=np.asarray(probability, "float64"),
-                                       rul=np.asarray(rul, "float64"))
+        predict = make_predict()
+
+        def run(x):
+            probability, rul = predict(x)
+            return {"probability": np.asarray(probability, "float64"), "rul": np.asarray(rul, "float64")}
+
+        return run
 
-    schema = kept.drop("x").schema.add("probability", "double").add("rul", "double")
-    return kept.mapInPandas(run, schema)
+    score = predict_batch_udf(made, return_type=PREDICTED, batch_size=batch, input_tensor_shapes=[[length, features]])
+    scored = windows.withColumn("_scored", score(F.flatten("x")))
+    return scored.select(*[c for c in windows.columns if c != "x"], "_scored.probability", "_scored.rul")
 
 
 def require_registered(rows: DataFrame, static: DataFrame) -> None:

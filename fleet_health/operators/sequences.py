@@ -49,33 +49,80 @@ def labelled_index(rows: DataFrame, static: DataFrame, labels: DataFrame, length
             .withColumnsRenamed({R.FAULT: "fault_label", R.RUL: "rul_days"}))
 
 
-def _members(parts: DataFrame, length: int, stride: int) -> DataFrame:
-    """Each row once per window it belongs to: length / stride copies, inside the partition."""
-    at = F.col(R.ROW) - 1
-    low = F.greatest(F.lit(0), F.ceil((at - length + 1) / stride)).cast("bigint")
-    high = F.floor(at / stride).cast("bigint")
-    # With gaps between windows (stride > length) some rows are in none; `sequence` would then
-    # count down.
-    return (parts.where(low <= high)
-            .withColumn("window_no", F.explode(F.sequence(low, high))))
-
-
-_GROUP = (CODE, R.SEGMENT, "window_no")
-
-
-def _window_facts() -> list:
-    return [F.count(F.lit(1)).alias("_rows"),
-            F.max_by(R.BORROWED, R.ROW).alias("_end_borrowed"),
-            F.max_by(R.FAULT, R.ROW).alias("fault_label"),
-            F.max_by(R.RUL, R.ROW).alias("rul_days"),
-            F.max(TIME).alias("target_time")]
+class Panes:
+    """Stretches of consecutive rows of which every window is made, so that a row is read once.
 
+    Each stride is cut where windows start and, at length % stride rows after that, where they end.
+    So a window is a fixed number of consecutive panes, and a stride has two at most, whatever
+    common divisors length and stride have. With gaps between windows (stride > length) a window is
+    one pane, and the panes of the gaps are in none.
+    """
 
-def _complete(groups: DataFrame, length: int) -> DataFrame:
-    """Whole labelled windows that end in their own segment."""
-    return groups.where((F.col("_rows") == length) & ~F.col("_end_borrowed")
-                        & F.col("fault_label").isNotNull()
-                        ).drop(R.SEGMENT, "_rows", "_end_borrowed")
+    def __init__(self, length: int, stride: int):
+        self.length = length
+        strides, rest = divmod(length, stride)
+        at = F.col(R.ROW) - 1
+        whole = F.floor(at / stride)
+        last = F.col("_pane")
+        if rest:
+            self.number = 2 * whole + F.when(at % stride < rest, 0).otherwise(1)
+            self.size, self.ends = 2 * strides + 1, last % 2 == 0
+            self.window_no = (last / 2).cast("bigint") - strides
+        else:
+            self.number, self.size, self.ends = whole, strides, F.lit(True)
+            self.window_no = last - (strides - 1)
+        order = Window.partitionBy(CODE, R.SEGMENT).orderBy("_pane")
+        self.order, self.frame = order, order.rowsBetween(1 - self.size, 0)
+
+    def of(self, parts: DataFrame, *facts) -> DataFrame:
+        """One row per pane, aggregated in the (machine, segment) partitioning."""
+        # Windows end where their last pane does, so it has the label and the time.
+        return (parts.withColumn("_pane", self.number.cast("bigint")).groupBy(CODE, R.SEGMENT, "_pane").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.max_by(F.struct(R.BORROWED, R.FAULT, R.RUL), R.ROW).alias("_end"),
+            F.max(TIME).alias("target_time"), *facts))
+
+    def windows(self, panes: DataFrame, combined: dict, made: list) -> DataFrame:
+        """Whole labelled windows that end in their own segment.
+
+        `combined` holds columns over the panes of a window, `made` what becomes of them. Panes of
+        a segment follow each other without a gap, so `length` rows in `size` panes are a window.
+        """
+        joined = panes.withColumns({"_in_window": F.sum("_rows").over(self.frame), **combined})
+        return joined.where(self.ends & (F.col("_in_window") == self.length) & ~F.col(f"_end.{R.BORROWED}")
+                            & F.col(f"_end.{R.FAULT}").isNotNull()).select(
+            CODE, self.window_no.alias("window_no"), F.col(f"_end.{R.FAULT}").alias("fault_label"),
+            F.col(f"_end.{R.RUL}").alias("rul_days"), "target_time", *made)
+
+
+def _pane_facts(pool: str, name: str) -> list:
+    """What a pane knows of a feature, to be combined over panes."""
+    if pool in ("avg", "std"):
+        kept = [F.sum(name).alias(f"_sum_{name}"), F.count(name).alias(f"_n_{name}")]
+        return kept + ([F.var_pop(name).alias(f"_var_{name}")] if pool == "std" else [])
+    if pool == "last":
+        return [F.max_by(name, R.ROW).alias(f"_last_{name}")]
+    return [getattr(F, pool)(name).alias(f"_{pool}_{name}")]
+
+
+def _over_panes(pool: str, name: str, frame) -> tuple[dict, object]:
+    """Columns over the panes of a window, and the pooled feature made of them."""
+    if pool == "last":
+        return {}, F.col(f"_last_{name}")
+    if pool != "avg" and pool != "std":
+        return {f"_w{pool}_{name}": getattr(F, pool)(f"_{pool}_{name}").over(frame)}, F.col(f"_w{pool}_{name}")
+    total, n = f"_wsum_{name}", f"_wn_{name}"
+    over = {total: F.sum(f"_sum_{name}").over(frame), n: F.sum(f"_n_{name}").over(frame)}
+    mean = F.try_divide(F.col(total).cast("double"), F.col(n))
+    if pool == "avg":
+        return over, mean
+    pieces = f"_wvar_{name}"
+    over[pieces] = F.collect_list(F.struct(F.col(f"_n_{name}").alias("n"), F.col(f"_sum_{name}").alias("s"),
+                                           F.col(f"_var_{name}").alias("v"))).over(frame)
+    # Squares around the window's mean: inside each pane, and of the pane's own mean.
+    squares = F.aggregate(F.filter(pieces, lambda p: p["n"] > 0), F.lit(0.0), lambda acc, p: acc + p["n"] * (
+        p["v"] + F.pow(p["s"] / p["n"] - mean, 2)))
+    return over, F.when(F.col(n) > 1, F.sqrt(squares / (F.col(n) - 1)))
 
 
 _POOLS = {
@@ -84,9 +131,13 @@ _POOLS = {
 }
 
 
+def _pool_name(pool: str, name: str) -> str:
+    return name if pool == "avg" else f"{name}_{pool}"
+
+
 def _pooled(pools: Sequence[str], window_size: int) -> list:
     """Each telemetry feature per pool; registry features are the same in all rows of a group."""
-    made = [_POOLS[p](name).alias(name if p == "avg" else f"{name}_{p}")
+    made = [_POOLS[p](name).alias(_pool_name(p, name))
             for p in pools for name in dynamic_features(window_size)]
     return [*made, *[F.max(name).alias(name) for name in STATIC_FEATURES]]
 
@@ -103,14 +154,21 @@ def pooled_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFr
                      max_rows: int = R.MAX_ROWS, **stored) -> DataFrame:
     """One row per labelled window: pooled telemetry features and the registry features.
 
-    Windows form inside the (machine, segment) partitioning of the features, so grouping them
-    needs no further shuffle.
+    Panes and windows form inside the (machine, segment) partitioning of the features, so neither
+    needs a further shuffle, and no row is copied.
     """
     parts = feature_series(rows, static_features, window_size, tie, length, labels,
                            carry=STATIC_FEATURES, max_rows=max_rows, **stored)
-    groups = _members(parts, length, stride).groupBy(*_GROUP).agg(
-        *_window_facts(), *_pooled(pools, window_size))
-    return _complete(groups, length)
+    panes = Panes(length, stride)
+    facts, combined, made = {}, {}, []
+    for pool in pools:
+        for name in dynamic_features(window_size):
+            facts |= {str(f): f for f in _pane_facts(pool, name)}
+            over, value = _over_panes(pool, name, panes.frame)
+            combined |= over
+            made.append(value.alias(_pool_name(pool, name)))
+    of_rows = panes.of(parts, *facts.values(), *[F.max(name).alias(name) for name in STATIC_FEATURES])
+    return panes.windows(of_rows, combined, [*made, *STATIC_FEATURES])
 
 
 def array_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFrame,
@@ -121,9 +179,13 @@ def array_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFra
                            carry=STATIC_FEATURES, max_rows=max_rows, **stored)
     slim = parts.select(CODE, R.SEGMENT, TIME, R.BORROWED, R.FAULT, R.RUL, R.ROW,
                         _vector(window_size).alias("v"))
-    groups = _members(slim, length, stride).groupBy(*_GROUP).agg(
-        *_window_facts(), F.array_sort(F.collect_list(F.struct(R.ROW, "v"))).alias("_steps"))
-    return _complete(groups, length).withColumn("x", F.col("_steps.v")).drop("_steps")
+    panes = Panes(length, stride)
+    steps = F.array_sort(F.collect_list(F.struct(R.ROW, "v")))["v"]
+    of_rows = panes.of(slim, steps.alias("_steps"))
+    # The arrays of a window's panes, oldest first, end to end.
+    combined = {f"_x{i}": F.lag("_steps", i).over(panes.order) for i in range(1, panes.size)}
+    x = F.concat(*[F.col(f"_x{i}") for i in range(panes.size - 1, 0, -1)], F.col("_steps"))
+    return panes.windows(of_rows, combined, [x.alias("x")])
 
 
 # --- newest readings --------------------------------------------------------------------------

@@ -440,5 +440,45 @@ FROM v_configs WHERE nr % 2 = 0""",
 }
 
 
+SQL["metro_csv"] = f"""
+SELECT {KEY}, LAST_TKT_NUMBER, TOTAL_TKT_ISSUED_YESTERDAY, NETWORK_LINK, HOME_USED_MB, DB_FREE_PAGES, bad_lines
+FROM ({SQL['metro_dynamic'].replace('FROM v_metro', ', idx FROM v_metro')}),
+     (SELECT count(*) AS bad_lines FROM v_metro WHERE idx % 997 = 0) WHERE idx % 997 <> 0"""
+SQL["ai4i_csv"] = f"""
+SELECT {KEY}, LAST_TKT_NUMBER, NETWORK_LINK, HOME_USED_MB, bad_lines FROM ({SQL['ai4i_dynamic']}),
+     (SELECT count(*) AS bad_lines FROM part WHERE (p_partkey + 1) % 211 = 0)
+WHERE CAST(substr(TERMINAL_CODE, 3) AS INTEGER) % 211 <> 0"""
+SQL["balanced_draws"] = """
+SELECT TERMINAL_CODE, window_no, fault_label, count(*) AS copies FROM (
+  SELECT c.fault_label, CAST('0x' || substr(md5(c.fault_label || '|' || (i // k) || '|42'), 1, 13) AS BIGINT) % n_c AS place
+  FROM (SELECT fault_label, count(*) AS n_c, row_number() OVER (ORDER BY fault_label) - 1 AS class FROM v_lindex GROUP BY fault_label) c,
+       (SELECT count(DISTINCT fault_label) AS k, unnest(range(0, count(*))) AS i FROM v_lindex) WHERE class = i % k) d
+JOIN (SELECT *, row_number() OVER (PARTITION BY fault_label ORDER BY TERMINAL_CODE, window_no) - 1 AS place FROM v_lindex) p
+  USING (fault_label, place) GROUP BY ALL"""
+_POOLED = f"""
+(SELECT w.TERMINAL_CODE, w.window_no, w.fault_label, w.rul_days, avg(f.HOME_USED_MB) AS HOME_USED_MB,
+        avg(f.home_used_roll_mean_12) AS home_used_roll_mean_12, avg(f.NETWORK_LINK) AS NETWORK_LINK,
+        avg(f.netlink_stable_hours) AS netlink_stable_hours
+ FROM {_MEMBERS} GROUP BY w.TERMINAL_CODE, w.window_no, w.fault_label, w.rul_days) """
+_TABLE_FEATURES = ["HOME_USED_MB", "home_used_roll_mean_12", "NETWORK_LINK", "netlink_stable_hours"]
+SQL["linear_model_scores"] = f"""
+SELECT TERMINAL_CODE, window_no, ROUND(1 / (1 + exp(-({" + ".join(f"w_{c} * ({c} - m_{c})" for c in _TABLE_FEATURES)}))), 6) AS probability
+FROM {_POOLED} p, (SELECT {", ".join(
+    f"avg({c}) AS m_{c}, coalesce(corr(CAST({c} AS DOUBLE), fault_label) / nullif(stddev_pop({c}), 0), 0) AS w_{c}"
+    for c in _TABLE_FEATURES)} FROM {_POOLED} q)"""
+SQL["tree_model_scores"] = f"""
+SELECT TERMINAL_CODE, window_no, ROUND(avg(rul_days) OVER (PARTITION BY a, b), 6) AS rul FROM (
+  SELECT *, HOME_USED_MB <= avg(HOME_USED_MB) OVER (PARTITION BY a) AS b FROM (
+    SELECT *, netlink_stable_hours <= avg(netlink_stable_hours) OVER () AS a FROM {_POOLED} p WHERE fault_label = 1))"""
+SQL["array_model_scores"] = """
+SELECT TERMINAL_CODE, EXECUTION_TIME, ROUND(p, 5) AS probability, ROUND(30 * (1 - p), 4) AS rul FROM (
+  SELECT TERMINAL_CODE, max(EXECUTION_TIME) AS EXECUTION_TIME,
+         1 / (1 + exp(-(0.05 * avg(CAST(CAST(HOME_USED_MB AS FLOAT) AS DOUBLE))
+                        - 0.03 * max(CASE WHEN rn = n_rows THEN netlink_stable_hours END) - 2))) AS p
+  FROM v_feat WHERE rn > n_rows - 24 AND n_rows >= 24 AND TERMINAL_CODE IN (SELECT TERMINAL_CODE FROM v_static) GROUP BY TERMINAL_CODE)"""
+SQL["ml_tables_agree"] = """
+SELECT TERMINAL_CODE, window_no, fault_label, true AS same_loaded, true AS same_linear, true AS same_tree FROM v_lindex"""
+
+
 def all_sql() -> dict[str, str]:
     return {name: _with(sql.strip()) for name, sql in SQL.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleet_health.operators import (dashboard, evaluate, features, labels, ml, scoring, sequences)
+from fleet_health.operators import (dashboard, evaluate, features, labels, ml, models, scoring, sequences)
 from fleet_health.plans import views as V
 from fleet_health.schema import CODE, DYNAMIC_FEATURES, DYNAMIC_SCHEMA, STATIC_FEATURES, TIME
 from fleet_health.session import cut_lineage, scratch_path
@@ -454,6 +454,105 @@ def model_catalog(spark, sf):
         "name", "num_machines", "seq_len", "rul_max", "has_history", "is_default")
 
 
+# --- raw files ----------------------------------------------------------------------------------
+
+def _spoiled(column: str, where):
+    """The column as text, with something else in some rows."""
+    return F.when(where, F.lit("n/a")).otherwise(F.col(f"`{column}`").cast("string")).alias(column)
+
+
+@query
+def metro_csv(spark, sf):
+    """A file whose first column has no name, with lines that do not fit."""
+    raw, path = V.metro(spark, sf), scratch_path(spark, "metro")
+    tables.write_csv(raw.select(F.col("index").alias(""), "timestamp", _spoiled("TP2", F.col("index") % 997 == 0),
+                                *[c for c in raw.columns if c not in ("index", "timestamp", "TP2")]), path)
+    _, dynamic, _ = datasets.load_dataset(spark, "metropt3", path)
+    bad = datasets.bad_lines(spark, "metropt3", path).agg(F.count(F.lit(1)).alias("bad_lines"))
+    return dynamic.select(*KEY, "LAST_TKT_NUMBER", "TOTAL_TKT_ISSUED_YESTERDAY", "NETWORK_LINK", "HOME_USED_MB",
+                          "DB_FREE_PAGES").crossJoin(F.broadcast(bad))
+
+
+@query
+def ai4i_csv(spark, sf):
+    """A file with spaces and brackets in its header, with lines that do not fit."""
+    raw, path = V.ai4i(spark, sf), scratch_path(spark, "ai4i")
+    tables.write_csv(raw.select(*[_spoiled(c, F.col("UDI") % 211 == 0) if c == "Torque [Nm]" else F.col(f"`{c}`")
+                                  for c in raw.columns]), path)
+    _, dynamic, _ = datasets.load_dataset(spark, "ai4i2020", path)
+    bad = datasets.bad_lines(spark, "ai4i2020", path).agg(F.count(F.lit(1)).alias("bad_lines"))
+    return dynamic.select(*KEY, "LAST_TKT_NUMBER", "NETWORK_LINK", "HOME_USED_MB").crossJoin(F.broadcast(bad))
+
+
+# --- models as tables, resampling, models of one's own ------------------------------------------
+
+@query
+def balanced_draws(spark, sf):
+    drawn = ml.balanced_draws(_labelled(spark, sf), [CODE, "window_no"])
+    return drawn.select(CODE, "window_no", "fault_label", "copies")
+
+
+#: Features of the table-driven models: none is null.
+TABLE_FEATURES = ["HOME_USED_MB", "home_used_roll_mean_12", "NETWORK_LINK", "netlink_stable_hours"]
+
+
+@query
+def linear_model_scores(spark, sf):
+    """Windows scored from a table of weights that the windows give."""
+    windows = cut_lineage(_pooled(spark, sf))
+    weights = models.means_as_linear(windows, TABLE_FEATURES, "fault_label")
+    return windows.select(CODE, "window_no", F.round(models.linear_probability(weights), 6).alias("probability"))
+
+
+@query
+def tree_model_scores(spark, sf):
+    """Remaining life of faulty windows from a table of tree nodes that the windows give."""
+    windows = cut_lineage(_pooled(spark, sf)).where("fault_label = 1")
+    nodes = models.mean_tree(windows, ["netlink_stable_hours", "HOME_USED_MB"], "rul_days")
+    return windows.select(CODE, "window_no", F.round(models.tree_value(nodes), 6).alias("rul"))
+
+
+def _array_model():
+    """A fixed model on arrays: mean use and newest link stability."""
+    import numpy as np
+
+    used, stable = DYNAMIC_FEATURES.index("HOME_USED_MB"), DYNAMIC_FEATURES.index("netlink_stable_hours")
+
+    def predict(x):
+        x = x.astype("float64")
+        p = 1 / (1 + np.exp(-(0.05 * x[:, :, used].mean(axis=1) - 0.03 * x[:, -1, stable] - 2)))
+        return p, 30 * (1 - p)
+
+    return predict
+
+
+@query
+def array_model_scores(spark, sf):
+    """The newest window of each registered machine, scored as an array by a model of one's own."""
+    static = features.registry_features(V.static(spark, sf))
+    newest = sequences.latest_sequences(V.dynamic(spark, sf), static, LENGTH)
+    scored = scoring.score_windows(newest, _array_model, LENGTH, len(DYNAMIC_FEATURES) + len(STATIC_FEATURES))
+    return scored.select(*KEY, F.round("probability", 5).alias("probability"), F.round("rul", 4).alias("rul"))
+
+
+@query
+def ml_tables_agree(spark, sf):
+    """Every labelled window: is it scored alike by the fitted stages, the stages after saving and
+    loading with their configuration, the table of weights, and the table of tree nodes?"""
+    model, split = _train(spark, sf)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    tables.write_config(spark.range(1).select(F.lit(model.rul_max).alias("rul_max")), f"{path}/config.json")
+    loaded = ml.FleetModel.load(path, tables.read_configs(spark, f"{path}/config.json").first()["rul_max"])
+    both = loaded.score(model.score(split).withColumnsRenamed({"probability": "_p", "rul": "_r"}))
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    return both.select(
+        CODE, "window_no", "fault_label",
+        (near(F.col("_p"), F.col("probability")) & near(F.col("_r"), F.col("rul"))).alias("same_loaded"),
+        near(models.linear_probability(model.fault_table()), F.col("_p")).alias("same_linear"),
+        near(models.tree_value(model.rul_table()) * model.rul_max, F.col("_r")).alias("same_tree"))
+
+
 # --- fitted models (rows only) ----------------------------------------------------------------
 
 def _train(spark, sf):

@@ -10,7 +10,7 @@ from fleet_health.functions import scalars as S
 from fleet_health.operators.features import encode_categories
 from fleet_health.operators.ordering import exact_percentile
 from fleet_health.schema import AI4I_SCHEMA, CODE, METRO_SCHEMA, TIME
-from fleet_health.sources.tables import read_csv
+from fleet_health.sources.tables import BAD, read_raw_csv
 
 # Registry entries that the datasets do not have.
 DEFAULTS = {"ASA_VERSION": "17.0.0.0", "DEFAULT_COLLATION": "1252LATIN1", "DB_PAGE_SIZE": 4096,
@@ -151,19 +151,34 @@ def ai4i_labels(raw: DataFrame) -> DataFrame:
 
 # --- dispatch ------------------------------------------------------------------------------------
 
-def load_metro(spark: SparkSession, path: str):
+def _metro_schema() -> T.StructType:
     """The file's first column is an index without a name, which Spark calls _c0."""
-    schema = T.StructType([T.StructField("_c0" if f.name == "index" else f.name, f.dataType)
-                           for f in METRO_SCHEMA.fields])
-    raw = read_csv(spark, path, schema, absent_as_null=False).withColumnRenamed("_c0", "index")
+    return T.StructType([T.StructField("_c0" if f.name == "index" else f.name, f.dataType)
+                         for f in METRO_SCHEMA.fields])
+
+
+def _good(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return read_raw_csv(spark, path, schema).where(F.col(BAD).isNull()).drop(BAD)
+
+
+def load_metro(spark: SparkSession, path: str):
+    raw = _good(spark, path, _metro_schema()).withColumnRenamed("_c0", "index")
     return metro_static(raw), metro_dynamic(raw), metro_labels(raw)
 
 
 def load_ai4i(spark: SparkSession, path: str):
-    raw = read_csv(spark, path, AI4I_SCHEMA, absent_as_null=False)
+    raw = _good(spark, path, AI4I_SCHEMA)
     return ai4i_static(raw), ai4i_dynamic(raw), ai4i_labels(raw)
 
 
+def bad_lines(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The lines of a dataset's file that its loader leaves out, whole."""
+    if name not in LOADERS:
+        raise ValueError(f"unknown dataset {name!r}, choose from {sorted(LOADERS)}")
+    schema = _metro_schema() if name == "metropt3" else AI4I_SCHEMA
+    return read_raw_csv(spark, path, schema).where(F.col(BAD).isNotNull()).select(BAD)
+
+
 LOADERS = {"metropt3": load_metro, "ai4i2020": load_ai4i}
 
 

@@ -33,6 +33,26 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
         for f in schema.fields if absent_as_null or f.name in found])
 
 
+BAD = "_bad_line"
+
+
+def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A foreign CSV file: its columns that the schema names, typed, and `_bad_line`.
+
+    Columns are found by the file's own header, whatever their order; a header without a name is
+    `_c` and its position. Lines that do not fit are kept whole in `_bad_line`, which is null for good
+    ones. Nothing is inferred.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    kinds = {f.name: f.dataType for f in schema.fields}
+    own = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    raw = (spark.read.schema(own.add(BAD, T.StringType())).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", BAD).csv(path))
+    # Only columns that are read are parsed: whether a line is bad must not depend on the query.
+    parsed = F.hash(*[F.col(f"`{c}`") for c in header]) >= F.lit(-(2**31))
+    return raw.select(*[f"`{c}`" for c in header if c in kinds], F.when(parsed, F.col(BAD)).alias(BAD))
+
+
 # Fixed value: times in CSV files, with all their digits.
 CSV_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 

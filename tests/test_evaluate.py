@@ -84,6 +84,16 @@ def test_percentile_is_exact(spark, values, share):
         assert got == pytest.approx(float(np.percentile([float(v) for v in values], share * 100)), rel=1e-12, abs=1e-9)
 
 
+def test_percentile_narrows_in_rounds(spark):
+    """Coarse sketches and few values in one task, with heavy ties, against the plain percentile."""
+    values = [float(i % 3000) if i % 4 else 7.0 for i in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    for share in (0.0, 0.2, 0.5, 0.95, 1.0):
+        got = ordering.exact_percentile(df, "v", share, sketch=20, most=50).first()[0]
+        assert got == pytest.approx(float(np.percentile(values, share * 100)))
+    assert ordering.exact_percentile(df.where("v < 0"), "v", 0.5).first()[0] is None
+
+
 @pytest.mark.parametrize("descending", [True, False])
 @pytest.mark.parametrize("buckets", [2, 7, 1024])
 def test_running_totals(spark, descending, buckets):

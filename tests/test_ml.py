@@ -1,10 +1,9 @@
 """Fitted models on a small fleet: they learn an obvious signal, and can be stored."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleet_health.operators import evaluate, ml, scoring
+from fleet_health.operators import evaluate, ml, models, scoring
 from fleet_health.schema import CODE, TIME
 
 
@@ -43,14 +42,37 @@ def test_balanced_sample(windows):
     assert got[1] == 60 and 30 < got[0] < 100
 
 
+def test_balanced_draws(spark, windows):
+    drawn = ml.balanced_draws(windows, [CODE, "window_no"])
+    rows = sorted((r["fault_label"], r["window_no"], r["copies"]) for r in drawn.collect())
+    assert {v: sum(n for y, _, n in rows if y == v) for v in (0, 1)} == {0: 150, 1: 150}
+    again = ml.balanced_draws(windows.repartition(7), [CODE, "window_no"])
+    assert rows == sorted((r["fault_label"], r["window_no"], r["copies"]) for r in again.collect())
+    assert 45 < sum(y == 1 for y, *_ in rows) <= 60 and drawn.columns == [*windows.columns, "copies"]
+    assert ml.balanced_draws(windows.where("false"), [CODE]).count() == 0
+
+
+def test_tables_score_like_the_fitted_stages(windows):
+    columns = ["signal", "noise", "gap"]
+    model = ml.train(windows, columns, trees=4, iterations=20)
+    scored = model.score(windows).select(
+        "probability", "rul", models.linear_probability(model.fault_table()).alias("p"),
+        (models.tree_value(model.rul_table()) * model.rul_max).alias("r")).collect()
+    assert len({r["r"] for r in scored}) > 5
+    for r in scored:
+        assert r["p"] == pytest.approx(r["probability"], abs=1e-9) and r["r"] == pytest.approx(r["rul"], abs=1e-9)
+
+
 def test_own_model_on_arrays(spark):
     df = spark.createDataFrame([("A", [[1.0, 2.0], [3.0, 4.0]]), ("B", [[0.0, 0.0], [0.0, 1.0]])],
                                "TERMINAL_CODE string, x array<array<float>>")
 
-    def predict(x):
-        assert x.shape[1:] == (2, 2)
-        return x.mean(axis=(1, 2)) / 10, np.array([w[-1, -1] for w in x])
+    def load():
+        def predict(x):
+            assert x.shape[1:] == (2, 2)
+            return x.mean(axis=(1, 2)) / 10, x[:, -1, -1]
+        return predict
 
-    got = {r[CODE]: (r["probability"], r["rul"]) for r in scoring.score_windows(df, predict, [CODE]).collect()}
+    got = {r[CODE]: (r["probability"], r["rul"]) for r in scoring.score_windows(df, load, 2, 2).collect()}
     assert got == {"A": (0.25, 4.0), "B": (pytest.approx(0.025), 1.0)}
     assert evaluate.rul_scale(spark.createDataFrame([(1, 9.0)], "fault_label int, rul_days double")).first()[0] == 9.0

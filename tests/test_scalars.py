@@ -74,11 +74,15 @@ def test_category_codes(spark):
     assert got == {"1": (-1, 1), "2": (1, 1), "3": (0, 0)}
 
 
-def test_too_many_categories_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_CATEGORIES", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("PLATFORM"), F.lit("v").alias("ASA_VERSION"))
-    with pytest.raises(Exception, match="more than 3 distinct"):
-        features.registry_features(df).collect()
+def test_many_categories(spark):
+    df = spark.range(50_000).select(
+        F.col("id").cast("string").alias(CODE), F.concat(F.lit("p"), F.expr("id * 7919 % 50000").cast("string")).alias("PLATFORM"),
+        F.when(F.col("id") % 3 > 0, F.lit("v")).alias("ASA_VERSION")).repartition(7)
+    want = {v: i for i, v in enumerate(sorted(f"p{i}" for i in range(50_000)))}
+    got = features.registry_features(df).collect()
+    assert len(got) == 50_000 and all(r["PLATFORM_enc"] == want[r["PLATFORM"]] for r in got)
+    assert all(r["ASA_VERSION_enc"] == (-1 if r["ASA_VERSION"] is None else 0) for r in got)
+    assert features.registry_features(df.where("false")).count() == 0
 
 
 def test_disk_usage_of_unknown_and_zero_capacity(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from fleet_health.operators import features, scoring, sequences
 from fleet_health.operators import series as R
-from fleet_health.schema import CODE, DYNAMIC_FEATURES, LABELS_SCHEMA, TIME
+from fleet_health.schema import CODE, DYNAMIC_FEATURES, LABELS_SCHEMA, STATIC_FEATURES, TIME
 from tests import fleet
 
 SIZES = {"TC1": 700, "TC2": 30, "TC3": 12, "TC4": 1, "TC5": 90, "TC6": 47, "TC7": 24}
@@ -102,13 +102,13 @@ def test_labelled_windows(data, limit):
 
 
 @pytest.mark.parametrize("limit,length,stride", [(5, 24, 8), (40, 24, 8), (10**6, 24, 8),
-                                                 (40, 12, 30)])
+                                                 (40, 12, 30), (40, 10, 4), (7, 5, 3), (40, 5, 1)])
 def test_pooled_and_array_windows(data, limit, length, stride):
     *_, rows, static, labels = data
     static = features.registry_features(static)
     want = expected_windows(data, length, stride)
     pooled = {(r[CODE], r["window_no"]): r for r in sequences.pooled_sequences(
-        rows, static, labels, length, stride, pools=("avg", "last", "max"),
+        rows, static, labels, length, stride, pools=("avg", "last", "max", "min", "std"),
         max_rows=limit).collect()}
     arrays = {(r[CODE], r["window_no"]): r for r in sequences.array_sequences(
         rows, static, labels, length, stride, max_rows=limit).collect()}
@@ -122,6 +122,8 @@ def test_pooled_and_array_windows(data, limit, length, stride):
             np.testing.assert_allclose(pooled[key][name], values.mean(), rtol=1e-8, atol=1e-9)
             np.testing.assert_allclose(pooled[key][f"{name}_last"], values[-1], rtol=1e-8, atol=1e-9)
             np.testing.assert_allclose(pooled[key][f"{name}_max"], values.max(), rtol=1e-8, atol=1e-9)
+            np.testing.assert_allclose(pooled[key][f"{name}_min"], values.min(), rtol=1e-8, atol=1e-9)
+            np.testing.assert_allclose(pooled[key][f"{name}_std"], values.std(ddof=1), rtol=1e-6, atol=1e-7)
             np.testing.assert_allclose(x[:, DYNAMIC_FEATURES.index(name)], values, rtol=1e-5, atol=1e-5)
         assert (x[:, 33 + 4] == x[0, 33 + 4]).all()
 
@@ -172,3 +174,16 @@ def test_stored_training_values(spark, data):
     codes = features.category_dictionary(static, ["PLATFORM", "ASA_VERSION"])
     one = features.registry_features(static.where("PLATFORM = 'b'"), codes)
     assert {r["PLATFORM_enc"] for r in one.collect()} == {1}
+
+
+def test_windows_copy_no_rows_and_shuffle_once(data):
+    """Panes: nothing is exploded, and windows add no exchange to those of the features."""
+    *_, rows, static, labels = data
+    static = features.registry_features(static)
+    args = (rows, static, labels, 24, 8)
+    exchanges = set()
+    for made in (sequences.pooled_sequences(*args), sequences.array_sequences(*args),
+                 features.feature_series(rows, static, 12, (), 24, labels, carry=STATIC_FEATURES)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        exchanges.add((plan.count("hashpartitioning(TERMINAL_CODE#"), plan.count("Generate ")))
+    assert len(exchanges) == 1
