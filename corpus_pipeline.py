@@ -58,10 +58,9 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed), their number, and a digest of the ids and of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keys=["doc_id", "lang", "source"])
-    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("token_ids", F.col("ids"))
-    back = bpe.decode(ids, ranks)
-    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    made = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keys=["doc_id", "lang", "source"])
+    return made.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.col("ids").alias("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", keep_different),
