@@ -67,7 +67,6 @@ class Merges:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         by_rank = sorted(ranks.items(), key=lambda item: item[1])
         self.bytes = np.frombuffer(b"".join(word for word, _ in by_rank), np.uint8)
-        self.ranks = ranks
 
     def _slots(self, keys):
         hashed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -197,7 +196,7 @@ class Merges:
         return self.bytes[spans(self.starts[ids], self.lengths[ids])].tobytes()
 
 
-def _encoder(merges, pattern, text_col, id_col, count_col):
+def _encoder(merges, pattern, text_col, id_col, count_col, decoded_col=None):
     def encode(frames):
         import regex
 
@@ -220,6 +219,8 @@ def _encoder(merges, pattern, text_col, id_col, count_col):
             out = frame.drop(columns=[text_col])
             out[id_col] = [packed[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
             out[count_col] = np.diff(ends)
+            if decoded_col:
+                out[decoded_col] = [own.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in out[id_col]]
             yield out
 
     return encode
@@ -253,6 +254,20 @@ def encode(df: DataFrame, rank_path: str, pattern: str, *, keys: list[str], text
     return cut.mapInPandas(_encoder(merges, pattern, "_text", ids, count), kinds)
 
 
+def round_trip(df: DataFrame, rank_path: str, pattern: str, *, keys: list[str], text: str = "text",
+               ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+    """What `encode` gives, and the bytes that the packed ids decode to.
+
+    One Python worker does both, slice by slice, so a task holds the merges once and the ids cross
+    once. Rows are those of `encode`; a text without ids decodes to no bytes.
+    """
+    merges = df.sparkSession.sparkContext.broadcast(Merges(read_ranks(rank_path)))  # fixed size
+    cut = df.select(*[F.col(k) for k in keys], F.col(text).alias("_text"))
+    kinds = ", ".join([*(f"`{k}` {t}" for k, t in cut.dtypes if k != "_text"),
+                       f"`{ids}` binary", f"`{count}` bigint", f"`{decoded}` binary"])
+    return cut.mapInPandas(_encoder(merges, pattern, "_text", ids, count, decoded), kinds)
+
+
 def decode(df: DataFrame, rank_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The bytes that packed ids stand for, in place of the ids; null ids give null."""
     merges = df.sparkSession.sparkContext.broadcast(Merges(read_ranks(rank_path)))

@@ -41,9 +41,8 @@ def op5_trie_scoring(spark, sf_dir):
 
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keys=["doc_id"])
-    back = bpe.decode(ids.withColumn("ids_sha256", F.sha2("ids", 256)), RANKS)
-    return back.select("doc_id", "n_tokens", "ids_sha256",
+    made = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, keys=["doc_id"])
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
