@@ -295,7 +295,9 @@ def link(df: DataFrame, *, n: int = 5, p: int = 75, q: int = 100, key: str = "do
     if not 0 < p <= q:
         raise ValueError("the similarity is above 0 and at most 1")
     ranges, groups = parts_for(df, text, RANGE_CHARS), parts_for(df, text, GROUP_CHARS)
-    docs = df.select(F.pmod(F.coalesce(F.xxhash64(F.col(key)), F.lit(0)), F.lit(groups)).alias("g"),
+    # rows without an id are dealt out by their text
+    own = F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
+    docs = df.select(F.pmod(own, F.lit(groups)).alias("g"),
                      F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("order_id"),
                      F.col(text).alias("text"))
     sent = docs.groupBy("g").applyInPandas(_send(n, p, q, ranges), "g bigint, r bigint, keys binary, counts binary")
