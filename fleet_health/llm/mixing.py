@@ -194,8 +194,8 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     `sources` is an array of names (default: the column `source` alone); a null name is a source of
     its own, an empty array or null takes no part (0 copies). `weigh` maps the names to weights.
     Null and empty texts have no words; they are repeated like their pattern's whole repetitions.
-    Rows with equal ids are separate documents. Ties in the seeded order are broken by id and size;
-    what is still equal is interchangeable. Columns of `df` with the added names are replaced. Sources and targets of an empty table are empty. More
+    Rows with equal ids are separate documents. Ties in the seeded order are broken by id, size
+    and a hash of the text; what is still equal is interchangeable. Columns of `df` with the added names are replaced. Sources and targets of an empty table are empty. More
     than `max_patterns` patterns raise an error, since the flow is solved on the driver.
     """
     spark = df.sparkSession
@@ -204,7 +204,10 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     measures = [
         F.coalesce(F.to_json(members), F.lit("[]")).alias("_pattern"),
         word_count(F.col(text)).alias("mix_size"), F.col(id).alias("_id"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string")), 1).alias("_hash")]
+        F.xxhash64(F.lit(seed), F.col(text)).alias("_tie"),
+        # rows without an id are told apart by their text
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("string"), F.when(F.col(id).isNull(), F.col(text))), 1)
+        .alias("_hash")]
     cls = F.length(F.bin("mix_size"))
     # what the plan needs is read from the texts once
     narrow = cut_lineage(df.select(*measures).withColumn("_cls", cls))
@@ -231,7 +234,7 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     cut = cut_lineage(sums.where("_upto > _quota")
                       .groupBy(*group).agg(F.min("_range").alias("_cut"),
                                            F.min(F.col("_upto") - F.col("_sum")).alias("_before")))
-    order = Window.partitionBy(*group).orderBy("_hash", "_id", "mix_size")
+    order = Window.partitionBy(*group).orderBy("_hash", "_id", "mix_size", "_tie")
 
     def inside_of(placed):
         return placed.where("_range = _cut").select(
