@@ -102,9 +102,8 @@ def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
                     for suffix in ("tokens", "offsets", "docs"):
                         files[suffix] = stack.enter_context(
                             store.open_output_stream(f"{path}/{name}.{suffix}"))
-                    if frame["no_id"].iloc[0]:
-                        tie = int(frame["tie"].iloc[0])
-                    else:
+                    tie = int(frame["tie"].iloc[0])
+                    if not frame["no_id"].iloc[0]:
                         least = int(frame["doc_id"].iloc[0])
                     files["offsets"].write(np.zeros(1, "<i8").tobytes())
                 texts = list(frame["text"])
@@ -139,8 +138,8 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     `added_tokens`: the tokenizer's added tokens that stand in a text become their own ids, as the
     library does unless told otherwise; else special ones are spelled out.
     Null or empty texts have the end id alone. Rows with a null doc_id cannot be addressed by id: with
-    `null_ids` they come last, by a hash of their text, else they are refused. Repeated doc_ids are all written, next to each other. Offsets in the files count
-    from the shard's start; the manifest's `base` makes them global.
+    `null_ids` they come last, by a hash of their text, else they are refused. Repeated doc_ids are
+    all written, next to each other, by a hash of their text. Offsets in the files count from the shard's start; the manifest's `base` makes them global.
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -153,8 +152,8 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None =
     docs = df.select(
         F.when(none, instead).otherwise(F.col("doc_id").cast("bigint")).alias("doc_id"),
         F.col("text").cast("string"), none.alias("no_id"),
-        # many rows without id are no single range
-        F.when(none, F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0)).alias("tie"))
+        # rows without id or with equal ids have an order, and are no single range
+        F.xxhash64(F.col("text").cast("string")).alias("tie"))
     order = ["no_id", "doc_id", "tie"]
     sorted_docs = docs.repartitionByRange(parts_for(df, "text", 40e6), *order).sortWithinPartitions(*order)
     shards = cut_lineage(sorted_docs.mapInPandas(_writer(folder, tokenizer_path, end_id, kind, added_tokens), MANIFEST))

@@ -109,6 +109,21 @@ def test_documents_without_id_come_last(spark, tmp_path):
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
 
 
+def test_repeated_ids_have_one_order(spark, tmp_path):
+    rows = [(i % 4, f"text {i} " * (i % 7)) for i in range(60)]
+    a, b = (sorted(map(tuple, queries.op7_token_files(spark, documents(spark, r, tmp_path / n)).collect()))
+            for n, r in (("a", rows), ("b", rows[::-1])))
+    assert a == b and len(a) == 60
+
+
+def test_round_trip_equals_encode_and_decode(spark):
+    rows = [*enumerate(texts())]
+    made = bpe.round_trip(frame(spark, rows), RANKS, P.PATTERN, keys=["doc_id"]).collect()
+    ids = bpe.encode(frame(spark, rows), RANKS, P.PATTERN, keys=["doc_id"]).collect()
+    assert {(r["doc_id"], bytes(r["ids"]), r["n_tokens"]) for r in made} == {(r["doc_id"], bytes(r["ids"]), r["n_tokens"]) for r in ids}
+    assert all(bytes(r["decoded"]) == (dict(rows)[r["doc_id"]] or "").encode() for r in made)
+
+
 def test_a_document_without_id_is_refused(spark):
     with pytest.raises(Exception, match="no doc_id"):
         token_files.write(frame(spark, [(None, "a")]), LIBRARY, 2).collect()
