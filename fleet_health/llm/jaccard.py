@@ -29,7 +29,7 @@ from fleet_health.llm.components import components
 from fleet_health.llm.packed import answer, cut, joined, ranged, runs_of
 from fleet_health.session import cut_lineage, scratch_path
 
-GROUP_CHARS, RANGE_CHARS = 8e6, 16e6
+GROUP_CHARS, RANGE_CHARS = 4e6, 16e6
 #: Parts beyond 5/4 of a level's differences.
 MORE_PARTS = 64
 NO_ID = 2**63 - 1
