@@ -30,10 +30,15 @@ def build_session(app: str = "fleet-health", master: str | None = None, **extra:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only where that is unset (a local test session) a fresh temporary folder is used instead.
+    Where that is unset, a folder given to the context is used, and only in a session on a local
+    master a fresh temporary folder: on a cluster the machines do not share one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="fleet-health-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="fleet-health-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
