@@ -85,17 +85,21 @@ class EliasFano:
         high = self._select(i, True) - i
         return high.astype(U64) << U64(self.l) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that is not below x; n where there is none."""
+    def successor(self, x: np.ndarray, first=0, last=None) -> np.ndarray:
+        """The place of the first value that is not below x among places `first` to `last` (exclusive;
+        numbers, or one for each x); `last` where there is none. `last` is n if not given."""
         x = np.asarray(x, U64)
-        out = np.full(len(x), self.n, np.int64)
+        first = np.broadcast_to(np.asarray(first, np.int64), x.shape)
+        last = np.broadcast_to(np.asarray(self.n if last is None else last, np.int64), x.shape)
+        out = last.copy()
         if not self.n:
             return out
         high = (x >> U64(self.l)).astype(np.int64)
         inside = np.flatnonzero(high <= self.bits - 1 - self.n)
-        h = high[inside]
+        h, first, last = high[inside], first[inside], last[inside]
         begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0)
-        end = self._select(h, False) - h
+        end = np.clip(self._select(h, False) - h, first, last)
+        begin = np.clip(begin, first, last)
         low = x[inside] & U64((1 << self.l) - 1)
         while True:  # halves the few values that share the upper part
             open_ = begin < end
@@ -107,13 +111,14 @@ class EliasFano:
         out[inside] = begin
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it is not there."""
-        at = self.successor(x)
-        safe = np.minimum(at, max(self.n - 1, 0))
+    def find(self, x: np.ndarray, first=0, last=None) -> np.ndarray:
+        """The place of each value among places `first` to `last`, -1 where it is not there."""
         if not self.n:
             return np.full(len(x), -1)
-        return np.where((at < self.n) & (self.access(safe) == np.asarray(x, U64)), at, -1)
+        at = self.successor(x, first, last)
+        safe = np.minimum(at, self.n - 1)
+        inside = at < (self.n if last is None else last)
+        return np.where(inside & (self.access(safe) == np.asarray(x, U64)), at, -1)
 
 
 def _nth(bits: np.ndarray, n: np.ndarray) -> np.ndarray:

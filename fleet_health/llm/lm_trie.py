@@ -1,18 +1,20 @@
 """Scoring texts by an interpolated bigram model in a sharded Elias-Fano trie.
 
-Level one has a shard per range of word hashes: the hashes (Elias-Fano), counts, and ids of the words
-that occur at least `least` times. Level two has a shard per range of bigram hashes: its contexts'
-ids and the starts of their children (monotone pointers), the children (context rank times number
-of ids plus word id, so that they are monotone; searched relative to the context) and each bigram's
-count, in a byte; counts from 255 on are listed apart. A third file per level-one shard has each
-context's back-off weight, quantised. All are flat files that tasks map into memory.
-
-    p(w | v) = max(c(v w) - D2, 0) / c(v) + g(v) p(w)        p(w) = (c(w) - D1) / N
-
-g(v) is what the kept bigrams of v leave, and all unseen words are one class with what D1 leaves, so
-the probabilities add up to one, but for the quantisation. D = n1 / (n1 + 2 n2) of the counts of one
-and two in all shards of the level. Bigrams that occur less than `least` times are counted, but not kept; with a `least`
-of 1 nothing is left out. A text starts in the context of the end token.
+Level one has a shard per range of word hashes: the hashes, the sums of the counts up to each word
+(both Elias-Fano), and for each word two quantised numbers, its probability and its back-off weight
+as a context. A word's id is its place in all shards. Level two has a shard per range of bigram
+hashes, so that a very frequent context is spread over all of them: its contexts' ids, the starts of
+their children (monotone pointers), the children (context rank times number of words plus word id, so
+that they are monotone; a search looks only between its context's pointers) and for each bigram its
+quantised smoothed probability. All are flat files that tasks map into memory.
+
+    p(w | v) = (c(v w) - D2) / c(v) + g(v) p(w)   if v w was seen, else g(v) p(w)
+    p(w) = (c(w) - D1) / N                        if w was seen; all other words are one class, D1 V / N
+
+g(v) is what D2 takes from the bigrams of v, so the probabilities add up to one, but for the
+quantisation. D = n1 / (n1 + 2 n2) of the counts of one and two in all shards of the level. Codes are
+log10 in steps of 1 / QUANTUM: a level-one number is off by half a step at most, and the log10 of a
+token by one and a half steps (0.00037). A text starts in the context of the end token.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from fleet_health.session import cut_lineage, scratch_path
 
 #: Code points of one slice of documents, of a range of words and a range of bigrams, about.
 SLICE_CHARS, WORD_CHARS, BIGRAM_CHARS = 6_000_000, 32e6, 12e6
-#: The least count of words that have ids and of bigrams that are kept, where the caller names none.
-MIN_COUNT = 2
 #: Steps of the quantised log10 probability per unit; the last code stands for none.
 QUANTUM, NONE = 4096, 2**16 - 1
-#: Counts of bigrams from here on are listed apart.
+#: Counts of bigrams from here on are listed apart until they are probabilities.
 LARGE = 255
+#: Files that one task keeps mapped, below the usual bound of a process.
+MAPS = 20_000
 END = np.uint64(0x2545F4914F6CDD1D)  # the end token's hash
+HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -52,7 +55,11 @@ def _restored(code: np.ndarray) -> np.ndarray:
 
 
 def _upper(found: np.ndarray, ranges: int) -> np.ndarray:
-    return (found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    return (found >> HALF) * np.uint64(ranges) >> HALF
+
+
+def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64))
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -60,28 +67,31 @@ def _discount(ones: int, twos: int) -> float:
 
 
 class Words:
-    """A slice's tokens as hashes, each text followed by the end token; and which texts train."""
+    """A slice's tokens, each text followed by the end token, and which texts train.
+
+    `hashes` are the different tokens in ascending order, `place` each token's place among them.
+    """
 
     def __init__(self, frame: pd.DataFrame):
-        hashes = [np.append(word_hashes(words(t, lower=True)), END) for t in frame["text"]]
-        self.sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-        self.hashes = np.concatenate([np.empty(0, np.uint64), *hashes])
-        self.ends = np.cumsum(self.sizes)
+        found = [np.append(word_hashes(words(t, lower=True)), END) for t in frame["text"]]
+        self.sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.hashes, place = np.unique(np.concatenate([[END], *found]), return_inverse=True)
+        self.place, self.starts = place[1:], np.cumsum(self.sizes) - self.sizes
+        self.before = np.roll(self.place, 1)
+        self.before[self.starts] = place[0]
         self.trains = np.repeat(~frame["held_out"].to_numpy(bool), self.sizes)
 
-    def before(self, values: np.ndarray, start: int) -> np.ndarray:
-        """Each token's predecessor; `start` at the start of a text."""
-        out = np.empty_like(values)
-        out[1:] = values[:-1]
-        out[(self.ends - self.sizes)] = start
-        return out
+    def pairs(self, chosen: np.ndarray) -> np.ndarray:
+        """Places of the chosen tokens and their predecessors in one number."""
+        return self.before[chosen].astype(np.uint64) << HALF | self.place[chosen].astype(np.uint64)
 
 
 def _send_words(ranges):
     def send(frames):
         for frame in slices(frames, limit=SLICE_CHARS):
             own = Words(frame)
-            keys, counts = np.unique(own.hashes[own.trains], return_counts=True)
+            counts = np.bincount(own.place[own.trains], minlength=len(own.hashes))
+            keys, counts = own.hashes[counts > 0], counts[counts > 0]
             yield pd.DataFrame([(r, keys[a:b].astype("<u8").tobytes(), counts[a:b].astype("<i8").tobytes())
                                 for r, a, b in cut(keys, _upper(keys, ranges))],
                                columns=["r", "keys", "counts"])
@@ -89,234 +99,237 @@ def _send_words(ranges):
     return send
 
 
-def _store_words(folder, least):
+def _store_words(folder):
     def store(frame):
         keys, counts = joined(frame["keys"], "<u8"), joined(frame["counts"], "<i8")
         order = np.argsort(keys, kind="stable")
         runs = runs_of(keys[order])
         keys, counts = keys[order][runs], np.add.reduceat(counts[order], runs)
         name = uuid.uuid4().hex
-        kept = counts >= least
         save_array(folder, f"{name}.words", EliasFano.build(keys))
-        save_array(folder, f"{name}.counts", counts.astype("<i8"))
-        if least > 1:  # else a word's place is its rank
-            save_array(folder, f"{name}.ranks", np.concatenate(([0], np.cumsum(kept))).astype("<u4"))
-            save_array(folder, f"{name}.kept", counts[kept].astype("<i8"))
-        return pd.DataFrame([(int(frame["r"].iloc[0]), name, len(keys), int(kept.sum()), int(counts.sum()),
+        save_array(folder, f"{name}.sums", EliasFano.build(np.append(0, np.cumsum(counts))))
+        return pd.DataFrame([(int(frame["r"].iloc[0]), name, len(keys), int(counts.sum()),
                               int((counts == 1).sum()), int((counts == 2).sum()))],
-                            columns=["r", "name", "n_words", "n_kept", "n_tokens", "ones", "twos"])
+                            columns=["r", "name", "n_words", "n_tokens", "ones", "twos"])
 
     return store
 
 
-class Level1:
-    """The word level, mapped from its files as they are needed."""
+class Files:
+    """Flat files of a folder, mapped when they are needed; a bounded number is kept."""
+
+    def __init__(self, folder):
+        self.folder, self.mapped = folder, {}
+
+    def load(self, name, kind="<u8"):
+        if name not in self.mapped:
+            if len(self.mapped) >= MAPS:
+                self.mapped.clear()
+            found = load_array(self.folder, name, kind)
+            self.mapped[name] = EliasFano(found) if kind == "<u8" else found
+        return self.mapped[name]
 
-    def __init__(self, folder, shards, ranges, least):
-        self.folder, self.ranges, self.least = folder, ranges, least
-        self.shards = {s["r"]: s for s in shards}
-        order = sorted(self.shards)
-        self.rs = np.array(order, np.int64)
-        self.bases = np.cumsum([0, *[self.shards[r]["n_kept"] for r in order]])
-        self.n_kept = int(self.bases[-1])
+
+class Level1(Files):
+    """The word level. `codes` names each shard's quantised numbers, once they are stored."""
+
+    def __init__(self, folder, shards, ranges):
+        super().__init__(folder)
+        self.ranges, self.codes = ranges, {}
+        self.names = {s["r"]: s["name"] for s in shards}
+        self.rs = sorted(self.names)
+        sizes = {s["r"]: s["n_words"] for s in shards}
+        self.bases = np.cumsum([0, *[sizes[r] for r in self.rs]])
+        self.types = int(self.bases[-1])
         self.tokens = sum(s["n_tokens"] for s in shards)
-        self.types = sum(s["n_words"] for s in shards)
         self.discount = _discount(sum(s["ones"] for s in shards), sum(s["twos"] for s in shards))
-        self.mapped = {}
-
-    def map(self, r, part, kind):
-        part = "counts" if part == "kept" and self.least <= 1 else part
-        if (r, part) not in self.mapped:
-            found = load_array(self.folder, f"{self.shards[r]['name']}.{part}", kind)
-            self.mapped[r, part] = EliasFano(found) if part == "words" else found
-        return self.mapped[r, part]
-
-    def look_up(self, hashes: np.ndarray):
-        """Counts and ids (-1: none) of different hashes in ascending order."""
-        counts, ids = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        #: Ids travel in as many bytes as they need.
+        self.kind = "<u4" if self.types <= 2**32 else "<u8"
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids (-1: none) of different hashes in ascending order; ids ascend with the hashes."""
+        out = np.full(len(hashes), -1, np.int64)
         for r, a, b in cut(hashes, _upper(hashes, self.ranges)):
-            if r in self.shards:
-                at = self.map(r, "words", "<u8").find(hashes[a:b])
-                here = np.flatnonzero(at >= 0)
-                place = at[here]
-                counts[a + here] = self.map(r, "counts", "<i8")[place]
-                kept = here[counts[a + here] >= self.least]
-                base = self.bases[np.searchsorted(self.rs, r)]
-                ids[a + kept] = base + (self.map(r, "ranks", "<u4")[at[kept]] if self.least > 1 else at[kept])
-        return counts, ids
-
-    def by_id(self, ids: np.ndarray, part: str, kind: str, names=None) -> np.ndarray:
-        """Values that a file has for each id; ids ascend. `names` are the files of another level."""
-        out = np.zeros(len(ids), kind)
-        for i, a, b in cut(ids, np.searchsorted(self.bases, ids, "right") - 1):
-            r = int(self.rs[i])
-            if names is None:
-                found = self.map(r, part, kind)
-            elif r in names:
-                found = self.mapped.setdefault((r, part), None)
-                if found is None:
-                    found = self.mapped[r, part] = load_array(self.folder, f"{names[r]}.{part}", kind)
-            else:
-                continue
-            out[a:b] = found[ids[a:b] - self.bases[i]]
+            if r in self.names:
+                at = self.load(f"{self.names[r]}.words").find(hashes[a:b])
+                out[a:b] = np.where(at >= 0, self.bases[np.searchsorted(self.rs, r)] + at, -1)
         return out
 
-    def tokens_of(self, own: Words):
-        """Counts and ids of all tokens, and the id of the end token."""
-        keys, back = np.unique(np.append(own.hashes, END), return_inverse=True)
-        counts, ids = self.look_up(keys)
-        return counts[back[:-1]], ids[back[:-1]], int(ids[back[-1]])
-
+    def _by_shard(self, ids):
+        for i, a, b in cut(ids, np.searchsorted(self.bases, ids, "right") - 1):
+            yield self.rs[i], slice(a, b), ids[a:b] - self.bases[i]
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of ascending ids."""
+        out = np.zeros(len(ids), np.int64)
+        for r, own, at in self._by_shard(ids):
+            sums = self.load(f"{self.names[r]}.sums")
+            out[own] = sums.access(at + 1) - sums.access(at)
+        return out
 
-def _bigrams(own, ids, end_id):
-    """Packed (context, word) ids where both have one; -1 elsewhere."""
-    before = own.before(ids, end_id)
-    return np.where((before >= 0) & (ids >= 0), before << 32 | ids, -1)
+    def restored(self, ids: np.ndarray, part: str) -> np.ndarray:
+        """`p` (probabilities) or `weights` of ascending ids."""
+        out = np.zeros(len(ids))
+        for r, own, at in self._by_shard(ids):
+            out[own] = _restored(self.load(f"{self.codes[r]}.{part}", "<u2")[at])
+        return out
 
 
 def _send_bigrams(level1, ranges):
     def send(frames):
+        kind = level1.value.kind
         for frame in slices(frames, limit=SLICE_CHARS):
             own = Words(frame)
-            _, ids, end_id = level1.value.tokens_of(own)
-            pairs = _bigrams(own, ids, end_id)
-            keys, counts = np.unique(pairs[own.trains & (pairs >= 0)].astype(np.uint64), return_counts=True)
-            upper = _upper(mix(keys), ranges)
+            ids = level1.value.ids(own.hashes)
+            pairs, counts = np.unique(own.pairs(own.trains), return_counts=True)
+            left, right = ids[pairs >> HALF], ids[pairs & LOW]
+            upper = _upper(_pair_hash(left, right), ranges)
             order = np.argsort(upper, kind="stable")
-            keys, counts, upper = keys[order], counts[order].astype("<u4"), upper[order]
-            left, right = (keys >> np.uint64(32)).astype("<u4"), keys.astype("<u4")
+            left, right, upper = left[order].astype(kind), right[order].astype(kind), upper[order]
+            counts = counts[order].astype("<u4")
             yield pd.DataFrame([(r, left[a:b].tobytes(), right[a:b].tobytes(), counts[a:b].tobytes())
-                                for r, a, b in cut(keys, upper)], columns=["r", "left", "right", "counts"])
+                                for r, a, b in cut(upper, upper)], columns=["r", "left", "right", "counts"])
 
     return send
 
 
-def _store_bigrams(level1, folder, least):
-    columns = ["r", "name", "ones", "twos", "shard", "ids", "kids", "sums"]
-
+def _store_bigrams(level1, folder):
+    """Contexts, pointers, children and counts of a range; what its contexts have goes to their shards."""
     def store(frame):
-        left, right = joined(frame["left"], "<u4"), joined(frame["right"], "<u4")
-        keys, counts = left.astype(np.uint64) << np.uint64(32) | right, joined(frame["counts"], "<u4")
-        order = np.argsort(keys, kind="stable")
-        runs = runs_of(keys[order])
-        keys, counts = keys[order][runs], np.add.reduceat(counts[order].astype(np.int64), runs)
-        r, name = int(frame["r"].iloc[0]), uuid.uuid4().hex
-        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-        kept = counts >= least
-        keys, counts = keys[kept], counts[kept]
-        if not len(keys):  # its counts matter, its name does not
-            return pd.DataFrame([(r, None, ones, twos, -1, None, None, None)], columns=columns)
-        left, right = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+        kind = level1.value.kind
+        left, right = joined(frame["left"], kind), joined(frame["right"], kind)
+        if kind == "<u4":
+            order = np.argsort(left.astype(np.uint64) << HALF | right, kind="stable")
+        else:
+            order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        runs = np.flatnonzero(new)
+        counts = np.add.reduceat(joined(frame["counts"], "<u4")[order].astype(np.int64), runs)
+        left, right = left[runs], right[runs].astype(np.uint64)
         starts = runs_of(left)
         contexts, lengths = left[starts], np.diff(np.append(starts, len(left)))
         rank = np.repeat(np.arange(len(starts), dtype=np.uint64), lengths)
         large = np.flatnonzero(counts >= LARGE)
+        r, name = int(frame["r"].iloc[0]), uuid.uuid4().hex
         save_array(folder, f"{name}.contexts", EliasFano.build(contexts))
         save_array(folder, f"{name}.starts", EliasFano.build(np.append(starts, len(left))))
-        save_array(folder, f"{name}.children",
-                   EliasFano.build(rank * np.uint64(level1.value.n_kept) + right))
+        save_array(folder, f"{name}.children", EliasFano.build(rank * np.uint64(level1.value.types) + right))
         save_array(folder, f"{name}.counts", np.minimum(counts, LARGE).astype("<u1"))
-        save_array(folder, f"{name}.large", np.concatenate((large, counts[large])).astype("<i8"))
-        ids, kids = contexts.astype("<u4"), lengths.astype("<u4")
-        # where all is kept, a context's counts add up to its own
-        sums = np.add.reduceat(counts, starts).astype("<i8") if least > 1 else np.empty(0, "<i8")
-        upper = np.searchsorted(level1.value.bases, contexts, "right") - 1
-        rows = [(r, name, ones, twos, -1, None, None, None)]
-        rows += [(r, name, 0, 0, int(level1.value.rs[i]), ids[a:b].tobytes(), kids[a:b].tobytes(), sums[a:b].tobytes())
+        save_array(folder, f"{name}.large", counts[large].astype("<i8"))
+        kids, upper = lengths.astype("<u4"), np.searchsorted(level1.value.bases, contexts, "right") - 1
+        rows = [(r, name, int((counts == 1).sum()), int((counts == 2).sum()), -1, None, None)]
+        rows += [(r, name, 0, 0, level1.value.rs[i], contexts[a:b].tobytes(), kids[a:b].tobytes())
                  for i, a, b in cut(contexts, upper)]
-        return pd.DataFrame(rows, columns=columns)
+        return pd.DataFrame(rows, columns=["r", "name", "ones", "twos", "shard", "ids", "kids"])
 
     return store
 
 
-def _store_weights(level1, folder, discount, least):
+def _store_codes(level1, folder, discount):
+    """A level-one shard's quantised probabilities and back-off weights."""
     def store(frame):
-        r = int(frame["shard"].iloc[0])
-        ids, kids = joined(frame["ids"], "<u4").astype(np.int64), joined(frame["kids"], "<u4")
-        base = level1.value.bases[np.searchsorted(level1.value.rs, r)]
-        whole = np.asarray(level1.value.map(r, "kept", "<i8"), np.float64)
-        own = np.bincount(ids - base, weights=joined(frame["sums"], "<i8"), minlength=len(whole)) if least > 1 else whole
-        taken = own - discount * np.bincount(ids - base, weights=kids, minlength=len(whole))
+        own, r = level1.value, int(frame["shard"].iloc[0])
+        ids, kids = joined(frame["ids"], own.kind).astype(np.int64), joined(frame["kids"], "<u4")
+        i = own.rs.index(r)
+        base, size = int(own.bases[i]), int(own.bases[i + 1] - own.bases[i])
+        counts = own.counts(base + np.arange(size))
+        taken = discount * np.bincount(ids - base, weights=kids, minlength=size)
         name = uuid.uuid4().hex
-        save_array(folder, f"{name}.weights", _quantised(np.maximum(1 - taken / whole, 0)))
+        save_array(folder, f"{name}.p", _quantised((counts - own.discount) / own.tokens))
+        save_array(folder, f"{name}.weights", _quantised(taken / counts))
         return pd.DataFrame([(r, name)], columns=["r", "name"])
 
     return store
 
 
-class Trie:
-    """Both levels, for scoring."""
+def _store_smoothed(level1, folder, discount):
+    """Each range's counts become quantised smoothed probabilities, in the order of its children."""
+    def store(frames):
+        own = level1.value
+        for frame in frames:
+            for r, name in zip(frame["r"], frame["name"]):
+                contexts, starts, children = (
+                    EliasFano(load_array(folder, f"{name}.{part}", "<u8")) for part in ("contexts", "starts", "children"))
+                counts = load_array(folder, f"{name}.counts", "<u1").astype(np.float64)
+                counts[counts == LARGE] = load_array(folder, f"{name}.large", "<i8")
+                lengths = np.diff(starts.access(np.arange(starts.n)).astype(np.int64))
+                left = contexts.access(np.arange(contexts.n)).astype(np.int64)
+                rank = np.repeat(np.arange(contexts.n, dtype=np.uint64), lengths)
+                right = children.access(np.arange(children.n)) - rank * np.uint64(own.types)
+                right, back = np.unique(right.astype(np.int64), return_inverse=True)
+                p = ((counts - discount) / np.repeat(own.counts(left), lengths)
+                     + np.repeat(own.restored(left, "weights"), lengths) * own.restored(right, "p")[back])
+                made = uuid.uuid4().hex
+                save_array(folder, f"{made}.smoothed", _quantised(p))
+                yield pd.DataFrame([(r, name, made)], columns=["r", "name", "smoothed"])
+
+    return store
+
 
-    def __init__(self, level1, shards, ranges, weights, discount):
-        self.level1, self.shards, self.ranges, self.weights, self.mapped = level1, shards, ranges, weights, {}
-        self.discount = discount
+class Trie(Files):
+    """Both levels, for scoring. `shards` names each bigram range's files."""
 
-    def map(self, r, part, kind="<u8"):
-        if (r, part) not in self.mapped:
-            found = load_array(self.level1.folder, f"{self.shards[r]}.{part}", kind)
-            self.mapped[r, part] = EliasFano(found) if kind == "<u8" else found
-        return self.mapped[r, part]
+    def __init__(self, level1, shards, ranges):
+        super().__init__(level1.folder)
+        self.level1, self.shards, self.ranges = level1, shards, ranges
 
-    def bigram(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted probabilities of different bigrams, ascending; 0 where one is not kept."""
-        out, upper = np.zeros(len(keys), np.int64), _upper(mix(keys), self.ranges)
+    def bigrams(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The codes of bigrams of word ids; NONE where one was not seen."""
+        out, upper = np.full(len(left), NONE, "<u2"), _upper(_pair_hash(left, right), self.ranges)
         order = np.argsort(upper, kind="stable")
         for r, a, b in cut(order, upper[order]):
             if r not in self.shards:
                 continue
+            name, smoothed = self.shards[r]
             own = order[a:b]
-            left, right = keys[own] >> np.uint64(32), keys[own] & np.uint64(0xFFFFFFFF)
-            rank = self.map(r, "contexts").find(left)
-            own, right, rank = own[rank >= 0], right[rank >= 0], rank[rank >= 0]
+            rank = self.load(f"{name}.contexts").find(left[own])
+            own, rank = own[rank >= 0], rank[rank >= 0]
             if not len(own):
                 continue
-            children, starts = self.map(r, "children"), self.map(r, "starts")
-            at = children.find(rank.astype(np.uint64) * np.uint64(self.level1.n_kept) + right)
-            there = at >= 0
-            # a child lies between its context's pointers
-            there &= (at.astype(np.uint64) >= starts.access(rank)) & (at.astype(np.uint64) < starts.access(rank + 1))
-            counts, at = self.map(r, "counts", "<u1")[at[there]].astype(np.int64), at[there]
-            large = np.flatnonzero(counts == LARGE)
-            if len(large):
-                places, values = self.map(r, "large", "<i8").reshape(2, -1)
-                counts[large] = values[np.searchsorted(places, at[large])]
-            out[own[there]] = counts
-        whole = self.level1.by_id((keys >> np.uint64(32)).astype(np.int64), "kept", "<i8")
-        return np.where(out > 0, out - self.discount, 0.0) / whole
+            starts = self.load(f"{name}.starts")
+            at = self.load(f"{name}.children").find(
+                rank.astype(np.uint64) * np.uint64(self.level1.types) + right[own].astype(np.uint64),
+                starts.access(rank).astype(np.int64), starts.access(rank + 1).astype(np.int64))
+            out[own[at >= 0]] = self.load(f"{smoothed}.smoothed", "<u2")[at[at >= 0]]
+        return out
 
     def score(self, frame):
         own, level1 = Words(frame), self.level1
-        counts, ids, end_id = level1.tokens_of(own)
         n, v = level1.tokens, level1.types
-        d = level1.discount
-        single = np.where(counts > 0, counts - d, d * v) / n if n else np.ones(len(counts))
-        before = own.before(ids, end_id)
-        known = np.unique(before[before >= 0])
-        weight = np.append(_restored(level1.by_id(known, "weights", "<u2", self.weights)), 1.0)
-        place = np.where(before >= 0, np.searchsorted(known, before), len(known))
-        pairs = _bigrams(own, ids, end_id)
-        keys, back = np.unique(pairs[pairs >= 0].astype(np.uint64), return_inverse=True)
-        high = np.zeros(len(pairs))
-        if len(keys):
-            high[pairs >= 0] = self.bigram(keys)[back]
-        logs = np.log10(high + weight[place] * single)
+        ids = level1.ids(own.hashes)
+        known = np.flatnonzero(ids >= 0)
+        counts = np.zeros(len(ids), np.int64)
+        counts[known] = level1.counts(ids[known])
+        # all unseen words are one class; an unseen context leaves the word's own probability
+        single = np.full(len(ids), level1.discount * v / n if n else 1.0)
+        single[known] = level1.restored(ids[known], "p")
+        weight = np.ones(len(ids))
+        weight[known] = level1.restored(ids[known], "weights")
+        pairs, back = np.unique(own.pairs(np.ones(len(own.place), bool)), return_inverse=True)
+        left, right = pairs >> HALF, pairs & LOW
+        logs = np.log10(weight)[left] + np.log10(single)[right]
+        both = np.flatnonzero((ids[left] >= 0) & (ids[right] >= 0))
+        code = self.bigrams(ids[left[both]], ids[right[both]])
+        seen = code != NONE
+        logs[both[seen]] = -code[seen].astype(np.float64) / QUANTUM
         base = np.log10((counts + 1) / (n + 1 * (v + 1)))
-        starts = own.ends - own.sizes
         return pd.DataFrame({
             "doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": own.sizes,
-            "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts)})
+            "n_known": np.add.reduceat((counts > 0).astype(np.int64)[own.place], own.starts), "train_tokens": n,
+            "base_score": np.add.reduceat(base[own.place], own.starts),
+            "score": np.add.reduceat(logs[back], own.starts)})
 
 
-def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text",
-          least: int = MIN_COUNT) -> DataFrame:
+def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows that are not `held_out` (null: they train) and score all rows.
 
     `doc_id`, `held_out`, `n_tokens` (words and the end), `n_known` (of those seen in training),
     `train_tokens`, `base_score` (add-one unigrams) and `score`, both log10 of the text's probability.
-    Words and bigrams that occur less than `least` times in training are left to the lower level; 1
-    keeps all. A null or empty text is the end alone. Without training rows all unseen tokens have probability
-    one, the class of all unseen words being all there is. Other columns are not read.
+    All words and bigrams of the training rows are in the model. A null or empty text is the end alone.
+    Without training rows all unseen tokens have probability one, the class of all unseen words being
+    all there is. Repeated rows and ids are scored row by row. Other columns are not read.
     """
     spark = df.sparkSession
     folder = scratch_path(spark, "trie")
@@ -327,25 +340,26 @@ def score(df: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "
                      F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sent = docs.mapInPandas(_send_words(word_ranges), "r bigint, keys binary, counts binary")
     stored = sent.groupBy("r").applyInPandas(
-        _store_words(folder, least), "r bigint, name string, n_words bigint, n_kept bigint, n_tokens bigint, "
-        "ones bigint, twos bigint")
+        _store_words(folder), "r bigint, name string, n_words bigint, n_tokens bigint, ones bigint, twos bigint")
     shards = [r.asDict() for r in cut_lineage(stored).collect()]  # one small row per range
-    level1 = Level1(folder, shards, word_ranges, least)
-    if level1.n_kept >= 2**31:  # two ids are packed into a signed number
-        raise ValueError("more than 2^31 words occur often enough to have ids")
+    level1 = Level1(folder, shards, word_ranges)
     shared = spark.sparkContext.broadcast(level1)  # names and sizes of the ranges' files
     sent = docs.mapInPandas(
         _send_bigrams(shared, ranges), "r bigint, left binary, right binary, counts binary")
     stored = cut_lineage(sent.groupBy("r").applyInPandas(
-        _store_bigrams(shared, folder, least), "r bigint, name string, ones bigint, twos bigint, shard bigint, "
-        "ids binary, kids binary, sums binary"))
-    found = stored.where("shard = -1").select("r", "name", "ones", "twos").collect()
-    names = {r["r"]: r["name"] for r in found if r["name"]}
-    discount = _discount(sum(r["ones"] for r in found), sum(r["twos"] for r in found))
-    weights = cut_lineage(stored.where("shard >= 0").groupBy("shard").applyInPandas(
-        _store_weights(shared, folder, discount, least), "r bigint, name string"))
-    weights = {r["r"]: r["name"] for r in weights.collect()}
-    trie = spark.sparkContext.broadcast(Trie(level1, names, ranges, weights, discount))
+        _store_bigrams(shared, folder),
+        "r bigint, name string, ones bigint, twos bigint, shard bigint, ids binary, kids binary"))
+    own = stored.where("shard = -1")
+    ones, twos = own.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
+    discount = _discount(ones, twos)
+    codes = cut_lineage(stored.where("shard >= 0").groupBy("shard").applyInPandas(
+        _store_codes(shared, folder, discount), "r bigint, name string"))
+    level1.codes = {r["r"]: r["name"] for r in codes.collect()}
+    shared = spark.sparkContext.broadcast(level1)
+    smoothed = cut_lineage(own.select("r", "name").mapInPandas(
+        _store_smoothed(shared, folder, discount), "r bigint, name string, smoothed string"))
+    names = {r["r"]: (r["name"], r["smoothed"]) for r in smoothed.collect()}
+    trie = spark.sparkContext.broadcast(Trie(level1, names, ranges))
     return docs.mapInPandas(
         lambda frames: map(trie.value.score, slices(frames, limit=SLICE_CHARS)),
         f"doc_id {dict(df.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, "
