@@ -276,7 +276,7 @@ class Trie(Files):
         self.level1, self.shards, self.ranges = level1, shards, ranges
 
     def bigrams(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The codes of bigrams of word ids; NONE where one was not seen."""
+        """The codes of bigrams of word ids, ascending by the left ones; NONE where one was not seen."""
         out, upper = np.full(len(left), NONE, "<u2"), _upper(_pair_hash(left, right), self.ranges)
         order = np.argsort(upper, kind="stable")
         for r, a, b in cut(order, upper[order]):
@@ -284,14 +284,15 @@ class Trie(Files):
                 continue
             name, smoothed = self.shards[r]
             own = order[a:b]
-            rank = self.load(f"{name}.contexts").find(left[own])
-            own, rank = own[rank >= 0], rank[rank >= 0]
-            if not len(own):
-                continue
-            starts = self.load(f"{name}.starts")
+            new = runs_of(left[own])  # every context is looked up once
+            rank = self.load(f"{name}.contexts").find(left[own[new]])
+            starts, safe = self.load(f"{name}.starts"), np.maximum(rank, 0)
+            first, last = starts.access(safe).astype(np.int64), starts.access(safe + 1).astype(np.int64)
+            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own))))
+            own, of = own[rank[of] >= 0], of[rank[of] >= 0]
             at = self.load(f"{name}.children").find(
-                rank.astype(np.uint64) * np.uint64(self.level1.types) + right[own].astype(np.uint64),
-                starts.access(rank).astype(np.int64), starts.access(rank + 1).astype(np.int64))
+                rank[of].astype(np.uint64) * np.uint64(self.level1.types) + right[own].astype(np.uint64),
+                first[of], last[of])
             out[own[at >= 0]] = self.load(f"{smoothed}.smoothed", "<u2")[at[at >= 0]]
         return out
 
