@@ -1,4 +1,4 @@
-"""Connected components of an edge table by least labels with pointer jumping."""
+"""Connected components of an edge table by contraction to local minima."""
 
 from __future__ import annotations
 
@@ -8,26 +8,42 @@ from pyspark.sql import functions as F
 from fleet_health.session import cut_lineage
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """`node`, `label` (the least node it is connected with) of every node that has an edge.
-
-    Each round takes the least label among a node and its neighbours, then that label's own label,
-    so paths shrink by half or more. Every round is checkpointed; the driver sees one count.
-    """
-    ends = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other")
-    both = cut_lineage(ends.unionByName(ends.select(F.col("other").alias("node"),
-                                                    F.col("node").alias("other"))).distinct())
-    labels = cut_lineage(both.groupBy("node").agg(F.min("other").alias("m"))
+def _roots(ends: DataFrame) -> DataFrame:
+    """`node`, `label`: where the way over least neighbours ends, by pointer jumping."""
+    labels = cut_lineage(ends.groupBy("node").agg(F.min("other").alias("m"))
                          .select("node", F.least("node", "m").alias("label")))
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-                .groupBy("node").agg(F.min("label").alias("near")))
-        closer = labels.join(near, "node").select(
-            "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        made = cut_lineage(closer.join(jump, "label").select(
-            "node", F.least("label", "further").alias("label"), "was"))
-        changed = made.where("label <> was").limit(1).count()
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        made = cut_lineage(labels.join(further, "label").select(
+            "node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
         labels = made.select("node", "label")
-        if not changed:
+        if made.where("moved").isEmpty():
             return labels
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """`node`, `label` (the least node it is connected with) of every node that has an edge to another.
+
+    Each round merges every node with the local minimum that its way over least neighbours leads to,
+    so at most half of the nodes remain, and only edges between what remains apart go on. Edges with
+    a null end are left out. Every round is checkpointed; the driver sees whether rows are left.
+    """
+    def distinct(found):
+        return cut_lineage(found.where("a <> b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    left, rounds = distinct(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), []
+    while not rounds or not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+            left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        labels = _roots(ends)
+        rounds.append(labels)
+        merged = left.join(labels.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(
+            labels.withColumnsRenamed({"node": "b", "label": "y"}), "b")
+        left = distinct(merged.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = rounds.pop()
+    while rounds:
+        later = out.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        out = cut_lineage(rounds.pop().join(later, "label", "left").select(
+            "node", F.coalesce("last", "label").alias("label")))
+    return out

@@ -148,3 +148,24 @@ def test_large_families_are_compared_in_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, jaccard.link(frame(spark, rows)).collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "zigzag", "none"])
+def test_components_by_contraction(spark, kind):
+    """Long paths in any order, stars, loops, repeated edges and nulls; against union by sets."""
+    rng = random.Random(3)
+    names = rng.sample(range(-500, 500), 300)
+    edges = {"path": list(zip(range(300), range(1, 300))), "star": [(7, x) for x in range(200)],
+             "random": [(rng.choice(names), rng.choice(names)) for _ in range(260)],
+             "zigzag": list(zip(names, names[1:])), "none": []}[kind]
+    label = {x: x for e in edges for x in e}
+    while True:
+        before = dict(label)
+        for x, y in edges:
+            label[x] = label[y] = min(label[x], label[y])
+        if before == label:
+            break
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    rows = [*edges, *edges[:5], (None, 4), (4, None)]
+    got = components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, label[x]) for x in linked)
