@@ -13,7 +13,6 @@ documents of each class, largest first. So no group of documents is ever ordered
 from __future__ import annotations
 
 import json
-import math
 from collections import deque
 
 import pandas as pd
@@ -21,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleet_health.llm.common import WORD
+from fleet_health.llm.components import components
+from fleet_health.operators.ordering import with_place
 from fleet_health.session import cut_lineage
 
 #: Documents in one hash range, about.
@@ -35,24 +36,40 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: dict, weights: dict, most: float) -> dict[str | None, float]:
-    """Shares of the sum of all sizes by weight, none above `most` times its source's size.
+def rotating_weights(sizes: DataFrame) -> DataFrame:
+    """`sizes` with `weight`: 1, 2, 3, 1, ... for the sources by code point, null last."""
+    one = sizes.withColumn("_one", F.lit(0))
+    return with_place(one, "_one", [F.col("source").isNull(), F.col("source")]).select(
+        *sizes.columns, (F.col("place") % 3 + 1).cast("double").alias("weight"))
 
-    What lies above is shared again by weight among those below, until none is above.
+
+def _weighed(sizes: DataFrame, weigh) -> DataFrame:
+    if weigh is None:
+        return rotating_weights(sizes)
+    own = weigh.select("source", F.col("weight").cast("double").alias("weight"))
+    return sizes.join(own.withColumnRenamed("source", "_own"), F.col("source").eqNullSafe(F.col("_own")), "left").select(
+        *sizes.columns, F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def targets(sizes: DataFrame, most: float) -> DataFrame:
+    """`sizes` (source, source_size, weight) with `target`: shares of the sum of all sizes by weight.
+
+    None is above `most` times its source's size: what lies above is shared again by weight among
+    those below, until none is above. The driver sees one row of sums for each time.
     """
-    open_, out = set(sizes), {}
-    left = float(sum(sizes.values()))
-    while open_:
-        whole = sum(weights[s] for s in open_)
-        over = [s for s in open_ if left * weights[s] / whole > most * sizes[s]] if whole else []
-        if not over:
-            out |= {s: left * weights[s] / whole if whole else 0.0 for s in open_}
+    total, whole = sizes.agg(F.sum("source_size"), F.sum("weight")).first()
+    left, known, limit = float(total or 0), 0, F.lit(float(most)) * F.col("source_size")
+    capped, share = F.lit(False), F.lit(0.0)
+    while whole:
+        share = F.lit(left) * F.col("weight") / F.lit(whole)
+        capped = share > limit
+        n, held, rest = sizes.agg(F.count_if(capped), F.sum(F.when(capped, F.col("source_size"))),
+                                  F.sum(F.when(~capped, F.col("weight")))).first()
+        if n <= known:
             break
-        for s in over:
-            out[s] = float(most * sizes[s])
-            open_.discard(s)
-        left = sum(sizes.values()) - sum(out.values())
-    return out
+        known, left, whole = n, float(total - most * held), rest
+        share = F.lit(0.0)
+    return sizes.withColumn("target", F.when(capped, limit).otherwise(share))
 
 
 def flow(capacity: list[int], members: list[list[int]], quota: list[int], most: int):
@@ -66,6 +83,14 @@ def flow(capacity: list[int], members: list[list[int]], quota: list[int], most:
     holders: list[set[int]] = [set() for _ in quota]
     for _ in range(most):
         left = list(capacity)
+        for p, own in enumerate(members):  # paths of one step need no search
+            for s in own:
+                amount = min(left[p], need[s])
+                if amount:
+                    given[p, s] = given.get((p, s), 0) + amount
+                    holders[s].add(p)
+                    left[p] -= amount
+                    need[s] -= amount
         while True:
             came: dict[tuple[str, int], tuple[str, int] | None] = {
                 ("p", p): None for p, x in enumerate(left) if x > 0}
@@ -106,47 +131,78 @@ def flow(capacity: list[int], members: list[list[int]], quota: list[int], most:
     return {k: v for k, v in given.items() if v}
 
 
-def _whole(shares: list[float]) -> list[int]:
-    """Whole numbers near the shares, with the same (rounded) sum."""
-    out = [math.floor(x) for x in shares]
-    order = sorted(range(len(shares)), key=lambda i: (out[i] - shares[i], i))
-    for i in order[: round(sum(shares)) - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def _code_points(name):
-    return (name is None, name or "")
-
-
-def rotating_weights(names) -> dict:
-    """1, 2, 3, 1, ... for the names by code point, null last."""
-    return {s: i % 3 + 1 for i, s in enumerate(sorted(names, key=_code_points))}
-
-
-def plan(rows, weigh, most: int):
-    """(pattern, class) rows with words, documents -> per source size and target, per class quotas."""
-    words, sizes, classes = {}, {}, {}
-    for key, cls, size, docs in rows:
-        words[key] = words.get(key, 0) + size
-        classes.setdefault(key, []).append((cls, size, docs))
-        for s in json.loads(key):
-            sizes[s] = sizes.get(s, 0) + size
-    names = sorted(sizes, key=_code_points)
-    goal = targets(sizes, weigh(names), most)
-    keys = sorted(words)
-    at = {s: i for i, s in enumerate(names)}
-    given = flow([words[k] for k in keys], [[at[s] for s in json.loads(k)] for k in keys],
-                 _whole([goal[s] for s in names]), most)
-    quotas = []
-    for i, key in enumerate(keys):
-        total = sum(v for (p, _), v in given.items() if p == i)
-        full, rest = divmod(total, words[key]) if words[key] else (1, 0)
-        for cls, size, docs in classes[key]:
-            bits = max(0, min(40, math.ceil(math.log2(max(1, docs) / RANGE_DOCS))))
-            share = rest * size // words[key] if words[key] else 0
-            quotas.append((key, cls, full, rest, share, bits))
-    return [(s, sizes[s], goal[s]) for s in names], quotas
+def _solve(most: int):
+    """The flow of one component: rows of patterns (`amount`: words) and of sources (their quota)."""
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("item")
+        sources, patterns = frame[~frame["is_pattern"]], frame[frame["is_pattern"]]
+        at = {json.loads(x)[0]: i for i, x in enumerate(sources["item"])}
+        given = flow(patterns["amount"].tolist(), [[at[s] for s in json.loads(x)] for x in patterns["item"]],
+                     sources["amount"].tolist(), most)
+        total = [0] * len(patterns)
+        for (p, _), words in given.items():
+            total[p] += words
+        return pd.DataFrame({"_pattern": patterns["item"].to_numpy(), "_given": total})
+
+    return solve
+
+
+def _node(source: Column) -> Column:
+    """A number for a source's name; equal numbers of two names only join their components."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), source), F.lit("")))
+
+
+def _given(patterns: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """`_pattern`, `_given`: the words that each pattern with a source gives.
+
+    A pattern of one source that no other pattern shares gives what the source needs and it has.
+    Sources that patterns connect are a component, and its flow is solved in one task.
+    """
+    first = F.col("_members")[0]
+    alone = lambda rows, own: rows.where(F.size("_members") == 1).join(
+        own, first.eqNullSafe(F.col("source"))).select(
+            "_pattern", F.least(F.col("quota"), F.col("_all") * most).alias("_given"))
+    overlapping = patterns.where(F.size("_members") > 1)
+    if overlapping.isEmpty():
+        return alone(patterns, goals)
+    label = components(overlapping.select(
+        _node(first).alias("a"), F.explode(F.transform("_members", _node)).alias("b")))
+    goals = goals.withColumn("node", _node(F.col("source"))).join(label, "node", "left")
+    tied = patterns.where(F.size("_members") > 0).withColumn("node", _node(first)).join(label, "node")
+    sent = tied.selectExpr("label", "_pattern AS item", "_all AS amount", "true AS is_pattern").unionByName(
+        goals.where("label IS NOT NULL").select(
+            "label", F.to_json(F.array("source")).alias("item"), F.col("quota").alias("amount"),
+            F.lit(False).alias("is_pattern")))
+    solved = sent.groupBy("label").applyInPandas(_solve(most), "_pattern string, _given bigint")
+    return alone(patterns, goals.where("label IS NULL")).unionByName(solved)
+
+
+def plan(totals: DataFrame, weigh, most: int) -> tuple[DataFrame, DataFrame]:
+    """(sources with sizes and targets, what each class of each pattern gives), from rows of
+    `_pattern`, `_cls`, `_words`, `_docs`."""
+    patterns = cut_lineage(totals.groupBy("_pattern").agg(F.sum("_words").alias("_all"))
+                           .withColumn("_members", F.from_json("_pattern", "array<string>")))
+    sizes = cut_lineage(patterns.select(F.explode("_members").alias("source"), "_all").groupBy("source")
+                        .agg(F.sum("_all").alias("source_size")))
+    goals = cut_lineage(targets(cut_lineage(_weighed(sizes, weigh)), most)
+                        .withColumn("quota", F.floor(F.col("target") + 0.5)))
+    given = patterns.select("_pattern", "_all").join(_given(patterns, goals, most), "_pattern", "left").select(
+        "_pattern", "_all", F.coalesce("_given", F.lit(0)).alias("_given"))
+    some = F.col("_all") > 0
+    quotas = totals.join(given, "_pattern").withColumns({
+        "_full": F.when(some, F.expr("_given div _all")).otherwise(1),
+        "_rest": F.when(some, F.col("_given") % F.col("_all")).otherwise(0)}).select(
+            "_pattern", "_cls", "_full", "_rest",
+            F.when(some, F.expr("cast(_rest AS decimal(19, 0)) * cast(_words AS decimal(19, 0)) div _all"))
+            .otherwise(0).alias("_quota"),
+            F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.greatest(F.lit(1), "_docs") / RANGE_DOCS))))
+            .cast("int").alias("_bits"))
+    return goals.select("source", "source_size", "target"), cut_lineage(quotas)
+
+
+def small_side(frame: DataFrame) -> DataFrame:
+    """A table with a few rows for each source or class: broadcast after a check of its size."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_CLASSES else frame
 
 
 def _filler(most):
@@ -187,18 +243,20 @@ def _filler(most):
 
 
 def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Column | None = None,
-        weigh=rotating_weights, most: int = 3, seed: int = 0, max_patterns: int = 100_000):
+        weigh: DataFrame | None = None, most: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, sources): every row of `df` with `mix_size` (words), `mix_copies` and `mix_taken`
-    (words taken, repeats counted), and a small frame of each source's size and target.
+    (words taken, repeats counted), and a table of each source's size and target.
 
     `sources` is an array of names (default: the column `source` alone); a null name is a source of
-    its own, an empty array or null takes no part (0 copies). `weigh` maps the names to weights.
-    Null and empty texts have no words; they are repeated like their pattern's whole repetitions.
-    Rows with equal ids are separate documents. Ties in the seeded order are broken by id, size
-    and a hash of the text; what is still equal is interchangeable. Columns of `df` with the added names are replaced. Sources and targets of an empty table are empty. More
-    than `max_patterns` patterns raise an error, since the flow is solved on the driver.
+    its own, an empty array or null takes no part (0 copies). `weigh` is a table of `source` and
+    `weight`, one row a source, 0 where it has none; without it sources weigh 1, 2, 3, repeating, by
+    code point. Null and empty texts have no words; they are repeated like their pattern's whole
+    repetitions. Rows with equal ids are separate documents. Ties in the seeded order are broken by
+    id, size and a hash of the text; what is still equal is interchangeable. Columns of `df` with the
+    added names are replaced. Sources and targets of an empty table are empty. There may be any
+    number of sources and patterns; patterns that share sources, directly or by others, are solved
+    in one task.
     """
-    spark = df.sparkSession
     members = F.array("source") if sources is None else F.array_sort(F.array_distinct(sources))
     keep = [c for c in df.columns if c not in ("mix_size", "mix_copies", "mix_taken")]
     measures = [
@@ -211,20 +269,16 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
     cls = F.length(F.bin("mix_size"))
     # what the plan needs is read from the texts once
     narrow = cut_lineage(df.select(*measures).withColumn("_cls", cls))
-    totals = narrow.groupBy("_pattern", "_cls").agg(F.sum("mix_size"), F.count(F.lit(1)))
-    rows = [tuple(r) for r in totals.limit(64 * max_patterns).collect()]
-    if len({r[0] for r in rows}) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    names, quotas = plan(rows, weigh, most)
-    source_frame = spark.createDataFrame(names, "source string, source_size bigint, target double")
-    quota_frame = spark.createDataFrame(
-        quotas, "_pattern string, _cls int, _full bigint, _rest bigint, _quota bigint, _bits int")
-    # all of these have a few rows for each (pattern, class); beyond the bound Spark decides
-    small_side = F.broadcast if len(quotas) <= BROADCAST_CLASSES else (lambda frame: frame)
+    totals = cut_lineage(narrow.groupBy("_pattern", "_cls").agg(
+        F.sum("mix_size").alias("_words"), F.count(F.lit(1)).alias("_docs")))
+    source_frame, quota_frame = plan(totals, weigh, most)
+    # all others have a row for each (pattern, class) at most, or a few; beyond the bound Spark decides
+    few = quota_frame.count() <= BROADCAST_CLASSES
+    per_class = F.broadcast if few else (lambda frame: frame)
     group = ["_pattern", "_cls"]
 
     def ranged(sized):
-        return sized.join(small_side(quota_frame), group, "left").withColumn(
+        return sized.join(per_class(quota_frame), group, "left").withColumn(
             "_range", F.expr("shiftrightunsigned(_hash, 63 - _bits)"))
 
     upto = Window.partitionBy(*group).orderBy("_range")
@@ -242,7 +296,7 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
             (F.col("_before") + F.sum("mix_size").over(
                 order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_quota")).alias("_fits"))
 
-    small = inside_of(ranged(narrow).join(small_side(cut), group, "left")).select(
+    small = inside_of(ranged(narrow).join(per_class(cut), group, "left")).select(
         "_pattern", "_cls", "_place", "mix_size", "_fits", "_before")
     reached = (small.groupBy(*group).agg(
         (F.max("_before") + F.coalesce(F.sum(F.when(F.col("_fits"), F.col("mix_size"))), F.lit(0)))
@@ -266,12 +320,12 @@ def mix(df: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Colum
               .selectExpr("pattern AS _pattern", "cls AS _cls", "place AS _place", "times AS _times"))
     fills = chosen.where("_place > 0").withColumnRenamed("_times", "_fill")
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *measures).withColumn("_cls", cls)
-    placed = ranged(wide).join(small_side(cut), group, "left")
+    placed = ranged(wide).join(per_class(cut), group, "left")
     outside = placed.where("_cut IS NULL OR _range <> _cut").select(
         "*", (F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))).alias("_in"))
     inside = inside_of(placed)
-    inside = inside.join(small_side(fills), [*group, "_place"], "left")
-    again = small_side(chosen.where("_place = 0").drop("_place"))
+    inside = inside.join(per_class(fills), [*group, "_place"], "left")
+    again = per_class(chosen.where("_place = 0").drop("_place"))
     inside, outside = inside.join(again, group, "left"), outside.join(again, group, "left")
     copies = lambda more, fill=F.lit(0): (
         F.when(F.col("_pattern") == "[]", F.lit(0))

@@ -60,6 +60,7 @@ def op8_fingerprints(spark, sf_dir):
 
 def op9_source_mix(spark, sf_dir):
     mixed, sources = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sources = mixing.small_side(sources)
     mixed = mixed.join(sources, mixed["source"].eqNullSafe(sources["source"]))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target",
                         F.col("mix_taken").alias("taken"))

@@ -1,6 +1,7 @@
 """Fingerprints, secret scan and source mix."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -219,7 +220,7 @@ def test_mix_meets_its_targets_and_repeats(spark, range_docs, monkeypatch):
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, "a" if i < 40 else "b", "", "") for i in range(100)]
     members = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))
-    got, sources = mixed(spark, rows, sources=members, weigh=lambda names: dict.fromkeys(names, 1))
+    got, sources = mixed(spark, rows, sources=members, weigh=spark.createDataFrame([("a", 1), ("b", 1)], "source string, weight int"))
     assert {s: r["source_size"] for s, r in sources.items()} == {"a": 520, "b": 680}
     assert sum(r["mix_taken"] for r in got) == pytest.approx(1200, abs=10)
 
@@ -231,6 +232,66 @@ def test_flow_is_cheapest():
     assert json.loads("[null]") == [None]
 
 
+def test_flow_prefers_the_first_repetition(spark):
+    """Pattern by pattern against all ways to give whole words, on small random cases."""
+    rng = random.Random(5)
+    for _ in range(60):
+        capacity = [rng.randint(0, 2) for _ in range(3)]
+        members = [sorted(rng.sample(range(2), rng.randint(1, 2))) for _ in range(3)]
+        quota = [rng.randint(0, 4) for _ in range(2)]
+        given = mixing.flow(capacity, members, quota, 3)
+        cost = lambda total, words: sum(max(0, total - k * words) for k in (1, 2))
+        best = None
+        choices = [[(x, y) for x in range(7) for y in range(7) if x + y <= 3 * capacity[p]
+                    and (x == 0 or 0 in members[p]) and (y == 0 or 1 in members[p])] for p in range(3)]
+        for way in itertools.product(*choices):
+            if sum(x for x, _ in way) <= quota[0] and sum(y for _, y in way) <= quota[1]:
+                value = (sum(map(sum, way)), -sum(cost(sum(w), capacity[p]) for p, w in enumerate(way)))
+                best = value if best is None else max(best, value)
+        totals = [sum(v for (q, _), v in given.items() if q == p) for p in range(3)]
+        assert all(s in members[p] for p, s in given)
+        for s in range(2):
+            assert sum(v for (_, t), v in given.items() if t == s) <= quota[s]
+        assert (sum(totals), -sum(map(cost, totals, capacity))) == best
+
+
+def test_many_sources_and_several_components(spark):
+    """Thousands of patterns, of which some share sources, with nothing planned on the driver."""
+    df = spark.range(6000).selectExpr(
+        "id AS doc_id", "repeat('w ', 1 + cast(id % 7 AS int)) AS text", "concat('s', id % 3000) AS source")
+    members = F.when(F.col("doc_id") % 50 == 0, F.array(F.col("source"), F.lit("s1"))).otherwise(F.array("source"))
+    got, sources = mixing.mix(df, sources=members)
+    rows = {r["source"]: r for r in sources.collect()}
+    assert len(rows) == 3000
+    place = {s: i for i, s in enumerate(sorted(rows))}
+    sizes = Counter()
+    taken = Counter()
+    for r in got.collect():
+        names = {r["source"], "s1"} if r["doc_id"] % 50 == 0 else {r["source"]}
+        for s in names:
+            sizes[s] += r["mix_size"]
+        if r["doc_id"] % 50:
+            taken[r["source"]] += r["mix_taken"]
+        assert r["mix_copies"] <= 3
+    left, whole, capped = sum(sizes.values()), sum(i % 3 + 1 for i in place.values()), set()
+    while True:
+        over = {s for s, i in place.items() if s not in capped and left * (i % 3 + 1) / whole > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+        left = sum(sizes.values()) - 3 * sum(sizes[s] for s in capped)
+        whole = sum(i % 3 + 1 for s, i in place.items() if s not in capped)
+    for s, i in place.items():
+        want = 3 * sizes[s] if s in capped else left * (i % 3 + 1) / whole
+        assert sources_row(rows[s]) == (sizes[s], pytest.approx(want))
+        if int(s[1:]) % 50 and s != "s1":
+            assert abs(taken[s] - want) <= 7, (s, taken[s], want)
+
+
+def sources_row(r):
+    return r["source_size"], r["target"]
+
+
 def test_mix_of_an_empty_table(spark):
     got, sources = mixed(spark, [])
     assert got == [] and sources == {}

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleet_health.llm import mixing, queries
+from fleet_health.llm import queries
 from fleet_health.session import cut_lineage
 from tests.llm.test_links import grams
 from tests.llm.test_native import base_spans
@@ -76,6 +76,19 @@ def test_secrets_are_masked(stages):
             assert r == was
 
 
+def goals(sizes):
+    """Shares of all words by weights 1, 2, 3, ..., at most three times a source's own words."""
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    out = {}
+    while True:
+        left, below = sum(sizes.values()) - sum(out.values()), [s for s in sizes if s not in out]
+        share = {s: left * weights[s] / sum(weights[t] for t in below) for s in below}
+        over = [s for s in below if share[s] > 3 * sizes[s]]
+        if not over:
+            return out | share
+        out |= {s: 3 * sizes[s] for s in over}
+
+
 def test_mix(stages):
     docs, made = stages[3]
     size = lambda r: len((r["text"] or "").encode().split())
@@ -84,7 +97,7 @@ def test_mix(stages):
         sizes[r["source"]] += size(r)
     for r in made:
         taken[r["source"]] += size(r)
-    goal = mixing.targets(sizes, mixing.rotating_weights(sizes), 3)
+    goal = goals(sizes)
     assert max(Counter(r["doc_id"] for r in made).values()) <= 3
     for s in sizes:
         assert abs(taken[s] - goal[s]) <= max(60, 0.05 * goal[s]), (s, taken[s], goal[s])
