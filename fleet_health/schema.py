@@ -39,63 +39,60 @@ def feature_dim(window_size: int = 12) -> int:
     return len(dynamic_features(window_size)) + len(STATIC_FEATURES)
 
 
-def _struct(spec: str, **kinds) -> T.StructType:
-    fields = []
-    for item in spec.split():
-        name, kind = item.split(":")
-        fields.append(T.StructField(name, kinds[kind], True))
-    return T.StructType(fields)
+def _struct(columns: str) -> T.StructType:
+    """A schema from `name type, ...`; no session is needed."""
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+             "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType(), "boolean": T.BooleanType()}
+    pairs = [column.strip().rsplit(" ", 1) for column in columns.split(",")]
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
 
 
-_KINDS = {
-    "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(),
-    "d": T.DoubleType(), "t": T.TimestampNTZType(), "b": T.BooleanType(),
-}
-
+# Columns of the tables and files, in their order.
 STATIC_SCHEMA = _struct(
-    "TERMINAL_CODE:s TERMINAL_TYPE_ID:i PLATFORM:s PLATFORM_VER:s IP_ADDRESS_OS:s "
-    "MAC_ADDRESS_OS:s ODBC_FILE_SIZE_B:l DB_FILE_PATH_NAME:s DB_LOG_FILE_PATH_NAME:s "
-    "ASA_VERSION:s DEFAULT_COLLATION:s DB_PAGE_SIZE:l CLIENT_EXE_SIZE_B:l "
-    "HOME_TOTAL_MB:d HOME1_TOTAL_MB:d EXECUTION_TIME:t", **_KINDS)
+    "TERMINAL_CODE string, TERMINAL_TYPE_ID int, PLATFORM string, PLATFORM_VER string, "
+    "IP_ADDRESS_OS string, MAC_ADDRESS_OS string, ODBC_FILE_SIZE_B bigint, "
+    "DB_FILE_PATH_NAME string, DB_LOG_FILE_PATH_NAME string, ASA_VERSION string, "
+    "DEFAULT_COLLATION string, DB_PAGE_SIZE bigint, CLIENT_EXE_SIZE_B bigint, "
+    "HOME_TOTAL_MB double, HOME1_TOTAL_MB double, EXECUTION_TIME timestamp_ntz")
 
 DYNAMIC_SCHEMA = _struct(
-    "TERMINAL_CODE:s EXECUTION_TIME:t LAST_TKT_NUMBER:s LAST_TXN_TIME:t LAST_DOWNLOAD_TIME:t "
-    "LAST_UPLOAD_TIME:t TOTAL_TKT_ISSUED_YESTERDAY:l TOTAL_TKT_ISSUED_TODAY:l NETWORK_LINK:i "
-    "HOME_USED_MB:d HOME1_USED_MB:d DB_FILE_SIZE_MB:d DB_FILE_SIZE_IN_PAGES:l DB_FREE_PAGES:l "
-    "DB_MRR_LOG_DIR_SIZE_MB:d DB_CRASH_LOG_DIR_SIZE_MB:d OS_UP_SINCE:t DB_UP_SINCE:t "
-    "CLIENT_LOG_EXIST_SINCE:t DB_PURGING_UPTO:t TC_MAKE:s", **_KINDS)
+    "TERMINAL_CODE string, EXECUTION_TIME timestamp_ntz, LAST_TKT_NUMBER string, "
+    "LAST_TXN_TIME timestamp_ntz, LAST_DOWNLOAD_TIME timestamp_ntz, "
+    "LAST_UPLOAD_TIME timestamp_ntz, TOTAL_TKT_ISSUED_YESTERDAY bigint, "
+    "TOTAL_TKT_ISSUED_TODAY bigint, NETWORK_LINK int, HOME_USED_MB double, HOME1_USED_MB double, "
+    "DB_FILE_SIZE_MB double, DB_FILE_SIZE_IN_PAGES bigint, DB_FREE_PAGES bigint, "
+    "DB_MRR_LOG_DIR_SIZE_MB double, DB_CRASH_LOG_DIR_SIZE_MB double, OS_UP_SINCE timestamp_ntz, "
+    "DB_UP_SINCE timestamp_ntz, CLIENT_LOG_EXIST_SINCE timestamp_ntz, "
+    "DB_PURGING_UPTO timestamp_ntz, TC_MAKE string")
 
 DEGRADATION_SCHEMA = _struct(
-    "TERMINAL_CODE:s failure_mode:s days_to_failure:i start_of_degradation:t", **_KINDS)
+    "TERMINAL_CODE string, failure_mode string, days_to_failure int, "
+    "start_of_degradation timestamp_ntz")
 
 LABELS_SCHEMA = _struct(
-    "TERMINAL_CODE:s EXECUTION_TIME:t fault_label:i rul_days:d failure_mode:s", **_KINDS)
+    "TERMINAL_CODE string, EXECUTION_TIME timestamp_ntz, fault_label int, rul_days double, "
+    "failure_mode string")
 
 PREDICTIONS_SCHEMA = _struct(
-    "TERMINAL_CODE:s EXECUTION_TIME:t fault_probability:d predicted_rul_days:d is_fault_risk:b",
-    **_KINDS)
+    "TERMINAL_CODE string, EXECUTION_TIME timestamp_ntz, fault_probability double, "
+    "predicted_rul_days double, is_fault_risk boolean")
 
 HISTORY_SCHEMA = _struct(
-    "epoch:i train_loss:d train_fault_loss:d train_rul_loss:d val_fault_accuracy:d "
-    "val_fault_precision:d val_fault_recall:d val_fault_f1:d val_rul_mae:d val_rul_rmse:d",
-    **_KINDS)
+    "epoch int, train_loss double, train_fault_loss double, train_rul_loss double, "
+    "val_fault_accuracy double, val_fault_precision double, val_fault_recall double, "
+    "val_fault_f1 double, val_rul_mae double, val_rul_rmse double")
 
 CONFIG_SCHEMA = _struct(
-    "num_machines:l days:i samples_per_machine:l seq_len:i stride:i input_dim:i epochs:i "
-    "failure_rate:d rul_max:d", **_KINDS)
+    "num_machines bigint, days int, samples_per_machine bigint, seq_len int, stride int, "
+    "input_dim int, epochs int, failure_rate double, rul_max double")
 
 METRO_SCHEMA = _struct(
-    "index:l timestamp:t TP2:d TP3:d H1:d DV_pressure:d Reservoirs:d Oil_temperature:d "
-    "Motor_current:d COMP:d DV_eletric:d Towers:d MPG:d LPS:d Pressure_switch:d Oil_level:d "
-    "Caudal_impulses:d", **_KINDS)
-
-AI4I_SCHEMA = T.StructType([
-    T.StructField(name, kind) for name, kind in [
-        ("UDI", T.IntegerType()), ("Product ID", T.StringType()), ("Type", T.StringType()),
-        ("Air temperature [K]", T.DoubleType()), ("Process temperature [K]", T.DoubleType()),
-        ("Rotational speed [rpm]", T.IntegerType()), ("Torque [Nm]", T.DoubleType()),
-        ("Tool wear [min]", T.IntegerType()), ("Machine failure", T.IntegerType()),
-        ("TWF", T.IntegerType()), ("HDF", T.IntegerType()), ("PWF", T.IntegerType()),
-        ("OSF", T.IntegerType()), ("RNF", T.IntegerType()),
-    ]
-])
+    "index bigint, timestamp timestamp_ntz, TP2 double, TP3 double, H1 double, "
+    "DV_pressure double, Reservoirs double, Oil_temperature double, Motor_current double, "
+    "COMP double, DV_eletric double, Towers double, MPG double, LPS double, "
+    "Pressure_switch double, Oil_level double, Caudal_impulses double")
+
+AI4I_SCHEMA = _struct(
+    "UDI int, Product ID string, Type string, Air temperature [K] double, "
+    "Process temperature [K] double, Rotational speed [rpm] int, Torque [Nm] double, "
+    "Tool wear [min] int, Machine failure int, TWF int, HDF int, PWF int, OSF int, RNF int")
