@@ -204,3 +204,29 @@ def test_all_trusted_documents_beyond_the_training_set_the_thresholds(spark, mon
 @pytest.mark.parametrize("sizes,most,level", [([], 5, 0), ([1, 2], 5, 2), ([1, 9, 9], 11, 5), ([7], 3, 3), ([0, 4], 4, 4)])
 def test_languages_share_the_training(sizes, most, level):
     assert quality._level(sizes, most) == level
+
+
+def test_all_trusted_documents_but_one_fold_train(spark, monkeypatch):
+    """There is no limit to them, and their keys may fill many shards."""
+    assert quality.MAX_TRUSTED is None
+    rng = random.Random(6)
+    rows = [(i - 150, "".join(rng.choice("abcd ") for _ in range(30)), "en") for i in range(300)]
+    df, trusted = frame(spark, [*rows, (None, "dddd", "en")]), spark.range(-150, 150).withColumnRenamed("id", "doc_id")
+    plain = quality.judge(df, trusted).collect()
+    monkeypatch.setattr(quality, "SHARD", 20)
+    sent = []
+    made = quality._members
+    monkeypatch.setattr(quality, "_members", lambda keys, folder: sent.append(keys) or made(keys, folder))
+    got = quality.judge(df, trusted).collect()
+    folds = dict(df.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(quality.FOLDS))).collect())
+    assert {r[0] for r in sent[0].collect()} == {i for i, _, _ in rows if folds[i] > 0}
+    assert sorted(map(str, got)) == sorted(map(str, plain))
+
+
+def test_training_keys_in_shards():
+    keys = np.sort(mixed := np.random.default_rng(3).integers(0, 2**64, 500, np.uint64))
+    made = quality.Members("", dict.fromkeys(range(6), ""), 7)
+    made.opened = {r: keys[quality._range(keys, 7) == r] for r in range(6)}
+    asked = np.concatenate([mixed, mixed + np.uint64(1), mixed[:9]])
+    want = np.isin(asked, keys) & (quality._range(asked, 7) < 6)
+    assert made.hold(asked.view(np.int64)).tolist() == want.tolist()
