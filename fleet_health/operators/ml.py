@@ -18,6 +18,7 @@ from fleet_health.operators.evaluate import (classification_metrics, rul_metrics
                                              scaled_rul, with_class_weight)
 from fleet_health.operators.ordering import with_place, with_test_flag
 from fleet_health.schema import CODE, DYNAMIC_FEATURES, STATIC_FEATURES
+from fleet_health.session import cut_lineage
 
 INPUTS = [*DYNAMIC_FEATURES, *STATIC_FEATURES]
 MIN_WINDOWS = 50
@@ -126,15 +127,16 @@ class FleetModel:
 def train(windows: DataFrame, columns: Sequence[str] = tuple(INPUTS), trees: int = 10,
           iterations: int = 50) -> FleetModel:
     """Fit both models. The classifier weighs classes by inverse frequency; the regressor sees
-    faulty windows only and learns remaining life as a share of the largest one."""
+    faulty windows only and learns remaining life as a share of the largest one. What the models read
+    is written once, since each pass over it would work out the windows again."""
     # A z-score is null for a machine with one reading, a share for zero capacity.
     filled = [f"{c}_in" for c in columns]
     numeric = windows.select("fault_label", "rul_days",
                              *[F.col(c).cast("double").alias(c) for c in columns])
     inputs = Pipeline(stages=[Imputer(inputCols=list(columns), outputCols=filled),
                               VectorAssembler(inputCols=filled, outputCol="inputs")]).fit(numeric)
-    ready = inputs.transform(numeric).select("fault_label", "rul_days", "inputs")
-    scale = rul_scale(numeric)
+    ready = cut_lineage(inputs.transform(numeric).select("fault_label", "rul_days", "inputs"))
+    scale = cut_lineage(rul_scale(ready))
     fault = LogisticRegression(
         featuresCol="inputs", labelCol="fault_label", weightCol="weight", maxIter=iterations,
         regParam=0.01, probabilityCol="fault_vector", rawPredictionCol="fault_raw",

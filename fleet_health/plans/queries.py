@@ -556,9 +556,9 @@ def ml_tables_agree(spark, sf):
 # --- fitted models (rows only) ----------------------------------------------------------------
 
 def _train(spark, sf):
-    """Windows are written once, since fitting reads them many times."""
+    """Windows and their split are written once, since splitting and fitting read them many times."""
     windows = cut_lineage(_pooled(spark, sf))
-    split = ml.stratified_split(windows)
+    split = cut_lineage(ml.stratified_split(windows))
     return ml.train(split.where(~F.col("is_test"))), split
 
 
