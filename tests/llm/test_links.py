@@ -169,3 +169,26 @@ def test_components_by_contraction(spark, kind):
     rows = [*edges, *edges[:5], (None, 4), (4, None)]
     got = components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == sorted((x, label[x]) for x in linked)
+
+
+@pytest.mark.parametrize("most", [0, 40, 10_000])
+def test_components_finished_in_one_task_or_not(spark, monkeypatch, most):
+    """The same labels whether all tasks contract to the end, to few edges, or not at all; few jobs for few edges."""
+    from fleet_health.llm import components as module
+
+    monkeypatch.setattr(module, "IN_ONE_TASK", most)
+    tasks, made = [], module._roots
+    monkeypatch.setattr(module, "_roots", lambda ends: tasks.append(1) or made(ends))
+    rng = random.Random(8)
+    big = 2**62
+    edges = [(big + x, big + y) for x, y in [*((i, i + 1) for i in range(60)), (-5, -90), (7, 7),
+                                             *((rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45))]]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for x, y in edges:
+            if x != y:
+                label[x] = label[y] = min(label[x], label[y])
+    got = components(spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted(label.items())
+    assert bool(tasks) == (most < 10_000)
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
