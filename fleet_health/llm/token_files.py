@@ -25,6 +25,10 @@ from fleet_health.session import cut_lineage, scratch_path
 MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width int, n_null bigint, tie bigint"
 #: Units that go into one call of the tokenizers library.
 BATCH = 500
+#: Units whose ids a Python worker keeps, about.
+KEPT = 600_000
+#: A worker's cache, by the tokenizer's file and its time, for all tasks that the worker runs.
+_CACHES: dict = {}
 
 
 def _tokenizer(path):
@@ -75,6 +79,14 @@ def library_encoder(path: str):
     return encode
 
 
+def _cache(path: str) -> UnitCache:
+    of = path, os.path.getmtime(path)
+    if of not in _CACHES:
+        _CACHES.clear()
+        _CACHES[of] = UnitCache(library_encoder(path), KEPT)
+    return _CACHES[of]
+
+
 def _whole(own, texts, holds, ids, ends):
     """`ids` and `ends` with the ids of the texts that `holds` names, which have none there yet."""
     got = [np.array(e.ids, np.int64) for e in own.encode_batch_fast([texts[i] for i in holds], add_special_tokens=False)]
@@ -94,7 +106,7 @@ def _writer(folder, tokenizer_path, end_id, kind, added_tokens):
             files = {}
             for frame in slices(frames):
                 if cache is None:
-                    cache = UnitCache(library_encoder(tokenizer_path), 900_000)
+                    cache = _cache(tokenizer_path)
                     if added_tokens:
                         own = _tokenizer(tokenizer_path)
                         added = _added(own)

@@ -138,3 +138,30 @@ def test_elias_fano(n, top):
     assert (own.access(np.arange(n)) == values).all()
     assert (own.successor(asked) == np.searchsorted(values, asked)).all()
     assert ((own.find(asked) >= 0) == np.isin(asked, values)).all()
+
+
+def test_units_and_cache_give_the_texts_back():
+    """Units add up to the texts, marks after letters are units of their own, and a small cache loses nothing."""
+    from fleet_health.llm import common
+
+    rng = random.Random(4)
+    rows = [*texts(), float("nan"), "and, and. and; the end.", *[" ".join(f"w{rng.randrange(60)}," for _ in range(20)) for _ in range(60)]]
+    found, codes, sizes = common.units(rows)
+    ends = np.cumsum(sizes)
+    assert ["".join(found[i] for i in codes[a:b]) for a, b in zip(ends - sizes, ends)] == [t if isinstance(t, str) else "" for t in rows]
+    assert len(set(found)) == len(found) and " and" in found and "," in found and " and," not in found
+    own = Tokenizer.from_file(LIBRARY)
+    own.encode_special_tokens = True
+    asked = []
+    encode = token_files.library_encoder(LIBRARY)
+    cache = common.UnitCache(lambda new: asked.extend(new) or encode(new), 30)
+    for k in range(0, len(rows), 7):
+        part = rows[k : k + 7]
+        ids, at = cache.tokens(part)
+        for t, a, b in zip(part, at, at[1:]):
+            assert ids[a:b].tolist() == own.encode(t if isinstance(t, str) else "", add_special_tokens=False).ids
+    assert asked.count(",") == 1 and len(asked) > len(set(asked))  # units of many slices stay, others go
+
+
+def test_a_worker_keeps_its_cache():
+    assert token_files._cache(LIBRARY) is token_files._cache(LIBRARY)
