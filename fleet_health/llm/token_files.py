@@ -26,7 +26,7 @@ MANIFEST = "shard string, least bigint, n_docs bigint, n_tokens bigint, width in
 #: Units that go into one call of the tokenizers library.
 BATCH = 500
 #: Units whose ids a Python worker keeps, about.
-KEPT = 600_000
+KEPT = 1_000_000
 #: A worker's cache, by the tokenizer's file and its time, for all tasks that the worker runs.
 _CACHES: dict = {}
 
