@@ -49,6 +49,10 @@ def labelled_index(rows: DataFrame, static: DataFrame, labels: DataFrame, length
             .withColumnsRenamed({R.FAULT: "fault_label", R.RUL: "rul_days"}))
 
 
+#: The pane of the newest rows; others count from 0.
+_NEWEST = -1
+
+
 class Panes:
     """Stretches of consecutive rows of which every window is made, so that a row is read once.
 
@@ -56,10 +60,13 @@ class Panes:
     So a window is a fixed number of consecutive panes, and a stride has two at most, whatever
     common divisors length and stride have. With gaps between windows (stride > length) a window is
     one pane, and the panes of the gaps are in none.
+
+    With `newest`, the newest `length` rows of a machine that has as many are a further pane and a
+    window of its own, marked by the column `newest`, with or without a label.
     """
 
-    def __init__(self, length: int, stride: int):
-        self.length = length
+    def __init__(self, length: int, stride: int, newest: bool = False):
+        self.length, self.newest = length, newest
         strides, rest = divmod(length, stride)
         at = F.col(R.ROW) - 1
         whole = F.floor(at / stride)
@@ -71,15 +78,24 @@ class Panes:
         else:
             self.number, self.size, self.ends = whole, strides, F.lit(True)
             self.window_no = last - (strides - 1)
-        order = Window.partitionBy(CODE, R.SEGMENT).orderBy("_pane")
+        apart = [last == _NEWEST] if newest else []
+        order = Window.partitionBy(CODE, R.SEGMENT, *apart).orderBy("_pane")
         self.order, self.frame = order, order.rowsBetween(1 - self.size, 0)
 
     def of(self, parts: DataFrame, *facts) -> DataFrame:
         """One row per pane, aggregated in the (machine, segment) partitioning."""
-        # Windows end where their last pane does, so it has the label and the time.
-        return (parts.withColumn("_pane", self.number.cast("bigint")).groupBy(CODE, R.SEGMENT, "_pane").agg(
+        # Windows end where their last pane does, so it has the label and the time. Its columns one by
+        # one, since with a struct among the buffers Spark sorts all readings again to aggregate them.
+        number = self.number.cast("bigint")
+        if self.newest:
+            # They all lie in the last segment, borrowed rows included, as in `latest_parts`.
+            parts = parts.withColumn("_last", F.max(R.ROW).over(R.whole_segment()))
+            among = ((F.col(R.SEGMENT) == F.col(R.LAST_SEGMENT)) & (F.col("_last") >= self.length)
+                     & (F.col(R.ROW) > F.col("_last") - self.length))
+            number = F.explode(F.when(among, F.array(number, F.lit(_NEWEST).cast("bigint"))).otherwise(F.array(number)))
+        return (parts.withColumn("_pane", number).groupBy(CODE, R.SEGMENT, "_pane").agg(
             F.count(F.lit(1)).alias("_rows"),
-            F.max_by(F.struct(R.BORROWED, R.FAULT, R.RUL), R.ROW).alias("_end"),
+            *[F.max_by(c, R.ROW).alias(f"_end{c}") for c in (R.BORROWED, R.FAULT, R.RUL)],
             F.max(TIME).alias("target_time"), *facts))
 
     def windows(self, panes: DataFrame, combined: dict, made: list) -> DataFrame:
@@ -89,10 +105,15 @@ class Panes:
         a segment follow each other without a gap, so `length` rows in `size` panes are a window.
         """
         joined = panes.withColumns({"_in_window": F.sum("_rows").over(self.frame), **combined})
-        return joined.where(self.ends & (F.col("_in_window") == self.length) & ~F.col(f"_end.{R.BORROWED}")
-                            & F.col(f"_end.{R.FAULT}").isNotNull()).select(
-            CODE, self.window_no.alias("window_no"), F.col(f"_end.{R.FAULT}").alias("fault_label"),
-            F.col(f"_end.{R.RUL}").alias("rul_days"), "target_time", *made)
+        kept = (self.ends & (F.col("_in_window") == self.length) & ~F.col(f"_end{R.BORROWED}")
+                & F.col(f"_end{R.FAULT}").isNotNull())
+        number = self.window_no
+        if self.newest:
+            newest = F.col("_pane") == _NEWEST
+            kept, number, made = newest | kept, F.when(~newest, number), [newest.alias("newest"), *made]
+        return joined.where(kept).select(
+            CODE, number.alias("window_no"), F.col(f"_end{R.FAULT}").alias("fault_label"),
+            F.col(f"_end{R.RUL}").alias("rul_days"), "target_time", *made)
 
 
 def _pane_facts(pool: str, name: str) -> list:
@@ -151,15 +172,17 @@ def _vector(window_size: int):
 def pooled_sequences(rows: DataFrame, static_features: DataFrame, labels: DataFrame,
                      length: int = LENGTH, stride: int = STRIDE, window_size: int = 12,
                      tie: Sequence[str] = (), pools: Sequence[str] = ("avg",),
-                     max_rows: int = R.MAX_ROWS, **stored) -> DataFrame:
+                     max_rows: int = R.MAX_ROWS, newest: bool = False, **stored) -> DataFrame:
     """One row per labelled window: pooled telemetry features and the registry features.
 
     Panes and windows form inside the (machine, segment) partitioning of the features, so neither
-    needs a further shuffle, and no row is copied.
+    needs a further shuffle, and no row is copied. With `newest`, the rows of `latest_pooled` come
+    along from the same pass (`newest` is true, and their time is `target_time`); only the newest
+    readings of a machine are copied for that.
     """
     parts = feature_series(rows, static_features, window_size, tie, length, labels,
                            carry=STATIC_FEATURES, max_rows=max_rows, **stored)
-    panes = Panes(length, stride)
+    panes = Panes(length, stride, newest)
     facts, combined, made = {}, {}, []
     for pool in pools:
         for name in dynamic_features(window_size):

@@ -148,16 +148,18 @@ def attach_labels(series: DataFrame, labels: DataFrame, cuts: DataFrame) -> Data
     """Give each reading the `_fault` and `_rul` of the label with exactly its key, or null.
 
     Labels are as many as readings, so they travel in the same shuffle as the readings: both are
-    stacked, and a label is found among the rows of equal time. Partitioning and order are those
-    of the other windows, so this adds neither an exchange nor a sort.
+    stacked, and a label is found among the rows of equal time. They are dealt out by (machine,
+    segment) here, which with their order is what the other windows need, so those add neither an
+    exchange nor a sort. Rows of equal time are a group of their own and not a range frame, which
+    would copy and compare every row.
     """
     markers = place(labels.select(CODE, TIME, F.col("fault_label").cast("int").alias(FAULT),
                                   F.col("rul_days").cast("double").alias(RUL)), cuts)
     stacked = series.withColumn("_marker", F.lit(False)).unionByName(
         markers.withColumn("_marker", F.lit(True)).withColumn(BORROWED, F.lit(False)),
         allowMissingColumns=True)
-    same_time = by_time().rangeBetween(Window.currentRow, Window.currentRow)
-    return (stacked.withColumns({c: F.max(c).over(same_time) for c in (FAULT, RUL)})
+    same_time = Window.partitionBy(CODE, SEGMENT, TIME)
+    return (stacked.repartition(CODE, SEGMENT).withColumns({c: F.max(c).over(same_time) for c in (FAULT, RUL)})
             .where(~F.col("_marker")).drop("_marker"))
 
 

@@ -187,3 +187,30 @@ def test_windows_copy_no_rows_and_shuffle_once(data):
         plan = made._jdf.queryExecution().executedPlan().toString()
         exchanges.add((plan.count("hashpartitioning(TERMINAL_CODE#"), plan.count("Generate ")))
     assert len(exchanges) == 1
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_newest_windows_come_along(data, limit):
+    """The labelled windows and the newest ones of one pass are those of two."""
+    _, _, _, rows, static, labels = data
+    static = features.registry_features(static)
+    both = sequences.pooled_sequences(rows, static, labels, 24, 8, max_rows=limit, newest=True).toPandas()
+    apart = sequences.latest_pooled(rows, static, 24, max_rows=limit).toPandas().sort_values(CODE)
+    newest = both[both["newest"]].sort_values(CODE)
+    assert list(newest[CODE]) == list(apart[CODE]) == ["TC1", "TC2", "TC5", "TC7"]
+    assert list(newest["target_time"]) == list(apart[TIME]) and newest["window_no"].isna().all()
+    names = [*DYNAMIC_FEATURES, *STATIC_FEATURES]
+    np.testing.assert_allclose(newest[names].astype(float), apart[names].astype(float), rtol=1e-9)
+    key = [CODE, "window_no"]
+    want = sequences.pooled_sequences(rows, static, labels, 24, 8, max_rows=limit).toPandas().sort_values(key)
+    kept = both[~both["newest"]].sort_values(key)
+    assert list(kept[CODE]) == list(want[CODE]) and list(kept["fault_label"]) == list(want["fault_label"])
+    np.testing.assert_allclose(kept[names].astype(float), want[names].astype(float), rtol=1e-9)
+
+
+def test_panes_are_hashed_and_labels_need_no_range(data):
+    _, _, _, rows, static, labels = data
+    made = sequences.pooled_sequences(rows, features.registry_features(static), labels, 24, 8)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "RangeFrame, currentrow$(), currentrow$()" not in plan
