@@ -209,10 +209,10 @@ def sequences_array(spark, sf):
         *[F.expr(f"round(cast(v[{i}] as double), 3) + 0.0D as {n}") for i, n in enumerate(names)])
 
 
-def _pooled(spark, sf):
+def _pooled(spark, sf, newest=False):
     static = features.registry_features(V.static(spark, sf))
     return sequences.pooled_sequences(V.dynamic(spark, sf), static, V.labels(spark, sf),
-                                      LENGTH, STRIDE)
+                                      LENGTH, STRIDE, newest=newest)
 
 
 @query
@@ -555,13 +555,16 @@ def ml_tables_agree(spark, sf):
 
 # --- fitted models (rows only) ----------------------------------------------------------------
 
-def _train(spark, sf):
-    """Windows and their split are written once, since splitting and fitting read them many times."""
-    windows = cut_lineage(_pooled(spark, sf))
+def _fit(windows):
     split = cut_lineage(ml.stratified_split(windows))
     return ml.train(split.where(~F.col("is_test"))), split
 
 
+def _train(spark, sf):
+    """Windows and their split are written once, since splitting and fitting read them many times."""
+    return _fit(cut_lineage(_pooled(spark, sf)))
+
+
 @query
 def ml_fault_scores(spark, sf):
     model, split = _train(spark, sf)
@@ -584,9 +587,9 @@ def ml_eval(spark, sf):
 
 @query
 def ml_fleet_risk(spark, sf):
-    """Train on all windows, score the newest window of each registered machine, rank."""
-    dynamic = V.dynamic(spark, sf)
-    static = features.registry_features(V.static(spark, sf))
-    model, _ = _train(spark, sf)
-    newest = sequences.latest_pooled(dynamic, static, LENGTH)
+    """Train on all windows, score the newest window of each registered machine, rank. Both kinds of
+    windows come from one pass over the readings, written once."""
+    windows = cut_lineage(_pooled(spark, sf, newest=True))
+    model, _ = _fit(windows.where(~F.col("newest")).drop("newest"))
+    newest = windows.where("newest").select(CODE, F.col("target_time").alias(TIME), *ml.INPUTS)
     return scoring.rank_by_risk(scoring.as_predictions(model.score(newest)))

@@ -38,3 +38,13 @@ def test_entry(spark):
     rows = entry(spark).collect()
     assert 0 < len(rows) <= 10
     assert rows == sorted(rows, key=lambda r: (-r["fault_probability"], r["TERMINAL_CODE"]))
+
+
+def test_fleet_risk_makes_the_features_once(spark, monkeypatch):
+    """The windows to train on and the newest ones come from one feature series."""
+    from fleet_health.operators import sequences
+
+    calls, made = [], sequences.feature_series
+    monkeypatch.setattr(sequences, "feature_series", lambda *a, **k: calls.append(1) or made(*a, **k))
+    assert queries()["ml_fleet_risk"](spark, FOLDER).count() >= 0
+    assert len(calls) == 1
